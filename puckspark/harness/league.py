@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from puckspark.harness.registry import R, Tables, query
-from puckspark.operators.flatten import flatten_boxscores
+from puckspark.operators.flatten import explode_plays, flatten_boxscores, flatten_shots
 from puckspark.plans import comps, marts, serving, staging, xg
 from puckspark.session import pin
 
@@ -201,7 +201,7 @@ class League:
         self.frames: dict[str, DataFrame] = {}
 
     def feed(self, name: str) -> DataFrame:
-        tables = {b: getattr(self.t, b) for b in BASE_TABLES}
+        tables = {b: self.t.spread(b) for b in BASE_TABLES}
         text = FEEDS[name]
         for b in BASE_TABLES:
             text = re.sub(rf"\b(FROM|JOIN) {b}\b", rf"\1 {{{b}}}", text)
@@ -217,11 +217,12 @@ class League:
         return new.unionByName(old)
 
     def __getitem__(self, name: str) -> DataFrame:
+        """A stored table for the plans that read it, as after a publish."""
         if name not in self.frames:
-            self.frames[name] = self._build(name)
+            self.frames[name] = pin(self.build(name))
         return self.frames[name]
 
-    def _build(self, name: str) -> DataFrame:
+    def build(self, name: str) -> DataFrame:
         if name.startswith("stg_"):
             feed = name[4:]
             source = {"team_game_stats": "rightrail"}.get(feed, feed)
@@ -304,7 +305,7 @@ def boxscore_docs(t: Tables) -> DataFrame:
         F.struct(F.array(skater(2, 3, "C")).alias("forwards"), F.array(goalie(5)).alias("goalies")).alias("awayTeam"))
     kind_digit = F.when(F.month("o_orderdate") >= 10, 3).otherwise(2)
     game_id = (F.year("o_orderdate").cast("long") * 100 + kind_digit) * 10000000000 + (key % 10000) * 1000000 + F.floor(key / 10000)
-    return t.orders.select(F.to_json(F.struct(
+    return t.spread("orders").select(F.to_json(F.struct(
         game_id.alias("id"), season_of_year(F.year("o_orderdate")).alias("season"), F.to_date("o_orderdate").cast("string").alias("gameDate"),
         F.struct(home.alias("abbrev")).alias("homeTeam"), F.struct(away.alias("abbrev")).alias("awayTeam"), stats.alias("playerByGameStats"))).alias("payload"))
 
@@ -491,7 +492,7 @@ def with_inputs(body: str) -> str:
 
 
 def _register(name: str, sql: str | None):
-    query(name, with_inputs(sql) if sql else None)(lambda t: League(t)[name])
+    query(name, with_inputs(sql) if sql else None)(lambda t: League(t).build(name))
 
 
 for _name, _sql in SQL.items():
@@ -513,4 +514,74 @@ def flatten_boxscores_query(t):
 @query("fct_shots_model")
 def fct_shots_model(t):
     """Shots scored by the trained model."""
-    return xg.fct_shots({"stg_shots": pin(League(t)["stg_shots"])})
+    return xg.fct_shots(League(t))
+
+
+# --- play-by-play documents from the event stream ------------------------------------------
+
+# Fields of a play, as SQL that both engines accept.
+PLAY_FIELDS = {
+    "game_id": "user_id * 1000000 + CAST(floor(event_id / 1000) AS BIGINT)",
+    "sort_order": "CASE WHEN event_id % 10 = 0 THEN NULL ELSE event_id - event_id % 3 END",
+    "event_type": """CASE event_type WHEN 'signup' THEN 'goal' WHEN 'purchase' THEN 'shot-on-goal' WHEN 'error' THEN 'blocked-shot'
+  WHEN 'view' THEN 'missed-shot' ELSE 'faceoff' END""",
+    "period_number": "1 + event_id % 2",
+    "period_type": "CASE WHEN event_id % 19 = 0 THEN 'SO' WHEN event_id % 23 <> 0 THEN 'REG' END",
+    "clock": "event_id % 8",
+    "owner": "CASE WHEN event_id % 17 <> 0 THEN 10 * (1 + CAST(floor(event_id / 3) AS BIGINT) % 2) END",
+    "zone_code": "CASE (user_id + event_id) % 4 WHEN 0 THEN 'N' WHEN 1 THEN 'D' WHEN 2 THEN 'O' END",
+    "x_coord": "CASE WHEN event_id % 13 <> 0 THEN (event_id * 37) % 201 - 100 END",
+    "y_coord": "(event_id * 53) % 85 - 42",
+    "defends": "CASE event_id % 3 WHEN 0 THEN 'left' WHEN 1 THEN 'right' END",
+    "code": "CASE WHEN event_id % 11 = 0 THEN '' ELSE '1' || CAST(3 + event_id % 3 AS STRING) || CAST(3 + event_id % 4 AS STRING) || '1' END",
+    "shooting": "CASE WHEN event_id % 5 = 0 THEN 0 WHEN event_id % 5 < 4 THEN event_id % 97 END",
+    "scoring": "CASE WHEN event_id % 7 < 5 THEN event_id % 89 END",
+    "goalie": "CASE WHEN event_id % 9 <> 0 THEN event_id % 31 END",
+}
+PLAYS_SQL = "SELECT event_id, " + ", ".join(f"{e} AS {n}" for n, e in PLAY_FIELDS.items()) + " FROM events"
+
+
+def play_by_play_docs(t: Tables) -> DataFrame:
+    """Documents of at most 1,000 plays: a user's events from one range of event ids."""
+    plays = t.spark.sql(PLAYS_SQL.replace("FROM events", "FROM {events}"), events=t.events)
+    play = F.struct(
+        F.col("event_id").alias("eventId"), F.col("sort_order").alias("sortOrder"), F.col("event_type").alias("typeDescKey"),
+        F.format_string("00:%02d", "clock").alias("timeInPeriod"), F.col("code").alias("situationCode"), F.col("defends").alias("homeTeamDefendingSide"),
+        F.struct(F.col("period_number").alias("number"), F.col("period_type").alias("periodType")).alias("periodDescriptor"),
+        F.struct(
+            F.col("owner").alias("eventOwnerTeamId"), F.col("zone_code").alias("zoneCode"), F.col("x_coord").alias("xCoord"), F.col("y_coord").alias("yCoord"),
+            F.lit("wrist").alias("shotType"), F.col("shooting").alias("shootingPlayerId"), F.col("scoring").alias("scoringPlayerId"),
+            F.col("goalie").alias("goalieInNetId")).alias("details"))
+    side = lambda i, a: F.struct(F.lit(i).alias("id"), F.lit(a).alias("abbrev"))
+    games = plays.groupBy("game_id").agg(F.sort_array(F.collect_list(play)).alias("plays"))
+    return games.select(F.to_json(F.struct(
+        F.col("game_id").alias("id"), F.lit(20232024).alias("season"), side(10, "HHH").alias("homeTeam"), side(20, "AAA").alias("awayTeam"), "plays")).alias("payload"))
+
+
+PLAY_WINDOW = "PARTITION BY game_id ORDER BY coalesce(sort_order, 0), event_id"
+SHOTS_SQL = f"""WITH p AS ({PLAYS_SQL.replace('STRING', 'VARCHAR')}),
+a AS (SELECT *, (period_number - 1) * 1200 + clock AS game_seconds, CASE WHEN event_type = 'blocked-shot' THEN CASE WHEN owner = 10 THEN 20 ELSE 10 END ELSE owner END AS shooter
+  FROM p WHERE period_type IS DISTINCT FROM 'SO'),
+z AS (SELECT *, {', '.join(f"last_value(CASE WHEN owner = {i} AND zone_code IN ('N', 'D') THEN game_seconds END IGNORE NULLS) OVER ({PLAY_WINDOW} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS exit_{i}" for i in (10, 20))} FROM a),
+s AS (SELECT *, event_type <> 'blocked-shot' AS tried, shooter IS NOT DISTINCT FROM 10 AS home, CASE (shooter IS NOT DISTINCT FROM 10) = (coalesce(defends, 'left') = 'left') WHEN true THEN 89 ELSE -89 END AS net
+  FROM z WHERE event_type <> 'faceoff' AND x_coord IS NOT NULL),
+r AS (SELECT *, last_value(CASE WHEN tried THEN event_id END IGNORE NULLS) OVER ({PLAY_WINDOW} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev,
+  (CASE WHEN home THEN 1 ELSE -1 END) * (CAST(code[3] AS BIGINT) - CAST(code[2] AS BIGINT)) AS lead FROM (SELECT * REPLACE (nullif(code, '') AS code) FROM s))
+SELECT r.game_id, r.event_id, r.sort_order, CAST(20232024 AS BIGINT) AS season_id, r.period_number, r.period_type, r.game_seconds, r.event_type, r.event_type = 'goal' AS is_goal, 'wrist' AS shot_type,
+  r.x_coord, r.y_coord, r.zone_code, {R('sqrt(CAST((r.net - r.x_coord) * (r.net - r.x_coord) + r.y_coord * r.y_coord AS DOUBLE))', 2)} AS distance_ft,
+  {R('degrees(atan2(CAST(abs(r.y_coord) AS DOUBLE), CAST(abs(r.net - r.x_coord) AS DOUBLE)))', 2)} AS angle_deg, CASE WHEN r.home THEN 'HHH' ELSE 'AAA' END AS team_abbrev,
+  CASE WHEN r.home THEN 'AAA' ELSE 'HHH' END AS opponent_abbrev, r.home AS is_home_team, coalesce(nullif(r.shooting, 0), r.scoring) AS shooting_player_id, r.goalie AS goalie_in_net_id, r.goalie IS NULL AS is_empty_net,
+  CASE WHEN r.lead > 0 THEN 'PP' WHEN r.lead < 0 THEN 'SH' ELSE 'EV' END AS strength_state,
+  coalesce(r.tried AND q.shooter IS NOT DISTINCT FROM r.shooter AND q.event_id IS NOT NULL AND q.period_number = r.period_number AND r.game_seconds - q.game_seconds BETWEEN 0 AND 3, false) AS is_rebound,
+  coalesce(r.game_seconds - CASE r.shooter WHEN 10 THEN r.exit_10 WHEN 20 THEN r.exit_20 END BETWEEN 0 AND 4, false) AS is_rush
+FROM r LEFT JOIN s q ON q.event_id = r.prev"""
+
+
+@query("flatten_shots", SHOTS_SQL)
+def flatten_shots_query(t):
+    return flatten_shots(play_by_play_docs(t))
+
+
+@query("explode_plays", f"""SELECT game_id, event_id, CAST(row_number() OVER (PARTITION BY game_id ORDER BY event_id) - 1 AS INTEGER) AS pos FROM ({PLAYS_SQL.replace('STRING', 'VARCHAR')})""")
+def explode_plays_query(t):
+    return explode_plays(play_by_play_docs(t)).select("game_id", F.col("p.eventId").alias("event_id"), "pos")

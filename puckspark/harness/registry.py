@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+SMALL_TABLE_ROWS = 5_000_000
 
 
 class Tables:
@@ -17,6 +18,13 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
+    def spread(self, name: str) -> DataFrame:
+        """A table for heavy row-wise work: one too small to fill the cores is dealt out over them."""
+        df = getattr(self, name)
+        if df.count() > SMALL_TABLE_ROWS:  # read from the file footers
+            return df
+        return df.repartition(self.spark.sparkContext.defaultParallelism, df.columns[0])
+
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 

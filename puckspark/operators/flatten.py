@@ -49,25 +49,24 @@ def flatten_boxscores(df: DataFrame, column: str = "payload") -> DataFrame:
     A missing side or group yields no rows.
     """
     docs = df.select(F.from_json(column, BOXSCORE).alias("d"))
-
-    def entries(side: str, group: str) -> Column:
-        other = "awayTeam" if side == "homeTeam" else "homeTeam"
-        return F.transform(f"d.playerByGameStats.{side}.{group}", lambda p: F.struct(
-            F.col(f"d.{side}.abbrev").alias("team_abbrev"),
-            F.col(f"d.{other}.abbrev").alias("opponent_abbrev"),
-            F.lit(side == "homeTeam").alias("is_home"),
-            F.lit(group == "goalies").alias("goalie"),
-            p.alias("p"),
-        ))
-
-    groups = [
-        F.coalesce(entries(s, g), F.array())
-        for s in ("homeTeam", "awayTeam") for g in ("forwards", "defense", "goalies")
-    ]
-    rows = docs.select(
-        F.col("d.id").alias("game_id"), F.col("d.season").alias("season_id"),
-        F.col("d.gameDate").alias("game_date"), F.inline(F.concat(*groups)),
+    groups = F.array(*[
+        F.struct(
+            F.lit(side == "homeTeam").alias("is_home"), F.lit(group == "goalies").alias("goalie"),
+            F.col(f"d.playerByGameStats.{side}.{group}").alias("players"),
+        )
+        for side in ("homeTeam", "awayTeam") for group in ("forwards", "defense", "goalies")
+    ])
+    # Only the game's own fields travel beside the exploded lists, not the document.
+    games = docs.select(
+        F.col("d.id").alias("game_id"), F.col("d.season").alias("season_id"), F.col("d.gameDate").alias("game_date"),
+        F.col("d.homeTeam.abbrev").alias("home"), F.col("d.awayTeam.abbrev").alias("away"), groups.alias("groups"),
     )
+    game = ["game_id", "season_id", "game_date", "home", "away"]
+    rows = games.select(*game, F.inline("groups")).select(*game, "is_home", "goalie", F.explode("players").alias("p"))
+    rows = rows.withColumns({
+        "team_abbrev": F.when(F.col("is_home"), F.col("home")).otherwise(F.col("away")),
+        "opponent_abbrev": F.when(F.col("is_home"), F.col("away")).otherwise(F.col("home")),
+    })
     goalie = F.col("goalie")
     skater_cols = {
         out: F.col(f"p.{f}") if out in GOALIE_SHARED else F.when(~goalie, F.col(f"p.{f}"))
@@ -110,11 +109,11 @@ def dedupe_schedule(df: DataFrame, game: str, game_type: str, order: Sequence[Co
 def explode_plays(df: DataFrame, column: str = "payload") -> DataFrame:
     """Every play of every game with its game's teams and its place in the list."""
     docs = df.select(F.from_json(column, PLAY_BY_PLAY).alias("d"))
-    return docs.select(
+    games = docs.select(
         F.col("d.id").alias("game_id"), F.col("d.season").alias("season_id"),
-        F.col("d.homeTeam").alias("home"), F.col("d.awayTeam").alias("away"),
-        F.posexplode("d.plays").alias("pos", "p"),
+        F.col("d.homeTeam").alias("home"), F.col("d.awayTeam").alias("away"), F.col("d.plays").alias("plays"),
     )
+    return games.select("game_id", "season_id", "home", "away", F.posexplode("plays").alias("pos", "p"))
 
 
 def shooter_team(event: Column, owner: Column, home: Column, away: Column) -> Column:

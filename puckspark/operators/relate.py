@@ -38,12 +38,13 @@ def resolve_via(
     df: DataFrame, bridge: DataFrame, on: str, code: str, attributes: DataFrame
 ) -> DataFrame:
     """Two hops: id -> code through the full reference, code -> current attributes."""
-    return df.join(lookup(bridge), on, "left").join(lookup(attributes), code, "left")
+    sides = [lookup(d, materialise=False) for d in (bridge, attributes)]
+    return df.join(sides[0], on, "left").join(sides[1], code, "left")
 
 
 def with_name(df: DataFrame, names: DataFrame, key: str, name: str) -> DataFrame:
     """Prefer the dimension's name and fall back to the row's own."""
-    dim = lookup(names.select(key, F.col(name).alias("_dim_name")))
+    dim = lookup(names.select(key, F.col(name).alias("_dim_name")), materialise=False)
     return df.join(dim, key, "left").withColumn(name, F.coalesce("_dim_name", name)).drop("_dim_name")
 
 

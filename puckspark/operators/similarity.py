@@ -124,7 +124,7 @@ def top_comps(
     pool = list(pool)
     rows = pin(df.select(*pool, F.col(key).alias("id"), unit(vec).alias("vec")))
     sizes = rows.groupBy(*pool).agg(F.ceil(F.count("*") / block_rows).cast("int").alias("_blocks"))
-    rows = null_safe_join(rows, lookup(sizes), pool).withColumn(
+    rows = null_safe_join(rows, lookup(sizes, materialise=False), pool).withColumn(
         "_own", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int")
     )
     others = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))

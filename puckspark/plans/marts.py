@@ -1,7 +1,6 @@
-"""Mart tables. Each takes a dict of staging / mart frames and returns a frame.
+"""Mart tables. Each takes a dict of published staging and mart tables and returns a frame.
 
-``checked`` arguments named ``large`` are left to the operators: they measure the
-largest group and split it when it would not fit one task.
+Whether a group must be split over tasks is left to the operators, which measure it.
 """
 
 from __future__ import annotations
@@ -14,7 +13,7 @@ from puckspark.operators.flatten import PLAYOFF, REGULAR
 from puckspark.operators.ordered import latest_per, percentile_within, sequence_number, windowed
 from puckspark.operators.rates import career, for_against, ratio_of_sums, share, tracked_ratio
 from puckspark.operators.relate import left_chain, resolve_via, two_perspectives, with_name
-from puckspark.operators.sizing import lookup
+from puckspark.operators.sizing import has_large_group, lookup
 
 CURRENT_SEASON = 20252026
 MIN_GAMES_RANKED = 20
@@ -124,8 +123,9 @@ _PLAYER_GAME_STATS = [
 
 def _player_games(t: Tables, kind: int, extra: dict[str, Column]) -> DataFrame:
     games = t["stg_player_games"].filter(F.col("game_type") == kind)
+    large = has_large_group(games, ["player_id"])  # before the name join, which adds no rows
     games = with_name(games, t["dim_players"], "player_id", "full_name")
-    games = sequence_number(games, ["player_id"], ["game_date", "game_id"], "player_game_number")
+    games = sequence_number(games, ["player_id"], ["game_date", "game_id"], "player_game_number", large)
     return games.select(
         S.surrogate_key("game_id", "player_id").alias("player_game_key"), "game_id", "season_id", "game_date",
         *[c.alias(o) for o, c in extra.items()],
@@ -331,7 +331,7 @@ def mart_team_season(t: Tables) -> DataFrame:
 
 
 def mart_team_playoff_season(t: Tables) -> DataFrame:
-    codes = lookup(t["stg_teams"].select("team_id", "tri_code"))
+    codes = lookup(t["stg_teams"].select("team_id", "tri_code"), materialise=False)
     return t["stg_team_summary_playoffs"].join(codes, "team_id", "left").select(
         S.surrogate_key("team_id", "season_id").alias("team_season_key"), "team_id", "tri_code", "season_id",
         "team_name", "games_played", "wins", "losses", *_TEAM_GOALS, *_TEAM_SHOTS,

@@ -86,30 +86,32 @@ class XgModel:
 def fit(train: DataFrame, label: str, numeric=NUMERIC, categorical=CATEGORICAL) -> XgModel:
     """L2 logistic regression with unit strength on unscaled features.
 
-    Spark averages the loss over rows, so strength 1 on the sum is 1/n here.
+    Rows with equal features and outcome count once with a weight: rink coordinates are
+    whole feet, so the iterations run over a table that stops growing with the data.
+    Spark averages the loss over the weights, so strength 1 on the sum is 1/n here.
     """
-    # project before caching: only the features and the label are re-read by the iterations
-    inputs = with_inputs(train, numeric, categorical).select(
-        *[f"_x_{c}" for c in numeric], *[f"_c_{c}" for c in categorical], F.col(label).cast("double").alias("_y")
-    ).persist()
-    n = inputs.count()
+    cols = [f"_x_{c}" for c in numeric] + [f"_c_{c}" for c in categorical]
+    rows = with_inputs(train, numeric, categorical).withColumn("_y", F.col(label).cast("double"))
+    inputs = pin(rows.groupBy(*cols, "_y").agg(F.count("*").cast("double").alias("_w")))
+    n = int(inputs.agg(F.sum("_w")).first()[0] or 0)
     lr = LogisticRegression(
-        featuresCol="features", labelCol="_y", maxIter=MAX_ITER, regParam=1.0 / max(n, 1),
+        featuresCol="features", labelCol="_y", weightCol="_w", maxIter=MAX_ITER, regParam=1.0 / max(n, 1),
         elasticNetParam=0.0, standardization=False, tol=1e-6,
     )
+    inputs = inputs.persist()
     model = Pipeline(stages=[*feature_stages(numeric, categorical), lr]).fit(inputs)
     inputs.unpersist()
     return XgModel(model, list(numeric), list(categorical), n)
 
 
 def holdout_report(model: XgModel, test: DataFrame, label: str) -> dict[str, float]:
-    """Area under the ROC curve, and predicted against actual totals, on unseen rows."""
-    scored = pin(
-        model.pipeline.transform(with_inputs(test, model.numeric, model.categorical))
-        .select(vector_to_array("probability")[1].alias("p"), F.col(label).cast("double").alias("y"))
-    )
-    auc = BinaryClassificationEvaluator(rawPredictionCol="p", labelCol="y").evaluate(scored)
-    totals = scored.agg(F.sum("p").alias("p"), F.sum("y").alias("y")).first()
+    """Exact area under the ROC curve, and predicted against actual totals, on unseen rows."""
+    cols = [f"_x_{c}" for c in model.numeric] + [f"_c_{c}" for c in model.categorical]
+    rows = with_inputs(test, model.numeric, model.categorical).withColumn("y", F.col(label).cast("double"))
+    distinct = rows.groupBy(*cols, "y").agg(F.count("*").cast("double").alias("w"))
+    scored = pin(model.pipeline.transform(distinct).select(vector_to_array("probability")[1].alias("p"), "y", "w"))
+    auc = BinaryClassificationEvaluator(rawPredictionCol="p", labelCol="y", weightCol="w", numBins=0).evaluate(scored)
+    totals = scored.agg(F.sum(F.col("p") * F.col("w")).alias("p"), F.sum(F.col("y") * F.col("w")).alias("y")).first()
     return {"auc": auc, "predicted": totals["p"], "actual": totals["y"]}
 
 
