@@ -193,20 +193,27 @@ FROM lineitem JOIN orders ON o_orderkey = l_orderkey""",
 NEW, OLD = "2026-01-02 00:00:00", "2026-01-01 00:00:00"
 
 
+_leagues: dict[tuple[str, str], League] = {}
+
+
+def league(t: Tables) -> League:
+    """The one warehouse of this session and folder. Like any warehouse it keeps the tables
+    that later plans read, so a mart is timed from its stored inputs."""
+    return _leagues.setdefault((t.spark.sparkContext.applicationId, t.folder), League(t))
+
+
 class League:
-    """Raw, staging and mart frames by name, built on first use."""
+    """Raw, staging and mart frames by name; the inputs of other frames are stored on first use."""
 
     def __init__(self, t: Tables):
         self.t = t
         self.frames: dict[str, DataFrame] = {}
 
     def feed(self, name: str) -> DataFrame:
-        tables = {b: self.t.spread(b) for b in BASE_TABLES}
         text = FEEDS[name]
         for b in BASE_TABLES:
             text = re.sub(rf"\b(FROM|JOIN) {b}\b", rf"\1 {{{b}}}", text)
-        used = {b: df for b, df in tables.items() if f"{{{b}}}" in text}
-        return self.t.spark.sql(text, **used)
+        return self.t.spark.sql(text, **{b: self.t.spread(b) for b in BASE_TABLES if f"{{{b}}}" in text})
 
     def raw(self, name: str) -> DataFrame:
         """The feed as landed: JSON documents where it has them, plus an older load of every row."""
@@ -492,7 +499,7 @@ def with_inputs(body: str) -> str:
 
 
 def _register(name: str, sql: str | None):
-    query(name, with_inputs(sql) if sql else None)(lambda t: League(t).build(name))
+    query(name, with_inputs(sql) if sql else None)(lambda t: league(t).build(name))
 
 
 for _name, _sql in SQL.items():
@@ -503,7 +510,7 @@ _register("mart_player_similarity", None)
 
 @query("team_slice", with_inputs(SQL["team_slice"]))
 def team_slice(t):
-    return marts.team_slice(League(t), "T07")
+    return marts.team_slice(league(t), "T07")
 
 
 @query("flatten_boxscores", with_inputs("SELECT * FROM player_games"))
@@ -514,7 +521,7 @@ def flatten_boxscores_query(t):
 @query("fct_shots_model")
 def fct_shots_model(t):
     """Shots scored by the trained model."""
-    return xg.fct_shots(League(t))
+    return xg.fct_shots(league(t))
 
 
 # --- play-by-play documents from the event stream ------------------------------------------

@@ -17,13 +17,16 @@ class Tables:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self._spread: dict[str, DataFrame] = {}
 
     def spread(self, name: str) -> DataFrame:
         """A table for heavy row-wise work: one too small to fill the cores is dealt out over them."""
-        df = getattr(self, name)
-        if df.count() > SMALL_TABLE_ROWS:  # read from the file footers
-            return df
-        return df.repartition(self.spark.sparkContext.defaultParallelism, df.columns[0])
+        if name not in self._spread:
+            df = getattr(self, name)
+            small = df.count() <= SMALL_TABLE_ROWS  # read from the file footers
+            cores = self.spark.sparkContext.defaultParallelism
+            self._spread[name] = df.repartition(cores, df.columns[0]) if small else df
+        return self._spread[name]
 
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")

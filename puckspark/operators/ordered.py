@@ -61,14 +61,14 @@ def running_total(
     if not large:
         w = Window.partitionBy(*part).orderBy(*_cols(order)).rowsBetween(*upto)
         return df.withColumn(out, F.sum(value).over(w))
-    seg = segmented(df.withColumn("_v", value), part, order)
+    seg = segmented(df.withColumn("_add", value), part, order)
     base = _continuations(
-        seg, part, [F.sum("_v").alias("_t")], lambda before: [F.sum("_t").over(before).alias("_base")]
+        seg, part, [F.sum("_add").alias("_seg_sum")], lambda before: [F.sum("_seg_sum").over(before).alias("_before")]
     )
     w = Window.partitionBy(*part, SEG).orderBy(*_cols(order)).rowsBetween(*upto)
-    local = seg.withColumn(out, F.sum("_v").over(w))
+    local = seg.withColumn(out, F.sum("_add").over(w))
     joined = null_safe_join(local, base, [*part, SEG], "left")
-    return joined.withColumn(out, F.col(out) + F.coalesce("_base", F.lit(0))).drop("_v", SEG, "_base")
+    return joined.withColumn(out, F.col(out) + F.coalesce("_before", F.lit(0))).drop("_add", SEG, "_before")
 
 
 def sequence_number(

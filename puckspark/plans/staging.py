@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from puckspark.functions import scalars as S
-from puckspark.operators.flatten import explode_categories, pivot_categories
+from puckspark.operators.flatten import explode_categories, parse_json, pivot_categories
 from puckspark.operators.ordered import latest_per
 from puckspark.operators.rates import era_guard
 from puckspark.operators.relate import rename_select
-from puckspark.sources.schemas import LOADED_AT
+from puckspark.sources.schemas import LOADED_AT, SCHEDULE
 
 
 def newest_load(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -154,24 +154,26 @@ def game_type(game_id: str = "game_id") -> Column:
     return S.digits(game_id, 5, 2)
 
 
-# Output column -> (payload path, type).
+# Output column -> (field of the document, type).
 _SCHEDULE_FIELDS = {
-    "game_date": ("$.gameDate", "date"),
-    "game_state": ("$.gameState", "string"),
-    "home_abbrev": ("$.homeTeam.abbrev", "string"),
-    "away_abbrev": ("$.awayTeam.abbrev", "string"),
-    "home_score": ("$.homeTeam.score", "long"),
-    "away_score": ("$.awayTeam.score", "long"),
-    "last_period_type": ("$.gameOutcome.lastPeriodType", "string"),
-    "start_time_utc": ("$.startTimeUTC", "timestamp"),
-    "venue": ("$.venue.default", "string"),
+    "game_date": ("gameDate", "date"),
+    "game_state": ("gameState", "string"),
+    "home_abbrev": ("homeTeam.abbrev", "string"),
+    "away_abbrev": ("awayTeam.abbrev", "string"),
+    "home_score": ("homeTeam.score", "long"),
+    "away_score": ("awayTeam.score", "long"),
+    "last_period_type": ("gameOutcome.lastPeriodType", "string"),
+    "start_time_utc": ("startTimeUTC", "timestamp"),
+    "venue": ("venue.default", "string"),
 }
 
 
 def stage_schedule(df: DataFrame) -> DataFrame:
-    return newest_load(df, ["game_id"]).select(
+    """The document is parsed once, as text fields; the casts stay strict."""
+    docs = parse_json(newest_load(df, ["game_id"]), SCHEDULE)
+    return docs.select(
         "game_id", game_type().alias("game_type"), "season_id",
-        *[S.json_text("payload", p).cast(t).alias(o) for o, (p, t) in _SCHEDULE_FIELDS.items()],
+        *[F.col(f"doc.{path}").cast(t).alias(o) for o, (path, t) in _SCHEDULE_FIELDS.items()],
     )
 
 

@@ -90,6 +90,10 @@ _SIDE = f"struct<forwards: array<{_SKATER}>, defense: array<{_SKATER}>, goalies:
 BOXSCORE = " ".join(f"""id bigint, season bigint, gameDate string, homeTeam struct<abbrev: string>,
     awayTeam struct<abbrev: string>, playerByGameStats struct<homeTeam: {_SIDE}, awayTeam: {_SIDE}>""".split())
 
+SCHEDULE = " ".join("""gameDate string, gameState string, startTimeUTC string,
+    homeTeam struct<abbrev: string, score: string>, awayTeam struct<abbrev: string, score: string>,
+    gameOutcome struct<lastPeriodType: string>, venue struct<default: string>""".split())
+
 RIGHT_RAIL = "teamGameStats array<struct<category: string, awayValue: string, homeValue: string>>"
 
 _TEAM = "struct<id: bigint, abbrev: string>"
