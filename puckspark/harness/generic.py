@@ -816,12 +816,12 @@ def dq_summary(t):
 # --- serving ----------------------------------------------------------------------------
 
 
-def _board(section: str, body: str, n: int = 10) -> str:
+def board(section: str, body: str, n: int = 10) -> str:
     return f"""SELECT '{section}' AS section, CAST(row_number() OVER (ORDER BY value DESC NULLS LAST, k) AS INTEGER) AS rank, label, sublabel, CAST(value AS DOUBLE) AS value
 FROM ({body}) QUALIFY row_number() OVER (ORDER BY value DESC NULLS LAST, k) <= {n}"""
 
 
-@query("leaders_global", _board("rich", "SELECT c_custkey AS k, c_name AS label, c_mktsegment AS sublabel, c_acctbal AS value FROM customer"))
+@query("leaders_global", board("rich", "SELECT c_custkey AS k, c_name AS label, c_mktsegment AS sublabel, c_acctbal AS value FROM customer"))
 def leaders_global(t):
     return rl.leaders(t.customer, "rich", F.col("c_name"), F.col("c_mktsegment"), "c_acctbal", "c_custkey")
 
@@ -830,9 +830,9 @@ _ACTIVE = "WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderdate >=
 
 
 @query("leaders_stacked", " UNION ALL ".join(f"({b})" for b in (
-    _board("customers", f"SELECT c_custkey AS k, c_name AS label, c_mktsegment AS sublabel, c_acctbal AS value FROM customer {_ACTIVE}"),
-    _board("suppliers", "SELECT s_suppkey AS k, s_name AS label, NULL::VARCHAR AS sublabel, s_acctbal AS value FROM supplier"),
-    _board("orders", "SELECT o_orderkey AS k, o_orderpriority AS label, CAST(year(o_orderdate) AS VARCHAR) AS sublabel, o_totalprice AS value FROM orders"))))
+    board("customers", f"SELECT c_custkey AS k, c_name AS label, c_mktsegment AS sublabel, c_acctbal AS value FROM customer {_ACTIVE}"),
+    board("suppliers", "SELECT s_suppkey AS k, s_name AS label, NULL::VARCHAR AS sublabel, s_acctbal AS value FROM supplier"),
+    board("orders", "SELECT o_orderkey AS k, o_orderpriority AS label, CAST(year(o_orderdate) AS VARCHAR) AS sublabel, o_totalprice AS value FROM orders"))))
 def leaders_stacked(t):
     active = t.orders.filter(F.col("o_orderdate") >= "2001-06-01").select(F.col("o_custkey").alias("c_custkey"))
     return rl.stack_sections([

@@ -187,7 +187,9 @@ FROM orders WHERE o_orderstatus <> 'P' OR o_orderpriority <> '5-LOW'""",
   l_linestatus = 'O' AS is_home_team, CASE WHEN l_linestatus = 'O' THEN 1000000 + o_custkey ELSE 1000000 + o_custkey + 2 END AS shooting_player_id,
   CASE WHEN l_discount < 0.1 THEN 3000000 + l_suppkey END AS goalie_in_net_id, l_discount >= 0.1 AS is_empty_net,
   CASE l_linenumber % 3 WHEN 0 THEN 'PP' WHEN 1 THEN 'EV' ELSE 'SH' END AS strength_state, l_linenumber = 2 AS is_rebound, l_tax > 0.06 AS is_rush
-FROM lineitem JOIN orders ON o_orderkey = l_orderkey""",
+FROM (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, max(l_quantity) AS l_quantity, max(l_discount) AS l_discount, max(l_tax) AS l_tax,
+    max(l_returnflag) AS l_returnflag, max(l_linestatus) AS l_linestatus FROM lineitem GROUP BY l_orderkey, l_partkey, l_suppkey, l_linenumber) AS lines
+  JOIN orders ON o_orderkey = l_orderkey""",
 }
 
 NEW, OLD = "2026-01-02 00:00:00", "2026-01-01 00:00:00"

@@ -197,7 +197,11 @@ def percentile_within(
 
 def top_k_per(df: DataFrame, part: Sequence[str], order: Order, k: int, rank: str = "rank") -> DataFrame:
     """First k rows of each group. Spark cuts each group to k rows before the shuffle
-    (window group limit), so a hot group never travels whole."""
+    (window group limit), so a hot group never travels whole; it does so up to a
+    configured k, beyond which the rows are numbered with the split plan."""
+    limit = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
+    if k > limit:
+        return sequence_number(df, part, order, rank).filter(F.col(rank) <= k)
     w = Window.partitionBy(*part).orderBy(*_cols(order))
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
 

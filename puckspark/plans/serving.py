@@ -48,8 +48,8 @@ def season_leaders(t: Tables, season: int = CURRENT_SEASON, n: int = 10) -> Data
         leaders(skaters, "points", name, team, "points", "player_id", n),
         leaders(skaters, "goals", name, team, "goals", "player_id", n),
         leaders(_final_form(t), "hot", name, F.col("team_abbrev"), "points_last_10", "player_id", n),
-        leaders(xg, "xg", name, team, "expected_goals", "player_id", n),
-        leaders(xg.filter("unblocked_attempts >= 100"), "finishing", name, team, "goals_above_expected", "player_id", n),
+        leaders(xg, "xg", name, team, "expected_goals", "player_season_key", n),
+        leaders(xg.filter("unblocked_attempts >= 100"), "finishing", name, team, "goals_above_expected", "player_season_key", n),
         leaders(goalies, "save_pct", name, team, "save_pct", "player_id", n),
         leaders(t["mart_team_xg_season"], "xg_share", F.col("team_abbrev"), F.lit(None), "xg_share", "team_abbrev", n),
     ])

@@ -117,3 +117,13 @@ def test_latest_and_top_k(spark):
 def test_hot_group_is_cut_before_the_shuffle(spark):
     plan = od.latest_per(skewed(spark), ["k"], [F.desc("day"), "id"])._jdf.queryExecution().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_top_k_beyond_the_group_limit(spark, small_groups):
+    df = skewed(spark)
+    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "10")
+    try:
+        got = od.top_k_per(df, ["k"], ORDER, 30, "r").withColumn("r", F.col("r").cast("int"))
+    finally:
+        spark.conf.unset("spark.sql.optimizer.windowGroupLimitThreshold")
+    assert rows(got) == rows(od.top_k_per(df, ["k"], ORDER, 30, "r"))
