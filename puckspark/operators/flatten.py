@@ -62,7 +62,8 @@ def flatten_boxscores(df: DataFrame, column: str = "payload") -> DataFrame:
         F.col("d.homeTeam.abbrev").alias("home"), F.col("d.awayTeam.abbrev").alias("away"), groups.alias("groups"),
     )
     game = ["game_id", "season_id", "game_date", "home", "away"]
-    rows = games.select(*game, F.inline("groups")).select(*game, "is_home", "goalie", F.explode("players").alias("p"))
+    # six groups always; the outer form keeps Spark from parsing again to test for none
+    rows = games.select(*game, F.inline_outer("groups")).select(*game, "is_home", "goalie", F.explode("players").alias("p"))
     rows = rows.withColumns({
         "team_abbrev": F.when(F.col("is_home"), F.col("home")).otherwise(F.col("away")),
         "opponent_abbrev": F.when(F.col("is_home"), F.col("away")).otherwise(F.col("home")),
@@ -84,11 +85,22 @@ def flatten_boxscores(df: DataFrame, column: str = "payload") -> DataFrame:
     )
 
 
+def elements(df: DataFrame, array: str) -> DataFrame:
+    """One row per element as (pos, p) beside the other columns.
+
+    A plain explode makes Spark test the array's size below the parse, which parses the
+    document twice; the outer form with the filter after it parses once.
+    """
+    others = [c for c in df.columns if c != array]
+    return df.select(*others, F.posexplode_outer(array).alias("pos", "p")).filter(F.col("pos").isNotNull())
+
+
 def explode_categories(df: DataFrame, keys: Sequence[str], column: str = "payload") -> DataFrame:
     """Right-rail document -> (keys, category, away_value, home_value) as text."""
-    doc = F.from_json(column, RIGHT_RAIL)
-    return df.select(*keys, F.inline(doc["teamGameStats"])).select(
-        *keys, "category", F.col("awayValue").alias("away_value"), F.col("homeValue").alias("home_value")
+    docs = df.select(*keys, F.from_json(column, RIGHT_RAIL).alias("d")).select(*keys, F.col("d.teamGameStats").alias("stats"))
+    return elements(docs, "stats").select(
+        *keys, F.col("p.category").alias("category"), F.col("p.awayValue").alias("away_value"),
+        F.col("p.homeValue").alias("home_value"),
     )
 
 
@@ -113,7 +125,7 @@ def explode_plays(df: DataFrame, column: str = "payload") -> DataFrame:
         F.col("d.id").alias("game_id"), F.col("d.season").alias("season_id"),
         F.col("d.homeTeam").alias("home"), F.col("d.awayTeam").alias("away"), F.col("d.plays").alias("plays"),
     )
-    return games.select("game_id", "season_id", "home", "away", F.posexplode("plays").alias("pos", "p"))
+    return elements(games, "plays").select("game_id", "season_id", "home", "away", "pos", "p")
 
 
 def shooter_team(event: Column, owner: Column, home: Column, away: Column) -> Column:

@@ -8,7 +8,6 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,16 +70,33 @@ def stratified_split(df: DataFrame, label: str, keys: list[str], frac: float = H
 
 @dataclass
 class XgModel:
-    pipeline: PipelineModel
-    numeric: list[str]
-    categorical: list[str]
+    """A fitted model as plain numbers, so that scoring is column arithmetic."""
+
+    intercept: float
+    numeric: dict[str, float]  # column -> weight
+    levels: dict[str, dict[str, float]]  # column -> {level: weight}; other levels weigh nothing
     n_train: int
 
     def probability(self, df: DataFrame, out: str = "_p") -> DataFrame:
-        scored = self.pipeline.transform(with_inputs(df, self.numeric, self.categorical))
-        work = [c for c in scored.columns if c[:3] in ("_x_", "_c_", "_i_", "_o_")]
-        scored = scored.withColumn(out, vector_to_array("probability")[1])
-        return scored.drop(*work, "features", "rawPrediction", "probability", "prediction")
+        inputs = with_inputs(df, list(self.numeric), list(self.levels))
+        score = F.lit(self.intercept)
+        for c, w in self.numeric.items():
+            score = score + F.col(f"_x_{c}") * w
+        for c, weights in self.levels.items():
+            level = F.create_map(*[F.lit(v) for pair in weights.items() for v in pair])
+            score = score + F.coalesce(F.try_element_at(level, F.col(f"_c_{c}")), F.lit(0.0))
+        work = [c for c in inputs.columns if c[:3] in ("_x_", "_c_")]
+        return inputs.withColumn(out, 1 / (1 + F.exp(-score))).drop(*work)
+
+
+def as_model(fitted: PipelineModel, numeric: list[str], categorical: list[str], n: int) -> XgModel:
+    """Weights by column and level, read in the order the features were assembled."""
+    indexer, regression = fitted.stages[0], fitted.stages[-1]
+    weights = iter(float(w) for w in regression.coefficients.toArray())
+    return XgModel(
+        float(regression.intercept), {c: next(weights) for c in numeric},
+        {c: {level: next(weights) for level in levels} for c, levels in zip(categorical, indexer.labelsArray)}, n,
+    )
 
 
 def fit(train: DataFrame, label: str, numeric=NUMERIC, categorical=CATEGORICAL) -> XgModel:
@@ -101,15 +117,13 @@ def fit(train: DataFrame, label: str, numeric=NUMERIC, categorical=CATEGORICAL)
     inputs = inputs.persist()
     model = Pipeline(stages=[*feature_stages(numeric, categorical), lr]).fit(inputs)
     inputs.unpersist()
-    return XgModel(model, list(numeric), list(categorical), n)
+    return as_model(model, list(numeric), list(categorical), n)
 
 
 def holdout_report(model: XgModel, test: DataFrame, label: str) -> dict[str, float]:
     """Exact area under the ROC curve, and predicted against actual totals, on unseen rows."""
-    cols = [f"_x_{c}" for c in model.numeric] + [f"_c_{c}" for c in model.categorical]
-    rows = with_inputs(test, model.numeric, model.categorical).withColumn("y", F.col(label).cast("double"))
-    distinct = rows.groupBy(*cols, "y").agg(F.count("*").cast("double").alias("w"))
-    scored = pin(model.pipeline.transform(distinct).select(vector_to_array("probability")[1].alias("p"), "y", "w"))
+    rows = model.probability(test, "p").groupBy("p", F.col(label).cast("double").alias("y"))
+    scored = pin(rows.agg(F.count("*").cast("double").alias("w")))
     auc = BinaryClassificationEvaluator(rawPredictionCol="p", labelCol="y", weightCol="w", numBins=0).evaluate(scored)
     totals = scored.agg(F.sum(F.col("p") * F.col("w")).alias("p"), F.sum(F.col("y") * F.col("w")).alias("y")).first()
     return {"auc": auc, "predicted": totals["p"], "actual": totals["y"]}

@@ -52,6 +52,12 @@ def test_split_is_stratified_and_repeatable(spark):
         assert abs(len(once & ids) - 0.2 * len(ids)) <= 1
 
 
+def test_unseen_level_weighs_nothing(spark):
+    model = xg.XgModel(0.0, {"distance_ft": 0.0}, {"shot_type": {"wrist": 2.0}}, 1)
+    df = spark.createDataFrame([(1.0, "wrist"), (1.0, "lob"), (1.0, None)], "distance_ft double, shot_type string")
+    assert [round(r._p, 6) for r in model.probability(df).collect()] == [0.880797, 0.5, 0.5]
+
+
 def newton(x, y):
     """Unit-strength L2 logistic regression (free intercept) by Newton steps."""
     x1 = np.hstack([x, np.ones((len(x), 1))])
@@ -70,8 +76,11 @@ def test_model_is_the_unit_strength_optimum(spark):
     x = np.array(features(spark, train, train))
     y = np.array([float(r.is_goal) for r in train.collect()])
     want = newton(x, y)
-    fitted = model.pipeline.stages[-1]
-    assert np.allclose(np.append(fitted.coefficients.toArray(), fitted.intercept), want, atol=2e-3)
+    weights = [*model.numeric.values(), *(w for levels in model.levels.values() for w in levels.values()), model.intercept]
+    assert np.allclose(weights, want, atol=2e-3)
+    scored = model.probability(train.withColumn("pos", F.monotonically_increasing_id())).orderBy("pos").select("_p").collect()
+    x1 = np.hstack([x, np.ones((len(x), 1))])
+    assert np.allclose([r._p for r in scored], 1 / (1 + np.exp(-x1 @ np.array(weights))), atol=1e-12)
 
 
 def test_training_report_and_scores(spark):
