@@ -10,7 +10,7 @@ from puckspark.harness.registry import query
 from puckspark.operators import quality as dq
 from puckspark.operators.flatten import normalize_shots
 from puckspark.operators.search import compare_profiles
-from puckspark.plans import serving, warehouse, xg
+from puckspark.plans import comps, serving, warehouse, xg
 
 
 def served(name: str, sql: str | None = None):
@@ -174,6 +174,13 @@ def goalie_comps(t):
     return serving.goalie_comps(league(t), "Goalie 7")
 
 
+@served("spot_check")
+def spot_check(t):
+    g = league(t)
+    names = g["dim_players"].select("player_id", "full_name")
+    return comps.spot_check(g["mart_player_similarity"], names, ["Player 7", "Goalie 7", "Nobody"])
+
+
 # --- gates ------------------------------------------------------------------------------------
 
 

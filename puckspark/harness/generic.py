@@ -122,6 +122,29 @@ def ndjson_roundtrip(t):
     return t.spark.read.schema(rows.schema).json(path).withColumn("written", F.lit(n).cast("long"))
 
 
+@query("read_raw", """
+SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS "fullName", CASE WHEN n_regionkey <> 3 THEN 'N' || n_nationkey END AS "triCode",
+  CAST(n_regionkey AS BIGINT) AS "franchiseId", TIMESTAMP '2026-01-02 03:04:05' AS "_loaded_at" FROM nation""")
+def read_raw(t):
+    rows = t.nation.select(
+        F.col("n_nationkey").alias("id"), F.col("n_name").alias("fullName"), F.lit("ignored").alias("extra"),
+        F.when(F.col("n_regionkey") != 3, F.concat(F.lit("N"), F.col("n_nationkey"))).alias("triCode"), F.col("n_regionkey").alias("franchiseId"))
+    folder = fresh(t)
+    sinks.write_ndjson(raw.stamp_loaded(rows, "2026-01-02 03:04:05"), f"{folder}/raw_teams.ndjson")
+    return raw.read_raw(t.spark, folder, "raw_teams").withColumn("_loaded_at", F.col("_loaded_at").cast("timestamp_ntz"))
+
+
+@query("read_payloads", "SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS name FROM nation")
+def read_payloads(t):
+    """One file per document: the text sink writes one per key here."""
+    folder = fresh(t)
+    docs = t.nation.select("n_nationkey", F.to_json(F.struct("n_nationkey", "n_name")).alias("value"))
+    docs.write.partitionBy("n_nationkey").text(folder)
+    doc = S.json_text
+    return raw.read_payloads(t.spark, f"{folder}/*/*.txt").select(
+        doc("payload", "$.n_nationkey").cast("long").alias("id"), doc("payload", "$.n_name").alias("name"))
+
+
 @query("append_log", """
 SELECT substring(text, 1, 2000) AS question, substring(text || '\n---\n' || role, 1, 10000) AS sql_queries,
        CAST(2 AS BIGINT) AS sql_count, CAST(turn AS BIGINT) AS row_count FROM conversations

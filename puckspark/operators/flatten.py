@@ -119,13 +119,13 @@ def dedupe_schedule(df: DataFrame, game: str, game_type: str, order: Sequence[Co
 
 
 def explode_plays(df: DataFrame, column: str = "payload") -> DataFrame:
-    """Every play of every game with its game's teams and its place in the list."""
-    docs = df.select(F.from_json(column, PLAY_BY_PLAY).alias("d"))
+    """Every play of every document with its game's teams and its place in the list."""
+    docs = df.select(F.xxhash64(column).alias("_doc"), F.from_json(column, PLAY_BY_PLAY).alias("d"))
     games = docs.select(
-        F.col("d.id").alias("game_id"), F.col("d.season").alias("season_id"),
+        "_doc", F.col("d.id").alias("game_id"), F.col("d.season").alias("season_id"),
         F.col("d.homeTeam").alias("home"), F.col("d.awayTeam").alias("away"), F.col("d.plays").alias("plays"),
     )
-    return elements(games, "plays").select("game_id", "season_id", "home", "away", "pos", "p")
+    return elements(games, "plays").select("_doc", "game_id", "season_id", "home", "away", "pos", "p")
 
 
 def shooter_team(event: Column, owner: Column, home: Column, away: Column) -> Column:
@@ -167,8 +167,10 @@ def follows_own_attempt(
 def flatten_shots(df: DataFrame, column: str = "payload") -> DataFrame:
     """Shot attempts of every game with geometry, strength, rebound and rush flags.
 
-    A game's plays all come from one document, so a game always fits one task.
+    Sequence state runs within one document, so however often a game was landed a group
+    is never larger than a document. Identical copies of a document must be dropped before.
     """
+    group = ["_doc", "game_id"]
     plays = explode_plays(df, column)
     # Shootouts leave before any sequence state; other non-shots stay until the zone lookup is done.
     plays = plays.filter(~F.col("p.periodDescriptor.periodType").eqNullSafe("SO"))
@@ -184,14 +186,14 @@ def flatten_shots(df: DataFrame, column: str = "payload") -> DataFrame:
     )
     shooter, seconds, order = F.col("_shooter"), F.col("game_seconds"), ["_order", "pos"]
     plays = seconds_since_zone_exit(
-        plays, ["game_id"], order, owner, shooter, [home, away],
+        plays, group, order, owner, shooter, [home, away],
         F.col("p.details.zoneCode").isin("N", "D"), seconds, "_since_exit", large=False,
     )
     shots = plays.filter(
         event.isin(SHOT_EVENTS) & F.col("p.details.xCoord").isNotNull() & F.col("p.details.yCoord").isNotNull()
     )
     shots = follows_own_attempt(
-        shots, ["game_id"], order, event.isin(UNBLOCKED_EVENTS), shooter,
+        shots, group, order, event.isin(UNBLOCKED_EVENTS), shooter,
         F.col("p.periodDescriptor.number"), seconds, REBOUND_SECONDS, "is_rebound", large=False,
     )
     shots = shots.withColumn("is_home_team", shooter.eqNullSafe(home))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from puckspark.session import broadcast_rows, group_rows, pin
+from puckspark.session import broadcast_rows, group_rows, pin_counted
 
 
 def has_large_group(df: DataFrame, keys: Sequence[str]) -> bool:
@@ -17,15 +17,18 @@ def has_large_group(df: DataFrame, keys: Sequence[str]) -> bool:
 
 
 def lookup(df: DataFrame, materialise: bool = True) -> DataFrame:
-    """A join side: broadcast once its row count is known to be small, shuffled otherwise.
+    """A join side: broadcast once its row count is known to be small, shuffled otherwise
+    (Spark then splits skewed partitions of the other side itself).
 
-    The frame is written first, so the check does not compute it twice.
-    Pass ``materialise=False`` for a stored table.
+    The frame is written first and counted on the way, so the check does not compute it
+    twice. Pass ``materialise=False`` for a stored table, whose count is cheap.
     """
-    if materialise:
-        df = pin(df)
     limit = broadcast_rows(df.sparkSession)
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    if materialise:
+        df, n = pin_counted(df)
+    else:
+        n = df.limit(limit + 1).count()
+    return F.broadcast(df) if n <= limit else df
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:

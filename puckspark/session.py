@@ -7,7 +7,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 # Rows one window task may hold before a group is split.
 DEFAULT_GROUP_ROWS = 1_000_000
@@ -56,7 +57,12 @@ def shared_dir(spark: SparkSession) -> str:
 def pin(df: DataFrame) -> DataFrame:
     """Write once to the shared folder and read back, so that a lost executor
     neither recomputes the frame nor sees different contents."""
-    spark = df.sparkSession
+    return pin_counted(df)[0]
+
+
+def pin_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """``pin`` with the number of rows, counted while writing."""
+    spark, seen = df.sparkSession, Observation()
     path = f"{shared_dir(spark)}/puckspark/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), seen.get["n"]

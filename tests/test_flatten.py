@@ -78,6 +78,14 @@ def test_shots_equal_the_fold(spark):
     assert any(r[4] for r in want) and any(r[5] for r in want)
 
 
+def test_two_documents_of_one_game_stay_apart(spark):
+    rng = random.Random(8)
+    games = [random_game(rng, 1), random_game(rng, 1), random_game(rng, 1)]
+    got = fl.flatten_shots(docs(spark, games)).select(
+        "game_id", "event_id", "game_seconds", "is_home_team", "is_rebound", "is_rush", "distance_ft").collect()
+    assert sorted(map(tuple, got)) == sorted(row for g in games for row in fold(g))
+
+
 def test_shot_columns(spark):
     play = {
         "eventId": 7, "sortOrder": 3, "typeDescKey": "goal", "timeInPeriod": "01:05", "situationCode": "1451", "homeTeamDefendingSide": "left",
