@@ -67,10 +67,7 @@ def union_seasons(t):
             (F.col("o_orderdate") >= f"{y}-01-01") & (F.col("o_orderdate") < f"{y + 1}-01-01")
         ).select("o_orderkey", "o_totalprice") for y in range(1995, 2002)
     }
-    return rl_union(reports).groupBy("season_id").agg(F.count("*").alias("n"), F.sum(cents("o_totalprice")).alias("total"))
-
-
-rl_union = rl.union_seasons
+    return rl.union_seasons(reports).groupBy("season_id").agg(F.count("*").alias("n"), F.sum(cents("o_totalprice")).alias("total"))
 
 
 @query("season_fallback", """
@@ -479,9 +476,9 @@ WITH {GAMES} SELECT game, CAST(row_number() OVER ({LOG}) AS BIGINT) AS game_numb
 
 @query("trailing_ratio", ROLLING_SQL)
 def trailing_ratio(t):
-    up, down = mt.trailing_ratio("scored", "tried", stem="pp"), mt.trailing_ratio("scored", "tried", stem="pk", complement=True)
-    rows = od.windowed(games(t), ["player"], ["day", "game"], 14, lambda w: {**up(w), **down(w)}, number="game_number")
-    return rows.drop("player", "day", "season", "scored", "tried", "o_orderpriority", "o_orderstatus", "o_totalprice")
+    return mt.trailing_ratios(games(t).select("player", "day", "game", "scored", "tried"), ["player"], ["day", "game"], [
+        mt.TrailingRatio("pp", "scored", "tried"), mt.TrailingRatio("pk", "scored", "tried", complement=True),
+    ], number="game_number").drop("player", "day", "scored", "tried")
 
 
 @query("best_rolling_ratio", f"""

@@ -169,11 +169,10 @@ def percentile_within(
         large = has_large_group(df, part)
     df = df.withColumn("_q", q)
     if not large:
-        out = df.withColumns({
-            o: F.when(F.col("_q"), rounded(F.percent_rank().over(Window.partitionBy(*part, "_q").orderBy(m))))
-            for o, m in metrics.items()
+        ranked = df.withColumns({
+            o: F.percent_rank().over(Window.partitionBy(*part, "_q").orderBy(m)) for o, m in metrics.items()
         })
-        return out.drop("_q")
+        return ranked.withColumns({o: F.when(F.col("_q"), rounded(F.col(o))) for o in metrics}).drop("_q")
     # Large groups: count rows per distinct value of each metric, run the counts up in
     # value order, and bring the share below each value back to the rows.
     pool = df.filter("_q")

@@ -5,6 +5,8 @@ Whether a group must be split over tasks is left to the operators, which measure
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -338,29 +340,44 @@ def mart_team_playoff_season(t: Tables) -> DataFrame:
     )
 
 
-def trailing_ratio(n: str, d: str, sizes=ROLLING_GAMES, stem: str = "", complement: bool = False, k: int = 4):
-    """Builder for ``windowed``: sum(n) / sum(d) over the last 5, 10, ... rows, or one minus it."""
+@dataclass(frozen=True)
+class TrailingRatio:
+    """sum(made) / sum(chances) over the last 5, 10, ... rows, or one minus it."""
+
+    stem: str
+    made: str
+    chances: str
+    complement: bool = False
+
+    def value(self, size: int, digits: int = 4) -> Column:
+        share = S.sdiv(f"_{self.made}_{size}", f"_{self.chances}_{size}")
+        return S.rnd(1 - share if self.complement else share, digits)
+
+
+def trailing_ratios(
+    df: DataFrame, part: list[str], order: list[str], ratios: list[TrailingRatio], sizes=ROLLING_GAMES,
+    number: str | None = None, large: bool | None = None,
+) -> DataFrame:
+    """Adds <stem>_last_<size> for every ratio and size; each column is summed once per size."""
+    summed = sorted({c for r in ratios for c in (r.made, r.chances)})
+
     def build(w):
-        out = {}
-        for size in sizes:
-            frame = w.rowsBetween(1 - size, 0)
-            value = S.sdiv(F.sum(n).over(frame), F.sum(d).over(frame))
-            out[f"{stem}_last_{size}"] = S.rnd(1 - value if complement else value, k)
-        return out
-    return build
+        return {f"_{c}_{n}": F.sum(c).over(w.rowsBetween(1 - n, 0)) for c in summed for n in sizes}
+
+    rows = windowed(df, part, order, max(sizes) - 1, build, number, large)
+    rows = rows.withColumns({f"{r.stem}_last_{n}": r.value(n) for r in ratios for n in sizes})
+    return rows.drop(*[f"_{c}_{n}" for c in summed for n in sizes])
 
 
 def mart_team_special_teams_rolling(t: Tables) -> DataFrame:
-    power_play = trailing_ratio("pp_goals_for", "pp_opportunities", stem="pp_pct")
-    penalty_kill = trailing_ratio("pp_goals_against", "times_shorthanded", stem="pk_pct", complement=True)
     games = t["fct_team_games"].select(
         "game_team_key", "game_id", "season_id", "game_date", "game_number", "team_abbrev", "opponent", "result",
         "pp_goals_for", "pp_opportunities", "pp_goals_against", "times_shorthanded",
     )
-    return windowed(
-        games, ["team_abbrev"], ["game_number"], max(ROLLING_GAMES) - 1,
-        lambda w: {**power_play(w), **penalty_kill(w)},
-    )
+    return trailing_ratios(games, ["team_abbrev"], ["game_number"], [
+        TrailingRatio("pp_pct", "pp_goals_for", "pp_opportunities"),
+        TrailingRatio("pk_pct", "pp_goals_against", "times_shorthanded", complement=True),
+    ])
 
 
 def rolling_form(
@@ -370,10 +387,12 @@ def rolling_form(
     def build(w):
         frame = w.rowsBetween(1 - size, 0)
         out = {o: F.sum(c).over(frame) for o, c in sums.items()}
-        out[f"xg_last_{size}"] = S.rnd(F.sum(xg).over(frame), 2)
-        return out
+        return out | {f"xg_last_{size}": F.sum(xg).over(frame)}
+
     rows = windowed(games, [entity], [position], size - 1, build)
-    return rows.withColumn("games_in_window", F.least(position, F.lit(size)))
+    return rows.withColumns({
+        f"xg_last_{size}": S.rnd(f"xg_last_{size}", 2), "games_in_window": F.least(position, F.lit(size)),
+    })
 
 
 def form_against(baseline: str, size: int = FORM_GAMES) -> dict[str, Column]:
