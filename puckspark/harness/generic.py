@@ -453,7 +453,7 @@ def sequence_number(t):
 WITH {GAMES} SELECT game, date_diff('day', lag("day") OVER ({LOG}), "day") AS rest_days FROM games""")
 def rest_days(t):
     rows = od.windowed(games(t), ["player"], ["day", "game"], 1, mt.rest_columns("day"))
-    return rows.select("game", F.col("rest_days").cast("long").alias("rest_days"))
+    return rows.select("game", "rest_days")
 
 
 @query("back_to_back", f"""

@@ -14,7 +14,7 @@ from puckspark.operators.ordered import top_k_per
 from puckspark.operators.sizing import lookup, null_safe_join
 from puckspark.session import pin
 
-BLOCK_ROWS = 16384
+BLOCK_ROWS = 4096, 16384  # smallest and largest block; pools over 64 small blocks get larger ones
 CHUNK_ROWS = 512  # rows of one block scored at a time
 TIE_DIGITS = 12  # scores equal to this many digits are ordered by id
 
@@ -115,15 +115,16 @@ def top_comps(
 ) -> DataFrame:
     """(pool, key, comp, score, rank): the k most similar other rows of the same pool.
 
-    Each pool is hashed into blocks of about ``block_rows`` rows. One task compares one
+    Each pool is hashed into blocks of a bounded number of rows. One task compares one
     pair of blocks as a matrix product and returns k rows per left row, so no task holds
     more than two blocks and pairs are never emitted. The k best over all blocks follow.
     Exact; ties go to the lower id. Pools of one row give nothing.
     """
-    block_rows = block_rows or int(df.sparkSession.conf.get("puckspark.blockRows", str(BLOCK_ROWS)))
-    pool = list(pool)
+    low, high = (block_rows, block_rows) if block_rows else BLOCK_ROWS
+    pool, n = list(pool), F.count("*")
+    per_block = F.least(F.lit(high), F.greatest(F.lit(low), F.ceil(n / 64)))
     rows = pin(df.select(*pool, F.col(key).alias("id"), unit(vec).alias("vec")))
-    sizes = rows.groupBy(*pool).agg(F.ceil(F.count("*") / block_rows).cast("int").alias("_blocks"))
+    sizes = rows.groupBy(*pool).agg(F.ceil(n / per_block).cast("int").alias("_blocks"))
     rows = null_safe_join(rows, lookup(sizes, materialise=False), pool).withColumn(
         "_own", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int")
     )

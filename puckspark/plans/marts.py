@@ -84,7 +84,7 @@ _SIDE_GAME = ["team_abbrev", "opponent", "is_home", "goals_for", "goals_against"
 def rest_columns(day: str):
     """Days since the previous row and whether that is exactly one (never for the first)."""
     def build(w):
-        gap = F.datediff(F.col(day), F.lag(day).over(w))
+        gap = F.datediff(F.col(day), F.lag(day).over(w)).cast("long")
         return {"rest_days": gap, "is_back_to_back": F.coalesce(gap == 1, F.lit(False))}
     return build
 
