@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from puckspark.llm import decontaminate, mixing, near, sharding, toxicity
+import public_tokenizers
+from puckspark.llm import decontaminate, exact, language_model, mixing, near, secrets, sharding, token_counts, token_files, toxicity
+from puckspark.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -30,6 +33,46 @@ def _remainder(id_col: Column, n: int) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % n
 
 
+@_query("op1_token_files")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/token_files/{uuid.uuid4().hex}"
+    token_files.write_tokens(_read(spark, folder, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return token_files.document_index(spark, path)
+
+
+_OP2_SQL = """
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
+"""
+
+
+@_query("op2_exact_copies", _OP2_SQL)
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return exact.exact_groups(_read(spark, folder, "documents"), keep="largest")
+
+
+@_query("op3_unigram_counts")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    got = token_counts.count_tokens(_read(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return got.withColumnRenamed("id", "doc_id")
+
+
+@_query("op4_recurrent_scores")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    got = language_model.score_documents(_read(spark, folder, "documents"), train_on=lambda i: _remainder(i, 5) != 1)
+    return got.select(F.col("id").alias("doc_id"), (_remainder(F.col("id"), 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@_query("op5_secret_spans")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.find_secrets(_read(spark, folder, "documents"))
+    number = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        F.col("id").alias("doc_id"), number("assign"), number("access"), number("hex"),
+        F.sha2(secrets.joined(F.col("spans"), secrets.KINDS[:3]), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"),
+    )
+
+
 _OP6_SQL = r"""
 WITH RECURSIVE w AS (
     SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

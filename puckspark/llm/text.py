@@ -25,6 +25,11 @@ _LOWER[65:91] += 32
 _BYTE = _BYTE[_LOWER]  # a capital hashes like its small letter
 
 
+def lowered(raw: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z as a-z."""
+    return _LOWER[raw]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values whose output bits all depend on all input bits."""
     x = x ^ (x >> np.uint64(30))
