@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from puckspark.llm import decontaminate, mixing, near, sharding, toxicity
+from puckspark.llm.ship import with_code
 from puckspark.session import shared_dir
 
 REJECT_FROM = 0.3  # toxicity score
@@ -59,7 +60,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, written to the shared folder after each."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = with_code(spark).read.parquet(f"{sf_dir}/documents.parquet")
     place = f"{shared_dir(spark)}/corpus_pipeline/{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
         path = f"{place}/{k}_{name}"

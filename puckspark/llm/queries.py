@@ -5,11 +5,12 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import public_tokenizers
 from puckspark.llm import decontaminate, exact, language_model, mixing, near, secrets, sharding, token_counts, token_files, toxicity
+from puckspark.llm.ship import with_code
 from puckspark.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,7 +27,7 @@ def _query(name: str, sql: str | None = None):
 
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return with_code(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
 def _remainder(id_col: Column, n: int) -> Column:

@@ -16,71 +16,94 @@ import numpy as np
 
 BLOCK = 4096  # ids of a block
 REFRESH = 128  # ids between two updates of the order-0 table
-_TOP, _WORD, _MASK = np.uint64(32), np.uint64(16), np.uint64((1 << 48) - 1)
-_LOW16 = np.uint64(0xFFFF)
 _CONTEXTS = 32  # confidence 0-3 of order 2, of order 1, and whether they agree
-_EVEN = np.array([8192, 16384, 24576], np.int32)
 _LEAST = 64  # least chance of a symbol, of 32768
 _HASH = 2 * BLOCK
-# Target of the inner bounds 1-3 after symbol 0-3
-_TARGET = np.array([[32768 - (4 - j) * _LEAST if j > k else j * _LEAST for j in (1, 2, 3)] for k in range(4)], np.int32)
+_U = np.uint64
+_TOP, _LOW16, _MASK = _U(1 << 32), _U(0xFFFF), _U((1 << 48) - 1)
+# The four symbols start evenly; _TARGET has the bounds towards which they move after each symbol.
+_EVEN = np.array([0, 8192, 16384, 24576, 32768])
+_TARGET = np.array([[0, *(32768 - (4 - j) * _LEAST if j > k else j * _LEAST for j in (1, 2, 3)), 32768] for k in range(4)])
 
 
 class _Coder:
-    """State shared by both directions: the model, and low and range of every block."""
+    """State shared by both directions: the model, and low and range of every block. ``word`` is called with the blocks
+    whose leading 16 bits are settled and their low, before these bits leave."""
 
     def __init__(self, lanes: int, block: int):
-        self.n, self.block = lanes, block
-        self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 48) - 1, np.uint64)
-        self.lane = np.arange(lanes)
-        self.first = np.zeros(lanes * (block + 1), np.uint16)  # order 1: number << 2 | confidence
-        self.second = np.zeros(lanes * _HASH, np.uint16)  # order 2
+        self.low, self.range = np.zeros(lanes, _U), np.full(lanes, (1 << 48) - 1, _U)
+        lane = np.arange(lanes)
+        self.lane5, self.lane32, self.lane_counts = lane * 5, lane * _CONTEXTS, lane * (block + REFRESH + 1)
+        self.at_first, self.at_second = lane * (block + 1), lanes * (block + 1) + lane * _HASH
+        self.guess = np.zeros(lanes * (block + 1 + _HASH), np.uint16)  # of order 1, then of order 2: number << 2 | confidence
         self.bounds = np.tile(_EVEN, (lanes * _CONTEXTS, 1))
-        self.counts = np.zeros((lanes, block + REFRESH + 1), np.uint16)
+        self.counts = np.zeros(lanes * (block + REFRESH + 1), np.uint16)
+        self.shape = (lanes, block + REFRESH + 1)
         self.seen = np.zeros(lanes, np.int64)
-        self.p1 = np.full(lanes, block, np.int64)
-        self.p2 = np.zeros(lanes, np.int64)
+        self.p1, self.p2 = np.full(lanes, block, np.int64), np.zeros(lanes, np.int64)
 
     def refresh(self, m: int) -> None:
-        """Cumulative order-0 frequencies of the first m blocks, of 65536; numbers to come have 1 each."""
-        width = int(self.seen[:m].max()) + REFRESH
-        count = self.counts[:m, :width].astype(np.uint32)
-        total = np.maximum(count.sum(axis=1, dtype=np.uint32), 1)
-        count *= ((65536 - width) // total)[:, None].astype(np.uint32)
-        count += np.uint32(1)
-        self.table = np.zeros((m, width + 1), np.uint32)
-        np.cumsum(count, axis=1, out=self.table[:, 1:])
+        """Cumulative order-0 frequencies of the first m blocks, of 65536; numbers to come have 1 each. Block k's begin at k << 17,
+        so that all of them are one ascending sequence."""
+        self.width = int(self.seen[:m].max()) + REFRESH + 1
+        count = self.counts.reshape(self.shape)[:m, : self.width - 1].astype(np.int64)
+        count *= ((65537 - self.width) // np.maximum(count.sum(axis=1), 1))[:, None]
+        count += 1
+        table = np.empty((m, self.width), np.int64)
+        table[:, 0] = np.arange(m) << 17
+        np.cumsum(count, axis=1, out=table[:, 1:])
+        table[:, 1:] += table[:, :1]
+        self.table = table.ravel()
 
     def predict(self, m: int) -> None:
-        self.at1 = self.lane[:m] * (self.block + 1) + self.p1[:m]
-        self.at2 = self.lane[:m] * _HASH + ((self.p1[:m] * 40503 + self.p2[:m] * 2531) >> 2 & (_HASH - 1))
-        one, two = self.first[self.at1].astype(np.int64), self.second[self.at2].astype(np.int64)
-        self.c1, self.f1, self.c2, self.f2 = one >> 2, one & 3, two >> 2, two & 3
-        self.context = self.lane[:m] * _CONTEXTS + self.f2 * 8 + self.f1 * 2 + (self.c1 == self.c2)
+        p1 = self.p1[:m]
+        self.at = np.stack((self.at_first[:m] + p1, self.at_second[:m] + ((p1 * 40503 + self.p2[:m] * 2531) >> 2 & (_HASH - 1))))
+        self.held = self.guess[self.at].astype(np.int64)
+        self.number, self.sure = self.held >> 2, self.held & 3
+        self.context = self.lane32[:m] + self.sure[1] * 8 + self.sure[0] * 2 + (self.number[0] == self.number[1])
         self.bound = self.bounds[self.context]
 
-    def learn(self, m: int, number: np.ndarray, symbol: np.ndarray) -> None:
+    def hits(self, number: np.ndarray) -> np.ndarray:
+        return (self.number == number) & (self.sure > 0)
+
+    def learn(self, m: int, number: np.ndarray, symbol: np.ndarray, hits: np.ndarray) -> None:
         self.bounds[self.context] = self.bound + ((_TARGET[symbol] - self.bound) >> 5)
-        for table, at, c, f in ((self.first, self.at1, self.c1, self.f1), (self.second, self.at2, self.c2, self.f2)):
-            hit = (c == number) & (f > 0)
-            lower = f - 1
-            table[at] = np.where(hit, c << 2 | np.minimum(f + 1, 3), np.where(lower > 0, c << 2 | lower, number << 2 | 1)).astype(np.uint16)
-        self.counts[self.lane[:m], number] += np.uint16(1)
+        self.guess[self.at] = np.where(hits, self.held + (self.sure < 3), np.where(self.sure > 1, self.held - 1, number << 2 | 1))
+        self.counts[self.lane_counts[:m] + number] += np.uint16(1)
         self.seen[:m] += symbol == 3
-        self.p2[:m], self.p1[:m] = self.p1[:m], number.copy()
-
-    def moved(self, on: np.ndarray) -> np.ndarray:
-        """Blocks, of those given, whose leading 16 bits are settled; a range that is nearly used up is cut so that they are."""
-        low, end = self.low[on], self.low[on] + self.range[on]
-        settled = (low ^ end) >> _TOP == 0
-        tight = ~settled & (self.range[on] <= _LOW16)
-        if tight.any():
-            self.range[on[tight]] = (np.uint64(0) - low[tight]) & _LOW16
-        return on[settled | tight]
-
-    def shift(self, on: np.ndarray) -> None:
-        self.low[on] = (self.low[on] << _WORD) & _MASK
-        self.range[on] <<= _WORD
+        self.p2[:m] = self.p1[:m]
+        self.p1[:m] = number
+
+    def narrow(self, m: int, symbol: np.ndarray, word) -> None:
+        """Codes a symbol in each of the first m blocks."""
+        edges, at = self.bound.ravel(), self.lane5[:m] + symbol
+        start = edges[at]
+        step = self.range[:m] >> _U(15)
+        low = self.low[:m]
+        low += step * start.view(_U)
+        wide = step * (edges[at + 1] - start).view(_U)
+        self.range[:m] = wide
+        on = np.flatnonzero(((low ^ (low + wide)) < _TOP) | (wide <= _LOW16))
+        self._settle(on, low[on], wide[on], word)
+
+    def narrow_some(self, on: np.ndarray, start: np.ndarray, size: np.ndarray | int, word) -> None:
+        """Codes an interval of 65536 in some blocks."""
+        step = self.range[on] >> _U(16)
+        low = self.low[on] + step * start.view(_U)
+        wide = step if isinstance(size, int) else step * size.view(_U)
+        self.low[on], self.range[on] = low, wide
+        few = ((low ^ (low + wide)) < _TOP) | (wide <= _LOW16)
+        self._settle(on[few], low[few], wide[few], word)
+
+    def _settle(self, on: np.ndarray, low: np.ndarray, wide: np.ndarray, word) -> None:
+        while len(on):
+            # a range that is nearly used up across a boundary is cut at the boundary
+            wide = np.where((low ^ (low + wide)) < _TOP, wide, (_U(0) - low) & _LOW16)
+            word(on, low)
+            low, wide = (low << _U(16)) & _MASK, wide << _U(16)
+            self.low[on], self.range[on] = low, wide
+            more = ((low ^ (low + wide)) < _TOP) | (wide <= _LOW16)
+            on, low, wide = on[more], low[more], wide[more]
 
 
 def _numbers(ids: np.ndarray) -> np.ndarray:
@@ -109,17 +132,9 @@ def encode(ids: np.ndarray, block: int = BLOCK, wide: bool = False) -> tuple[byt
     out, pos = np.zeros((lanes, (3 + wide) * block + 16), np.uint16), np.zeros(lanes, np.int64)
     last = len(ids) - (lanes - 1) * block
 
-    def emit(on: np.ndarray) -> None:
-        while len(on := coder.moved(on)):
-            out[on, pos[on]] = (coder.low[on] >> _TOP).astype(np.uint16)
-            pos[on] += 1
-            coder.shift(on)
-
-    def put(on: np.ndarray, start: np.ndarray, size: np.ndarray, bits: int) -> None:
-        step = coder.range[on] >> np.uint64(bits)
-        coder.low[on] += step * start.astype(np.uint64)
-        coder.range[on] = step * size.astype(np.uint64)
-        emit(on)
+    def word(on: np.ndarray, low: np.ndarray) -> None:
+        out[on, pos[on]] = low >> _U(32)
+        pos[on] += 1
 
     for t in range(block if lanes > 1 else last):
         m = lanes if t < last else lanes - 1
@@ -127,26 +142,24 @@ def encode(ids: np.ndarray, block: int = BLOCK, wide: bool = False) -> tuple[byt
             coder.refresh(m)
         coder.predict(m)
         number = numbers[t, :m]
-        symbol = np.where((number == coder.c2) & (coder.f2 > 0), 0, np.where((number == coder.c1) & (coder.f1 > 0), 1, np.where(number < coder.seen[:m], 2, 3)))
-        edges = np.empty((m, 5), np.int32)
-        edges[:, 0], edges[:, 4], edges[:, 1:4] = 0, 32768, coder.bound
-        row = coder.lane[:m]
-        start = edges[row, symbol]
-        put(row, start, edges[row, symbol + 1] - start, 15)
+        hits = coder.hits(number)
+        symbol = np.where(hits[1], 0, np.where(hits[0], 1, 2 + (number >= coder.seen[:m])))
+        coder.narrow(m, symbol, word)
         old, new = np.flatnonzero(symbol == 2), np.flatnonzero(symbol == 3)
         if len(old):
-            start = coder.table[old, number[old]]
-            put(old, start, coder.table[old, number[old] + 1] - start, 16)
+            at = old * coder.width + number[old]
+            start = coder.table[at]
+            coder.narrow_some(old, start - (old << 17), coder.table[at + 1] - start, word)
         if len(new):
             raw = square_t[t, new]
-            put(new, raw & 0xFFFF, np.ones(len(new)), 16)
+            coder.narrow_some(new, raw & 0xFFFF, 1, word)
             if wide:
-                put(new, raw >> 16, np.ones(len(new)), 16)
-        coder.learn(m, number, symbol)
+                coder.narrow_some(new, raw >> 16, 1, word)
+        coder.learn(m, number, symbol, hits)
+    every = np.arange(lanes)
     for _ in range(3):
-        out[coder.lane, pos] = (coder.low >> _TOP).astype(np.uint16)
-        pos += 1
-        coder.low = (coder.low << _WORD) & _MASK
+        word(every, coder.low)
+        coder.low = (coder.low << _U(16)) & _MASK
     used = np.arange(out.shape[1]) < pos[:, None]
     raw = ids.astype("<u4").tobytes()
     sums = np.array([zlib.crc32(raw[4 * a: 4 * (a + block)]) for a in range(0, len(ids), block)], np.int64)
@@ -158,66 +171,56 @@ def decode(payload: bytes, ends: np.ndarray, sums: np.ndarray, n: int, block: in
     if not n:
         return np.zeros(0, np.uint32)
     lanes = len(ends)
-    words = np.concatenate((np.frombuffer(payload, "<u2"), np.zeros(8, np.uint16))).astype(np.uint64)
+    words = np.concatenate((np.frombuffer(payload, "<u2"), np.zeros(8, np.uint16))).astype(_U)
     pos = np.concatenate(([0], np.asarray(ends[:-1], np.int64) // 2))
     stop = len(words) - 1
     coder = _Coder(lanes, block)
-    code = np.zeros(lanes, np.uint64)
+    code = np.zeros(lanes, _U)
     for _ in range(3):
-        code = (code << _WORD) | words[np.minimum(pos, stop)]
+        code = (code << _U(16)) | words[np.minimum(pos, stop)]
         pos = pos + 1
-    known = np.zeros((lanes, block + 1), np.uint32)
+    known = np.zeros(lanes * (block + 1), np.uint32)
+    base = np.arange(lanes) * (block + 1)
     out = np.zeros((block, lanes), np.uint32)
     last = n - (lanes - 1) * block
 
-    def take(on: np.ndarray, start: np.ndarray, size: np.ndarray, bits: int) -> None:
-        step = coder.range[on] >> np.uint64(bits)
-        coder.low[on] += step * start.astype(np.uint64)
-        coder.range[on] = step * size.astype(np.uint64)
-        while len(on := coder.moved(on)):
-            code[on] = ((code[on] << _WORD) & _MASK) | words[np.minimum(pos[on], stop)]
-            pos[on] += 1
-            coder.shift(on)
+    def word(on: np.ndarray, _: np.ndarray) -> None:
+        code[on] = ((code[on] << _U(16)) & _MASK) | words[np.minimum(pos[on], stop)]
+        pos[on] += 1
 
     def value(on: np.ndarray) -> np.ndarray:
-        return np.minimum((code[on] - coder.low[on]) // (coder.range[on] >> _WORD), _LOW16).astype(np.int64)
+        return np.minimum((code[on] - coder.low[on]) // (coder.range[on] >> _U(16)), _LOW16).astype(np.int64)
 
     for t in range(block if lanes > 1 else last):
         m = lanes if t < last else lanes - 1
         if t % REFRESH == 0:
             coder.refresh(m)
         coder.predict(m)
-        row = coder.lane[:m]
-        at = code[:m] - coder.low[:m]
-        step = coder.range[:m] >> np.uint64(15)
-        symbol = (at[:, None] >= step[:, None] * coder.bound.astype(np.uint64)).sum(axis=1)
-        edges = np.empty((m, 5), np.int32)
-        edges[:, 0], edges[:, 4], edges[:, 1:4] = 0, 32768, coder.bound
-        start = edges[row, symbol]
-        take(row, start, edges[row, symbol + 1] - start, 15)
-        number = np.where(symbol == 0, coder.c2, np.where(symbol == 1, coder.c1, coder.seen[:m]))
+        at, step = code[:m] - coder.low[:m], coder.range[:m] >> _U(15)
+        inner = coder.bound.view(_U)
+        symbol = (at >= step * inner[:, 1]).astype(np.int64)
+        symbol += at >= step * inner[:, 2]
+        symbol += at >= step * inner[:, 3]
+        coder.narrow(m, symbol, word)
+        number = np.where(symbol == 0, coder.number[1], np.where(symbol == 1, coder.number[0], coder.seen[:m]))
         old, new = np.flatnonzero(symbol == 2), np.flatnonzero(symbol == 3)
         if len(old):
-            v = value(old)
-            a, b = np.zeros(len(old), np.int64), np.full(len(old), coder.table.shape[1] - 1)
-            while (b - a > 1).any():
-                mid = (a + b) >> 1
-                below = coder.table[old, mid] <= v
-                a, b = np.where(below, mid, a), np.where(below, b, mid)
-            number[old] = a
-            start = coder.table[old, a]
-            take(old, start, coder.table[old, a + 1] - start, 16)
+            place = np.searchsorted(coder.table, (old << 17) + value(old), "right") - 1
+            start = coder.table[place]
+            number[old] = place - old * coder.width
+            place = np.minimum(place + 1, len(coder.table) - 1)
+            coder.narrow_some(old, start - (old << 17), coder.table[place] - start, word)
+        number = np.clip(number, 0, block)  # broken input only
         if len(new):
             raw = value(new)
-            take(new, raw, np.ones(len(new)), 16)
+            coder.narrow_some(new, raw, 1, word)
             if wide:
                 high = value(new)
-                take(new, high, np.ones(len(new)), 16)
-                raw |= high << 16
-            known[new, number[new]] = raw
-        number = np.minimum(number, block)  # broken input only
-        out[t, :m] = known[row, number]
-        coder.learn(m, number, symbol)
+                coder.narrow_some(new, high, 1, word)
+                raw = raw | high << 16
+            known[base[new] + number[new]] = raw
+        out[t, :m] = known[base[:m] + number]
+        coder.learn(m, number, symbol, coder.hits(number))
     ids = out.T.ravel()[:n].copy()
     raw = ids.astype("<u4").tobytes()
     for k, a in enumerate(range(0, n, block)):
