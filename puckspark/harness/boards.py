@@ -27,15 +27,15 @@ def _line(source: str, value: str, label: str = "full_name", sub: str = "team_ab
 
 NOW = f"season_id = {CURRENT}"
 XG_TEAMS = "mart_player_xg_season JOIN (SELECT player_id, season_id, team_abbrevs FROM mart_player_season) USING (player_id, season_id)"
-FINAL_FORM = "(SELECT * FROM mart_player_form WHERE games_in_window = 10 QUALIFY row_number() OVER (PARTITION BY player_id ORDER BY player_game_number DESC) = 1)"
+FINAL_FORM = "(SELECT * FROM mart_player_form WHERE games_in_window = 10 AND " + NOW + " QUALIFY row_number() OVER (PARTITION BY player_id ORDER BY player_game_number DESC) = 1)"
 
 
 @served("season_leaders", _boards(
     board("points", _line("mart_player_season", "points", where=NOW)), board("goals", _line("mart_player_season", "goals", where=NOW)),
-    board("hot", _line(FINAL_FORM, "points_last_10", sub="team_abbrev")), board("xg", _line(XG_TEAMS, "expected_goals", key="player_season_key")),
-    board("finishing", _line(XG_TEAMS, "goals_above_expected", key="player_season_key", where="unblocked_attempts >= 100")),
+    board("hot", _line(FINAL_FORM, "points_last_10", sub="team_abbrev")), board("xg", _line(XG_TEAMS, "expected_goals", key="player_season_key", where=NOW)),
+    board("finishing", _line(XG_TEAMS, "goals_above_expected", key="player_season_key", where=f"{NOW} AND unblocked_attempts >= 100")),
     board("save_pct", _line("mart_goalie_season", "save_pct", where=f"{NOW} AND games_started >= 30")),
-    board("xg_share", _line("mart_team_xg_season", "xg_share", "team_abbrev", "NULL::VARCHAR", "team_abbrev"))))
+    board("xg_share", _line("mart_team_xg_season", "xg_share", "team_abbrev", "NULL::VARCHAR", "team_abbrev", NOW))))
 def season_leaders(t):
     return serving.season_leaders(league(t), CURRENT)
 
@@ -68,13 +68,13 @@ def alltime_leaders_active(t):
 
 
 @served("player_directory", f"""SELECT * FROM (SELECT player_id, full_name, team_abbrevs, position_code FROM mart_player_season WHERE {NOW} AND games_played >= 20
-  UNION ALL SELECT player_id, full_name, team_abbrevs, position_code FROM mart_goalie_season WHERE {NOW} AND games_played >= 15) ORDER BY full_name, player_id LIMIT 2000""")
+  UNION ALL SELECT player_id, full_name, team_abbrevs, position_code FROM mart_goalie_season WHERE {NOW} AND games_played >= 15)""")
 def player_directory(t):
     return serving.player_directory(league(t), CURRENT)
 
 
 @served("player_shots", """SELECT x_coord, y_coord, zone_code, xg, is_goal, shot_type, strength_state FROM fct_shots
-  WHERE shooting_player_id = 1000007 AND xg IS NOT NULL ORDER BY xg DESC, game_id, event_id LIMIT 1500""")
+  WHERE shooting_player_id = 1000007 AND xg IS NOT NULL""")
 def player_shots(t):
     return serving.player_shots(league(t), 1000007)
 

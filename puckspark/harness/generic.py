@@ -50,22 +50,24 @@ LOG = 'PARTITION BY player ORDER BY "day", game'
 
 @query("season_spine", """
 SELECT y * 10000 + y + 1 AS season_id, CAST(count(o_orderkey) AS BIGINT) AS games
-FROM range(1990, 2005) AS s(y) LEFT JOIN orders ON year(o_orderdate) = y GROUP BY y""")
+FROM (SELECT unnest(range(min(year(o_orderdate)) - 2, max(year(o_orderdate)) + 3)) AS y FROM orders) LEFT JOIN orders ON year(o_orderdate) = y GROUP BY y""")
 def season_spine(t):
     played = t.orders.groupBy(S.season_of_year(order_year()).alias("season_id")).agg(F.count("*").alias("games"))
-    return raw.season_spine(t.spark, 1990, 2004).join(played, "season_id", "left").withColumn(
+    first, last = t.orders.agg(F.min(order_year()), F.max(order_year())).first()
+    return raw.season_spine(t.spark, first - 2, last + 2).join(played, "season_id", "left").withColumn(
         "games", F.coalesce("games", F.lit(0)).cast("long"))
 
 
 @query("union_seasons", f"""
 SELECT CAST(year(o_orderdate) AS BIGINT) * 10000 + year(o_orderdate) + 1 AS season_id,
        CAST(count(*) AS BIGINT) AS n, {SUM(CENTS('o_totalprice'))} AS total
-FROM orders WHERE year(o_orderdate) BETWEEN 1995 AND 2001 GROUP BY 1""")
+FROM orders GROUP BY 1""")
 def union_seasons(t):
+    first, last = t.orders.agg(F.min(order_year()), F.max(order_year())).first()
     reports = {
         y * 10000 + y + 1: t.orders.filter(
             (F.col("o_orderdate") >= f"{y}-01-01") & (F.col("o_orderdate") < f"{y + 1}-01-01")
-        ).select("o_orderkey", "o_totalprice") for y in range(1995, 2002)
+        ).select("o_orderkey", "o_totalprice") for y in range(first, last + 1)
     }
     return rl.union_seasons(reports).groupBy("season_id").agg(F.count("*").alias("n"), F.sum(cents("o_totalprice")).alias("total"))
 
@@ -143,10 +145,10 @@ def read_payloads(t):
 
 
 @query("append_log", """
-SELECT substring(text, 1, 2000) AS question, substring(text || '\n---\n' || role, 1, 10000) AS sql_queries,
+SELECT text AS question, text || '\n---\n' || role AS sql_queries,
        CAST(2 AS BIGINT) AS sql_count, CAST(turn AS BIGINT) AS row_count FROM conversations
 UNION ALL
-SELECT substring(role, 1, 2000), substring(role, 1, 10000), CAST(1 AS BIGINT), CAST(turn AS BIGINT) FROM conversations""")
+SELECT role, role, CAST(1 AS BIGINT), CAST(turn AS BIGINT) FROM conversations""")
 def append_log(t):
     def entries(question, *sql):
         return t.conversations.select(
@@ -629,9 +631,9 @@ SIDES = """sides AS (SELECT CAST(year(l_shipdate) AS BIGINT) AS season, sn.n_nam
 
 def sides(t: Tables):
     """Line items with the seller's and the buyer's nation as the two teams."""
-    nations = t.nation.select("n_nationkey", "n_name")
+    nations = rl.lookup(t.nation.select("n_nationkey", "n_name"), materialise=False)
     def side(table, key, nation, out):
-        return table.join(F.broadcast(nations), table[nation] == nations["n_nationkey"]).select(F.col(key), F.col("n_name").alias(out))
+        return table.join(nations, table[nation] == nations["n_nationkey"]).select(F.col(key), F.col("n_name").alias(out))
     buyers = side(t.customer, "c_custkey", "c_nationkey", "buyer")
     sellers = side(t.supplier, "s_suppkey", "s_nationkey", "seller")
     orders = t.orders.select("o_orderkey", "o_custkey")
@@ -746,11 +748,19 @@ def active_semi_join(t):
     return t.customer.select("c_custkey", "c_acctbal").join(active, "c_custkey", "left_semi")
 
 
+@query("running_total", f"""
+WITH {GAMES} SELECT player, game, CAST(sum(CASE WHEN tried = 1 THEN CAST(round(o_totalprice * 100) AS BIGINT) END) OVER ({LOG}) AS BIGINT) AS total FROM games""")
+def running_total(t):
+    """Money of finished orders so far; null until a customer's first."""
+    done = F.when(F.col("tried") == 1, cents("o_totalprice"))
+    return od.running_total(games(t), ["player"], ["day", "game"], done, "total").select("player", "game", "total")
+
+
 @query("last_n_games", f"""
 WITH {GAMES}, n AS (SELECT game, player, CAST(row_number() OVER ({LOG}) AS BIGINT) AS game_number FROM games)
 SELECT game, game_number FROM n WHERE player = 7 AND game_number > (SELECT max(game_number) - 10 FROM n WHERE player = 7)""")
 def last_n_games(t):
-    log = od.sequence_number(games(t).select("player", "game", "day"), ["player"], ["day", "game"], "game_number")
+    log = od.sequence_number(games(t).filter("player = 7").select("player", "game", "day"), ["player"], ["day", "game"], "game_number")
     return rl.last_n_rows(log, "player", 7, "game_number", 10).select("game", "game_number")
 
 
@@ -947,12 +957,15 @@ PROFILES = {"overall": {}, "scorers": {"goals": 4.0, "gp": 0.25}}
 
 
 @query("profile_weights", f"""
-SELECT vec_id, profile, {R('embedding[1]::DOUBLE * g', 6)} AS first, {R('embedding[2]::DOUBLE * h', 6)} AS second
-FROM embeddings, (VALUES ('overall', 1.0, 1.0), ('narrow', 2.0, 0.5)) AS p(profile, g, h)""")
+SELECT vec_id, profile, i - 1 AS dimension, {R('embedding[i]::DOUBLE * CASE WHEN i % 2 = 1 THEN g ELSE h END', 6)} AS weighted
+FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings), (VALUES ('overall', 1.0, 1.0), ('narrow', 2.0, 0.5)) AS p(profile, g, h)""")
 def profile_weights(t):
-    rows = t.embeddings.select("vec_id", F.slice(F.col("embedding").cast("array<double>"), 1, 2).alias("vec"))
-    out = sm.apply_profiles(rows, ["a", "b"], {"overall": {}, "narrow": {"a": 4.0, "b": 0.25}})
-    return out.select("vec_id", "profile", S.rnd(F.col("vec")[0], 6).alias("first"), S.rnd(F.col("vec")[1], 6).alias("second"))
+    rows = t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("vec"))
+    axes = [f"d{i}" for i in range(t.embeddings.agg(F.max(F.size("embedding"))).first()[0] or 0)]
+    narrow = {a: 0.25 if i % 2 else 4.0 for i, a in enumerate(axes)}
+    out = sm.apply_profiles(rows, axes, {"overall": {}, "narrow": narrow})
+    return out.select("vec_id", "profile", F.posexplode("vec").alias("dimension", "v")).select(
+        "vec_id", "profile", F.col("dimension").cast("long").alias("dimension"), S.rnd("v", 6).alias("weighted"))
 
 
 @query("similarity_profiles")

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-SMALL_TABLE_ROWS = 5_000_000
 
 
 class Tables:
@@ -20,12 +19,12 @@ class Tables:
         self._spread: dict[str, DataFrame] = {}
 
     def spread(self, name: str) -> DataFrame:
-        """A table for heavy row-wise work: one too small to fill the cores is dealt out over them."""
+        """A table for heavy row-wise work: one in fewer pieces than cores is dealt out over them."""
         if name not in self._spread:
             df = getattr(self, name)
-            small = df.count() <= SMALL_TABLE_ROWS  # read from the file footers
             cores = self.spark.sparkContext.defaultParallelism
-            self._spread[name] = df.repartition(cores, df.columns[0]) if small else df
+            few = df.rdd.getNumPartitions() < cores
+            self._spread[name] = df.repartition(cores, df.columns[0]) if few else df
         return self._spread[name]
 
     def __getattr__(self, name: str) -> DataFrame:

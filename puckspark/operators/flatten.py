@@ -38,9 +38,15 @@ SKATER_FIELDS = {
 GOALIE_SHARED = {"goals", "assists", "pim"}  # of SKATER_FIELDS, those a goalie entry has too
 
 
+def parsed(column: str, schema) -> Column:
+    """The JSON text as a struct. A document that is broken or does not fit the schema fails the query: read on, it
+    would count as a game without rows."""
+    return F.from_json(column, schema, {"mode": "FAILFAST"})
+
+
 def parse_json(df: DataFrame, schema, column: str = "payload") -> DataFrame:
     """The JSON text column as a struct ``doc`` beside the other columns."""
-    return df.withColumn("doc", F.from_json(column, schema)).drop(column)
+    return df.withColumn("doc", parsed(column, schema)).drop(column)
 
 
 def flatten_boxscores(df: DataFrame, column: str = "payload") -> DataFrame:
@@ -48,7 +54,7 @@ def flatten_boxscores(df: DataFrame, column: str = "payload") -> DataFrame:
 
     A missing side or group yields no rows.
     """
-    docs = df.select(F.from_json(column, BOXSCORE).alias("d"))
+    docs = df.select(parsed(column, BOXSCORE).alias("d"))
     groups = F.array(*[
         F.struct(
             F.lit(side == "homeTeam").alias("is_home"), F.lit(group == "goalies").alias("goalie"),
@@ -97,7 +103,7 @@ def elements(df: DataFrame, array: str) -> DataFrame:
 
 def explode_categories(df: DataFrame, keys: Sequence[str], column: str = "payload") -> DataFrame:
     """Right-rail document -> (keys, category, away_value, home_value) as text."""
-    docs = df.select(*keys, F.from_json(column, RIGHT_RAIL).alias("d")).select(*keys, F.col("d.teamGameStats").alias("stats"))
+    docs = df.select(*keys, parsed(column, RIGHT_RAIL).alias("d")).select(*keys, F.col("d.teamGameStats").alias("stats"))
     return elements(docs, "stats").select(
         *keys, F.col("p.category").alias("category"), F.col("p.awayValue").alias("away_value"),
         F.col("p.homeValue").alias("home_value"),
@@ -120,7 +126,7 @@ def dedupe_schedule(df: DataFrame, game: str, game_type: str, order: Sequence[Co
 
 def explode_plays(df: DataFrame, column: str = "payload") -> DataFrame:
     """Every play of every document with its game's teams and its place in the list."""
-    docs = df.select(F.xxhash64(column).alias("_doc"), F.from_json(column, PLAY_BY_PLAY).alias("d"))
+    docs = df.select(F.xxhash64(column).alias("_doc"), parsed(column, PLAY_BY_PLAY).alias("d"))
     games = docs.select(
         "_doc", F.col("d.id").alias("game_id"), F.col("d.season").alias("season_id"),
         F.col("d.homeTeam").alias("home"), F.col("d.awayTeam").alias("away"), F.col("d.plays").alias("plays"),
@@ -167,11 +173,11 @@ def follows_own_attempt(
 def flatten_shots(df: DataFrame, column: str = "payload") -> DataFrame:
     """Shot attempts of every game with geometry, strength, rebound and rush flags.
 
-    Sequence state runs within one document, so however often a game was landed a group
-    is never larger than a document. Identical copies of a document must be dropped before.
+    Sequence state runs within one document, and a document landed again word by word counts
+    once, so a group is never larger than a document.
     """
     group = ["_doc", "game_id"]
-    plays = explode_plays(df, column)
+    plays = explode_plays(df.select(column).distinct(), column)
     # Shootouts leave before any sequence state; other non-shots stay until the zone lookup is done.
     plays = plays.filter(~F.col("p.periodDescriptor.periodType").eqNullSafe("SO"))
     home, away = F.col("home.id"), F.col("away.id")

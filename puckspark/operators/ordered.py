@@ -28,9 +28,10 @@ def segmented(df: DataFrame, part: Sequence[str], order: Order) -> DataFrame:
     """Rows with a ``_seg`` number that rises with (part, order).
 
     The range bounds are sampled, so the result is written once: every later use,
-    and every retry, sees the same segments.
+    and every retry, sees the same segments. Their number grows with the rows.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // group_rows(spark)))
     ranged = df.repartitionByRange(n, *[F.col(p) for p in part], *_cols(order))
     return pin(ranged.withColumn(SEG, F.spark_partition_id()))
 
@@ -68,7 +69,10 @@ def running_total(
     w = Window.partitionBy(*part, SEG).orderBy(*_cols(order)).rowsBetween(*upto)
     local = seg.withColumn(out, F.sum("_add").over(w))
     joined = null_safe_join(local, base, [*part, SEG], "left")
-    return joined.withColumn(out, F.col(out) + F.coalesce("_before", F.lit(0))).drop("_add", SEG, "_before")
+    # as in the plain form, the total is null until the first value
+    both = F.when(F.col(out).isNotNull() & F.col("_before").isNotNull(), F.col(out) + F.col("_before"))
+    kind = df.select(F.sum(value).alias("v")).schema["v"].dataType
+    return joined.withColumn(out, F.coalesce(both, out, "_before").cast(kind)).drop("_add", SEG, "_before")
 
 
 def sequence_number(
@@ -202,7 +206,7 @@ def top_k_per(df: DataFrame, part: Sequence[str], order: Order, k: int, rank: st
     if k > limit:
         return sequence_number(df, part, order, rank).filter(F.col(rank) <= k)
     w = Window.partitionBy(*part).orderBy(*_cols(order))
-    return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
+    return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k).withColumn(rank, F.col(rank).cast("long"))
 
 
 def latest_per(df: DataFrame, part: Sequence[str], order: Order) -> DataFrame:

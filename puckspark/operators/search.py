@@ -13,6 +13,29 @@ BLOCKED_WORDS = [
     "insert", "update", "delete", "merge", "drop", "create", "alter", "truncate", "grant",
     "revoke", "call", "execute", "begin", "commit", "rollback", "export", "load",
 ]
+# Functions a served query may call: those that only look at their arguments.
+FUNCTIONS = set("""
+    abs acos add_months any_value approx_count_distinct approx_percentile array array_agg array_contains array_distinct array_join array_max array_min
+    array_size array_sort asin atan atan2 avg bool_and bool_or bround cast cbrt ceil ceiling char_length coalesce collect_list collect_set concat
+    concat_ws contains corr cos count count_if covar_pop covar_samp cume_dist current_date date date_add date_diff date_format date_sub date_trunc
+    datediff day dayofmonth dayofweek decode degrees dense_rank element_at endswith every exp explode extract first first_value flatten floor format_number
+    format_string from_unixtime greatest grouping grouping_id hour if ifnull initcap instr isnotnull isnull kurtosis lag last last_day last_value lcase
+    lead least left len length levenshtein ln locate log log10 log2 lower lpad ltrim make_date map max max_by mean median min min_by minute mod mode
+    month months_between named_struct next_day now nth_value ntile nullif nvl nvl2 overlay percent_rank percentile percentile_approx percentile_cont
+    percentile_disc pi pmod position posexplode pow power quarter radians rank regexp_count regexp_extract regexp_like regexp_replace regexp_substr
+    regr_slope repeat replace reverse right round row_number rpad rtrim second sequence sign signum sin size skewness slice split split_part sqrt
+    startswith std stddev stddev_pop stddev_samp string struct substr substring substring_index sum tan timestamp to_date to_timestamp transform translate
+    trim trunc try_add try_divide try_element_at try_subtract typeof ucase unix_timestamp upper var_pop var_samp variance weekday weekofyear width_bucket year
+""".split())
+# Words that may stand before a bracket without being a function.
+_GRAMMAR = set("""
+    select from where and or not in on using over filter as by when then else values exists join union all lateral between like ilike rlike case having
+    within group partition interval distinct any some limit offset sets rollup cube except intersect minus is order with unnest inline table pivot unpivot for
+    int bigint double float decimal numeric char varchar
+""".split())
+_TOKEN = re.compile(r"""
+    (?P<text>[rR]?'(?:\\.|[^'\\])*'|[rR]?"(?:\\.|[^"\\])*")|(?P<comment>--|/\*)|(?P<quoted>`(?:[^`]|``)*`)
+    |(?P<word>[A-Za-z_]\w*)|(?P<space>\s+)|(?P<other>.)""", re.X | re.S)
 
 
 def find_by_id(df: DataFrame, key: str, value: int, season: str, season_id: int) -> DataFrame:
@@ -61,30 +84,53 @@ def compare_profiles(df: DataFrame, key: str, a, b, axes: dict[str, str]) -> Dat
     return long.groupBy("position", "axis").agg(side(a).alias("a"), side(b).alias("b")).orderBy("position")
 
 
+def _refuse(reason: str):
+    raise ValueError(reason)
+
+
 def check_select(sql: str, marts: str = "nhl_marts", hidden=("nhl_raw", "nhl_stg", "information_schema")) -> str:
-    """The trimmed text if it is one read-only statement over the marts, else ValueError."""
+    """The trimmed text if it looks like one read-only statement over the marts, else ValueError.
+
+    Texts are taken apart first, so a name inside a string does not count as a table or a function; blocked words do
+    not pass even there. Which tables it really reads is for ``run_select`` to see.
+    """
     text = sql.strip()
-    word = lambda names: re.search(r"\b(?:" + "|".join(names) + r")\b", text, re.I)
-    if not text:
-        raise ValueError("empty query")
-    if ";" in text:
-        raise ValueError("only a single statement without semicolons is allowed")
-    if not re.match(r"(?:select|with)\b", text, re.I):
-        raise ValueError("only SELECT queries are allowed")
-    if found := word(BLOCKED_WORDS):
-        raise ValueError(f"keyword not allowed: {found.group()}")
-    if found := word(hidden):
-        raise ValueError(f"schema not allowed: {found.group()}")
-    if not re.search(rf"\b{marts}\s*\.", text, re.I):
-        raise ValueError(f"queries must read {marts}.<table>")
+    tokens = [(m.lastgroup, m.group()) for m in _TOKEN.finditer(text)]
+    code = [(k, t.lower()) for k, t in tokens if k != "space"]
+    kinds, said = {k for k, _ in code}, set(re.findall(r"\w+", text.lower()))
+    if not code or code[0] not in (("word", "select"), ("word", "with")):
+        _refuse("the text must be a SELECT")
+    if "comment" in kinds or any(t == ";" for k, t in code if k == "other") or ";" in text:
+        _refuse("one statement, without semicolons or comments")
+    if any(t in ("'", '"', "`") for k, t in code if k == "other"):
+        _refuse("a quote is not closed")
+    for word in BLOCKED_WORDS:
+        if word in said:
+            _refuse(f"keyword not allowed: {word}")
+    for schema in hidden:
+        if schema.lower() in said:
+            _refuse(f"schema not allowed: {schema}")
+    plain = [(k, t.strip("`")) for k, t in code]
+    for (kind, name), after in zip(plain, [*plain[1:], ("", "")]):
+        if kind == "quoted" and re.search(r"[/:\\]", name):
+            _refuse("files can't be read")
+        if after[1] == "(" and (kind == "quoted" and name not in FUNCTIONS or kind == "word" and name not in FUNCTIONS | _GRAMMAR):
+            _refuse(f"function not allowed: {name}")
+    if not any(a[1] == marts.lower() and b[1] == "." for a, b in zip(plain, plain[1:]) if a[0] != "text"):
+        _refuse(f"queries must read {marts}.<table>")
     return text
 
 
 def run_select(
-    spark: SparkSession, sql: str, args: dict | None = None, max_rows: int = ROW_LIMIT, marts: str = "nhl_marts"
+    spark: SparkSession, sql: str, args: dict | None = None, max_rows: int | None = ROW_LIMIT, marts: str = "nhl_marts"
 ) -> DataFrame:
-    """Guarded SELECT with named parameters (``:name``), capped at ``max_rows`` rows.
+    """Guarded SELECT with named parameters (``:name``). The text names tables as ``marts.table``; see ``sinks.register``.
 
-    The text names tables as ``marts.table``; see ``sinks.register``.
+    Besides ``check_select``, every file that the query would read must belong to a table of ``marts``. At most ``max_rows``
+    rows are returned; a caller who must know whether there are more asks for one row beyond its page, or for None (all).
     """
-    return spark.sql(check_select(sql, marts), args=args or {}).limit(max_rows)
+    found = spark.sql(check_select(sql, marts), args=args or {})
+    folders = [f.rsplit("/", 1)[0] for t in spark.catalog.listTables(marts) if not t.isTemporary for f in spark.table(f"{marts}.{t.name}").inputFiles()]
+    if not all(f.rsplit("/", 1)[0] in set(folders) for f in found.inputFiles()):
+        _refuse(f"only tables of {marts} can be read")
+    return found if max_rows is None else found.limit(max_rows)

@@ -27,7 +27,7 @@ def lookup(df: DataFrame, materialise: bool = True) -> DataFrame:
     if materialise:
         df, n = pin_counted(df)
     else:
-        n = df.limit(limit + 1).count()
+        n = df.count()
     return F.broadcast(df) if n <= limit else df
 
 

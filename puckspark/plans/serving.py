@@ -16,8 +16,6 @@ Tables = dict[str, DataFrame]
 CURRENT_SEASON = 20252026
 PREVIOUS_SEASON = 20242025
 PROFILES = ["overall", "offense", "physical"]
-DIRECTORY_ROWS = 2000
-SHOT_ROWS = 1500
 
 # Percentile column -> radar label (fixed values).
 RADAR_AXES = {
@@ -27,15 +25,15 @@ RADAR_AXES = {
 }
 
 
-def _final_form(t: Tables) -> DataFrame:
-    """Each player's last full-window form row."""
-    full = t["mart_player_form"].filter(F.col("games_in_window") == 10)
+def _final_form(t: Tables, season: int) -> DataFrame:
+    """Each player's last full-window form row of the season."""
+    full = t["mart_player_form"].filter((F.col("games_in_window") == 10) & (F.col("season_id") == season))
     return latest_per(full, ["player_id"], [F.desc("player_game_number")])
 
 
-def _xg_with_team(t: Tables) -> DataFrame:
+def _xg_with_team(t: Tables, season: int) -> DataFrame:
     teams = t["mart_player_season"].select("player_id", "season_id", "team_abbrevs")
-    return t["mart_player_xg_season"].join(teams, ["player_id", "season_id"])
+    return t["mart_player_xg_season"].filter(F.col("season_id") == season).join(teams, ["player_id", "season_id"])
 
 
 def season_leaders(t: Tables, season: int = CURRENT_SEASON, n: int = 10) -> DataFrame:
@@ -43,15 +41,15 @@ def season_leaders(t: Tables, season: int = CURRENT_SEASON, n: int = 10) -> Data
     name, team = F.col("full_name"), F.col("team_abbrevs")
     skaters = t["mart_player_season"].filter(F.col("season_id") == season)
     goalies = t["mart_goalie_season"].filter((F.col("season_id") == season) & (F.col("games_started") >= 30))
-    xg = _xg_with_team(t)
+    xg = _xg_with_team(t, season)
     return stack_sections([
         leaders(skaters, "points", name, team, "points", "player_id", n),
         leaders(skaters, "goals", name, team, "goals", "player_id", n),
-        leaders(_final_form(t), "hot", name, F.col("team_abbrev"), "points_last_10", "player_id", n),
+        leaders(_final_form(t, season), "hot", name, F.col("team_abbrev"), "points_last_10", "player_id", n),
         leaders(xg, "xg", name, team, "expected_goals", "player_season_key", n),
         leaders(xg.filter("unblocked_attempts >= 100"), "finishing", name, team, "goals_above_expected", "player_season_key", n),
         leaders(goalies, "save_pct", name, team, "save_pct", "player_id", n),
-        leaders(t["mart_team_xg_season"], "xg_share", F.col("team_abbrev"), F.lit(None), "xg_share", "team_abbrev", n),
+        leaders(t["mart_team_xg_season"].filter(F.col("season_id") == season), "xg_share", F.col("team_abbrev"), F.lit(None), "xg_share", "team_abbrev", n),
     ])
 
 
@@ -78,14 +76,15 @@ def alltime_leaders(t: Tables, active: bool = False, n: int = 10) -> DataFrame:
     ])
 
 
-def player_directory(t: Tables, season: int = CURRENT_SEASON) -> DataFrame:
-    """Everyone who can have comps, by name."""
+def player_directory(t: Tables, season: int = CURRENT_SEASON, rows: int | None = None) -> DataFrame:
+    """Everyone who can have comps, by name; ``rows`` cuts the list for a page."""
     cols = ["player_id", "full_name", "team_abbrevs", "position_code"]
     pick = lambda name, games: t[name].filter(
         (F.col("season_id") == season) & (F.col("games_played") >= games)
     ).select(*cols)
     both = pick("mart_player_season", 20).unionByName(pick("mart_goalie_season", 15))
-    return both.orderBy("full_name", "player_id").limit(DIRECTORY_ROWS)
+    both = both.orderBy("full_name", "player_id")
+    return both if rows is None else both.limit(rows)
 
 
 def find_player(t: Tables, player_id: int | None = None, name: str = "", season: int = CURRENT_SEASON) -> tuple[DataFrame, bool]:
@@ -121,11 +120,12 @@ def comps(t: Tables, player_id: int | None = None, name: str = "", profile: str
     return rows[0], comps_with_stats(t["mart_player_similarity"], stats, rows[0]["player_id"], season, effective), rows[1:]
 
 
-def player_shots(t: Tables, player_id: int) -> DataFrame:
-    """A shooter's scored attempts, most dangerous first."""
+def player_shots(t: Tables, player_id: int, rows: int | None = None) -> DataFrame:
+    """A shooter's scored attempts, most dangerous first; ``rows`` cuts the list for a page."""
     mine = t["fct_shots"].filter((F.col("shooting_player_id") == player_id) & F.col("xg").isNotNull())
     cols = ["x_coord", "y_coord", "zone_code", "xg", "is_goal", "shot_type", "strength_state"]
-    return mine.orderBy(F.desc("xg"), "game_id", "event_id").limit(SHOT_ROWS).select(*cols)
+    ranked = mine.orderBy(F.desc("xg"), "game_id", "event_id").select(*cols)
+    return ranked if rows is None else ranked.limit(rows)
 
 
 # --- documented analyst queries ---------------------------------------------------------

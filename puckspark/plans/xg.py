@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from puckspark.functions.scalars import rnd
 from puckspark.operators.flatten import REGULAR, UNBLOCKED_EVENTS
 from puckspark.operators.ordered import running_total
+from puckspark.operators.sizing import lookup
 from puckspark.session import pin
 
 NUMERIC = ["distance_ft", "angle_deg", "is_rebound", "is_rush"]
@@ -61,10 +62,10 @@ def stratified_split(df: DataFrame, label: str, keys: list[str], frac: float = H
     The order depends only on the keys, so a retried task repeats the same split. A label
     holds a large part of all rows; the running count is split over tasks when it must be.
     """
-    sizes = df.groupBy(label).agg(F.count("*").alias("_n"))  # one row per label
+    sizes = lookup(df.groupBy(label).agg(F.count("*").alias("_n")))
     hashed = df.withColumn("_h", F.xxhash64(F.lit(seed), *keys))
     counted = running_total(hashed, [label], ["_h", *keys], F.lit(1).cast("long"), "_at")
-    joined = counted.join(F.broadcast(sizes), label)
+    joined = counted.join(sizes, label)
     return joined.withColumn("is_test", F.col("_at") <= F.round(F.col("_n") * frac)).drop("_h", "_at", "_n")
 
 
@@ -114,9 +115,7 @@ def fit(train: DataFrame, label: str, numeric=NUMERIC, categorical=CATEGORICAL)
         featuresCol="features", labelCol="_y", weightCol="_w", maxIter=MAX_ITER, regParam=1.0 / max(n, 1),
         elasticNetParam=0.0, standardization=False, tol=1e-6,
     )
-    inputs = inputs.persist()
     model = Pipeline(stages=[*feature_stages(numeric, categorical), lr]).fit(inputs)
-    inputs.unpersist()
     return as_model(model, list(numeric), list(categorical), n)
 
 

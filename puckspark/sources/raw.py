@@ -10,11 +10,11 @@ from puckspark.sources.schemas import LOADED_AT, RAW
 
 
 def read_raw(spark: SparkSession, folder: str, table: str, default_season: int | None = None) -> DataFrame:
-    """One landed feed (newline-delimited JSON) under its declared schema.
+    """One landed feed (newline-delimited JSON) under its declared schema; a broken line fails the read.
 
     Standings rows take their season from ``seasonId`` or the given default.
     """
-    df = spark.read.schema(RAW[table]).json(f"{folder}/{table}.ndjson")
+    df = spark.read.schema(RAW[table]).option("mode", "FAILFAST").json(f"{folder}/{table}.ndjson")
     if table == "raw_standings":
         df = season_fallback(df, default_season)
     return df

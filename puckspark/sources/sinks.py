@@ -1,54 +1,53 @@
-"""Writers. Counts come from reading the written table back."""
+"""Writers. Rows are counted while they are written."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-QUESTION_CHARS = 2000
-SQL_CHARS = 10000
+
+def _counted(df: DataFrame) -> tuple[DataFrame, Observation]:
+    seen = Observation()
+    return df.observe(seen, F.count(F.lit(1)).alias("n")), seen
 
 
 def publish(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> int:
     """Replace a table in full and return its row count."""
-    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path).count()
+    out, seen = _counted(df)
+    out.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    return seen.get["n"]
 
 
 def write_ndjson(df: DataFrame, path: str) -> int:
     """Newline-delimited JSON with explicit nulls."""
-    df.write.mode("overwrite").json(path, ignoreNullFields=False)
-    return df.sparkSession.read.text(path).count()
+    out, seen = _counted(df)
+    out.write.mode("overwrite").json(path, ignoreNullFields=False)
+    return seen.get["n"]
 
 
-def append_log(df: DataFrame, path: str) -> None:
+def append_log(df: DataFrame, path: str, question_chars: int | None = None, sql_chars: int | None = None) -> None:
     """Append interactions (question, answer_chars, sql array, row_count, duration_ms,
-    status, model) with long text cut to the log's limits."""
-    log_rows(df).write.mode("append").json(path, ignoreNullFields=False)
+    status, model). Texts are logged whole unless a number of characters is given."""
+    log_rows(df, question_chars, sql_chars).write.mode("append").json(path, ignoreNullFields=False)
 
 
-def log_rows(df: DataFrame) -> DataFrame:
+def log_rows(df: DataFrame, question_chars: int | None = None, sql_chars: int | None = None) -> DataFrame:
+    cut = lambda c, n: c if n is None else F.substring(c, 1, n)
     return df.select(
         F.current_timestamp().alias("created_at"),
-        F.substring("question", 1, QUESTION_CHARS).alias("question"),
+        cut(F.col("question"), question_chars).alias("question"),
         "answer_chars",
-        F.substring(F.array_join("sql", "\n---\n"), 1, SQL_CHARS).alias("sql_queries"),
+        cut(F.array_join("sql", "\n---\n"), sql_chars).alias("sql_queries"),
         F.size("sql").alias("sql_count"),
         "row_count", "duration_ms", "status", "model",
     )
 
 
 def register(spark: SparkSession, layer: str, paths: dict[str, str]) -> None:
-    """Name published tables ``layer.table`` for SQL."""
+    """Name published tables ``layer.table`` for SQL; the data stay where they are."""
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {layer}")
     for name, path in paths.items():
         spark.sql(f"DROP TABLE IF EXISTS {layer}.{name}")
         spark.sql(f"CREATE TABLE {layer}.{name} USING parquet LOCATION '{path}'")
-
-
-def register_views(layer: str, frames: dict[str, DataFrame]) -> None:
-    """Lazy frames as session views ``layer_table``."""
-    for name, df in frames.items():
-        df.createOrReplaceTempView(f"{layer}_{name}")

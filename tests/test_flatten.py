@@ -1,4 +1,4 @@
-"""Documents against a plain fold written for the tests."""
+"""Documents: worked examples, and random games whose flags are looked up by definition."""
 
 import json
 import math
@@ -12,34 +12,29 @@ from puckspark.operators import flatten as fl
 HOME, AWAY = 10, 20
 
 
-def fold(doc):
-    """Shots of one game by walking its plays in order."""
-    out, previous, left = [], None, {}
-    ordered = sorted(enumerate(doc["plays"]), key=lambda ip: (ip[1].get("sortOrder") or 0, ip[0]))
-    for _, play in ordered:
-        d, period = play.get("details") or {}, play.get("periodDescriptor") or {}
-        if period.get("periodType") == "SO":
-            continue
-        mm, ss = play.get("timeInPeriod", "00:00").split(":")
-        now = ((period.get("number") or 1) - 1) * 1200 + int(mm) * 60 + int(ss)
-        owner = d.get("eventOwnerTeamId")
-        if owner is not None and d.get("zoneCode") in ("N", "D"):
-            left[owner] = now
-        kind = play["typeDescKey"]
-        if kind not in fl.SHOT_EVENTS or d.get("xCoord") is None or d.get("yCoord") is None:
-            continue
-        shooter = owner
-        if kind == "blocked-shot":
-            shooter = AWAY if owner == HOME else HOME
-        state = (shooter, period.get("number"))
-        free = kind != "blocked-shot"
-        rebound = bool(free and previous and previous[:2] == state and 0 <= now - previous[2] <= 3)
-        exit_at = left.get(shooter)
-        rush = exit_at is not None and 0 <= now - exit_at <= 4
-        net = 89 if (shooter == HOME) == (play.get("homeTeamDefendingSide", "left") == "left") else -89
-        out.append((doc["id"], play["eventId"], now, shooter == HOME, rebound, rush, round(math.hypot(net - d["xCoord"], d["yCoord"]), 2)))
-        if free:
-            previous = (*state, now)
+def expected(doc):
+    """(game, event, second, home, rebound, rush, distance) of every shot, each flag looked up by its definition:
+    the latest play of a kind at or before the shot, found among all plays of the game."""
+    plays = [p for p in doc["plays"] if p["periodDescriptor"].get("periodType") != "SO"]
+    place = {id(p): (p.get("sortOrder") or 0, doc["plays"].index(p)) for p in plays}
+    details = lambda p: p.get("details") or {}
+    period = lambda p: p["periodDescriptor"].get("number") or 1
+    second = lambda p: 1200 * (period(p) - 1) + 60 * int(p["timeInPeriod"][:2]) + int(p["timeInPeriod"][3:])
+    team = lambda p: details(p).get("eventOwnerTeamId")
+    side = lambda p: team(p) if p["typeDescKey"] != "blocked-shot" else AWAY if team(p) == HOME else HOME
+    shots = [p for p in plays if p["typeDescKey"] in fl.SHOT_EVENTS and {"xCoord", "yCoord"} <= set(details(p))]
+    latest = lambda found: max(found, key=lambda p: place[id(p)], default=None)
+    out = []
+    for shot in shots:
+        exit_ = latest(p for p in plays if place[id(p)] <= place[id(shot)] and team(p) == side(shot) is not None and details(p).get("zoneCode") in ("N", "D"))
+        before = latest(p for p in shots if place[id(p)] < place[id(shot)] and p["typeDescKey"] in fl.UNBLOCKED_EVENTS)
+        rebound = (
+            shot["typeDescKey"] in fl.UNBLOCKED_EVENTS and before is not None and side(before) == side(shot)
+            and period(before) == period(shot) and 0 <= second(shot) - second(before) <= fl.REBOUND_SECONDS)
+        rush = exit_ is not None and 0 <= second(shot) - second(exit_) <= fl.RUSH_SECONDS
+        net = 89 if (side(shot) == HOME) == (shot["homeTeamDefendingSide"] == "left") else -89
+        distance = round(math.dist((net, 0), (details(shot)["xCoord"], details(shot)["yCoord"])), 2)
+        out.append((doc["id"], shot["eventId"], second(shot), side(shot) == HOME, rebound, rush, distance))
     return out
 
 
@@ -68,12 +63,14 @@ def docs(spark, documents):
     return spark.createDataFrame([(json.dumps(d),) for d in documents], "payload string")
 
 
-def test_shots_equal_the_fold(spark):
+FLAGS = ["game_id", "event_id", "game_seconds", "is_home_team", "is_rebound", "is_rush", "distance_ft"]
+
+
+def test_random_games(spark):
     rng = random.Random(5)
     games = [random_game(rng, g) for g in range(40)]
-    got = fl.flatten_shots(docs(spark, games)).select(
-        "game_id", "event_id", "game_seconds", "is_home_team", "is_rebound", "is_rush", "distance_ft").collect()
-    want = [row for g in games for row in fold(g)]
+    got = fl.flatten_shots(docs(spark, games)).select(*FLAGS).collect()
+    want = [row for g in games for row in expected(g)]
     assert sorted(map(tuple, got)) == sorted(want)
     assert any(r[4] for r in want) and any(r[5] for r in want)
 
@@ -81,9 +78,39 @@ def test_shots_equal_the_fold(spark):
 def test_two_documents_of_one_game_stay_apart(spark):
     rng = random.Random(8)
     games = [random_game(rng, 1), random_game(rng, 1), random_game(rng, 1)]
-    got = fl.flatten_shots(docs(spark, games)).select(
-        "game_id", "event_id", "game_seconds", "is_home_team", "is_rebound", "is_rush", "distance_ft").collect()
-    assert sorted(map(tuple, got)) == sorted(row for g in games for row in fold(g))
+    got = fl.flatten_shots(docs(spark, games)).select(*FLAGS).collect()
+    assert sorted(map(tuple, got)) == sorted(row for g in games for row in expected(g))
+
+
+def play(event, kind, clock, owner, zone="O", x=60, **more):
+    return {"eventId": event, "sortOrder": event, "typeDescKey": kind, "timeInPeriod": clock, "homeTeamDefendingSide": "left",
+            "periodDescriptor": {"number": 1, "periodType": "REG"}, "details": {"eventOwnerTeamId": owner, "zoneCode": zone, "xCoord": x, "yCoord": 0}, **more}
+
+
+def worked_game():
+    plays = [
+        play(1, "hit", "00:10", HOME, "N"),
+        play(2, "shot-on-goal", "00:13", HOME),  # three seconds after leaving the zone: rush
+        play(3, "goal", "00:16", HOME),  # three seconds after the shot: rebound; six after the exit: no rush
+        play(4, "missed-shot", "05:00", AWAY, x=-60),  # nothing before it
+        play(5, "blocked-shot", "05:02", HOME, "D"),  # blocked by the home side, so the away side shot
+        play(6, "shot-on-goal", "05:03", AWAY, x=-60),  # within three seconds of the away side's miss
+    ]
+    return {"id": 4, "season": 20252026, "homeTeam": {"id": HOME, "abbrev": "HHH"}, "awayTeam": {"id": AWAY, "abbrev": "AAA"}, "plays": plays}
+
+
+def test_worked_game_however_often_it_was_landed(spark):
+    want = [(2, True, False, True), (3, True, True, False), (4, False, False, False), (5, False, False, False), (6, False, True, False)]
+    for copies in (1, 3):
+        rows = fl.flatten_shots(docs(spark, [worked_game()] * copies).repartition(copies)).select("event_id", "is_home_team", "is_rebound", "is_rush").collect()
+        assert sorted(map(tuple, rows)) == want
+
+
+@pytest.mark.parametrize("read", [fl.flatten_shots, fl.flatten_boxscores, lambda df: fl.explode_categories(df, [])])
+def test_broken_documents_fail(spark, read):
+    text = json.dumps(worked_game())
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST"):
+        read(spark.createDataFrame([(text,), (text[: len(text) // 2],)], "payload string")).collect()
 
 
 def test_shot_columns(spark):

@@ -24,7 +24,7 @@ def test_split_plans_agree_too(small_groups, con):
     """The ordered queries again with a group limit that most customers exceed."""
     small_groups.conf.set("puckspark.maxGroupRows", "4")
     for name in ("sequence_number", "rest_days", "trailing_ratio", "rolling_form", "percentiles", "rush_flag", "rebound_flag",
-                 "carry_last_value", "stratified_split", "last_n_games"):
+                 "carry_last_value", "stratified_split", "last_n_games", "running_total"):
         problem, _ = compare(small_groups, con, entry.queries()[name], entry.oracle_sql()[name], FOLDER)
         assert problem is None, name
 

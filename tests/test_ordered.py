@@ -55,6 +55,21 @@ def test_running_total(spark, small_groups):
     assert total(True) == total(False)
 
 
+def test_running_total_with_nulls(spark, small_groups):
+    df = spark.createDataFrame([(g, i, float(i) if g == "late" and i > 100 or g == "early" and i < 10 else None) for g in ("late", "early", None) for i in range(150)], "k string, id int, v double")
+    for value in (F.col("v"), F.col("v").cast("int"), F.col("v").cast("decimal(10,2)")):
+        plain, split = (od.running_total(df, ["k"], ["id"], value, "t", large=large) for large in (False, True))
+        assert rows(plain) == rows(split)
+        assert plain.schema["t"].dataType == split.schema["t"].dataType
+
+
+def test_rank_type_does_not_depend_on_k(spark, small_groups):
+    df = skewed(spark)
+    few, many = (od.top_k_per(df, ["k"], ORDER, k) for k in (3, 5000))
+    assert few.schema["rank"].dataType == many.schema["rank"].dataType
+    assert rows(few) == rows(many.filter("rank <= 3"))
+
+
 def test_lags_and_trailing_frames_cross_blocks(spark, small_groups):
     df = skewed(spark).withColumn("date", F.date_add(F.lit("2026-01-01").cast("date"), F.col("day").cast("int")))
     rest = lambda large, number: rows(od.windowed(df, ["k"], ORDER, 1, marts.rest_columns("date"), number=number, large=large))

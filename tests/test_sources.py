@@ -1,3 +1,4 @@
+import pytest
 import json
 
 from pyspark.sql import functions as F
@@ -47,15 +48,23 @@ def test_sinks(spark, tmp_path):
     assert '"v":null' in "".join(r.value for r in spark.read.text(str(tmp_path / "n")).collect())
 
 
-def test_log_appends_and_cuts(spark, tmp_path):
+def test_log_appends_whole_texts_or_cuts(spark, tmp_path):
     row = [("q" * 3000, 5, ["s" * 9990, "tail " * 10], 3, 7, "ok", "m")]
     df = spark.createDataFrame(row, "question string, answer_chars int, sql array<string>, row_count int, duration_ms int, status string, model string")
     for _ in range(2):
-        sinks.append_log(df, str(tmp_path / "log"))
+        sinks.append_log(df, str(tmp_path / "log"), 2000, 10000)
     back = spark.read.json(str(tmp_path / "log")).collect()
     assert len(back) == 2 and back[0].sql_count == 2
     assert (len(back[0].question), len(back[0].sql_queries)) == (2000, 10000)
     assert back[0].sql_queries[9990:] == "\n---\ntail "
+    whole = sinks.log_rows(df).first()
+    assert (len(whole.question), len(whole.sql_queries)) == (3000, 9990 + 5 + 50)
+
+
+def test_broken_lines_fail(spark, tmp_path):
+    (tmp_path / "raw_teams.ndjson").write_text('{"id": 1}\n{"id": 2, "fullNa')
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST"):
+        raw.read_raw(spark, str(tmp_path), "raw_teams").collect()
 
 
 def loaded(df, day):
