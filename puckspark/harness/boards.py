@@ -85,15 +85,22 @@ def shot_map(t):
     return normalize_shots(serving.player_shots(league(t), 1000007)).select("plot_x", "plot_y", "is_goal")
 
 
-@served("player_comps")
+@served("player_comps", f"""SELECT m.*, s.rank, s.similarity_score FROM mart_player_similarity s JOIN mart_player_season m ON m.player_id = s.comp_player_id AND m.season_id = s.season_id
+  WHERE s.season_id = {CURRENT} AND s.profile = 'overall' AND s.player_id = (SELECT player_id FROM mart_player_season WHERE {NOW} AND contains(lower(full_name), 'player 7')
+  ORDER BY games_played DESC, player_id LIMIT 1)""")
 def player_comps(t):
     _, found, _ = serving.comps(league(t), name="player 7", season=CURRENT)
     return found
 
 
+# Axes of the radar in order, with the percentile each shows.
+RADAR = [("Pts", "pct_points_per_gp"), ("Goals", "pct_goals_per_gp"), ("Shots", "pct_shots_per_gp"), ("EV/60", "pct_ev_points_per_60"), ("PP", "pct_pp_points_per_gp"),
+         ("TOI", "pct_toi_per_gp"), ("+/-", "pct_plus_minus"), ("Sh%", "pct_shooting"), ("Hits", "pct_hits_per_gp"), ("Blocks", "pct_blocks_per_gp")]
+
+
 @served("percentile_radar", "SELECT " + " UNION ALL SELECT ".join(
     f"{i} AS position, '{label}' AS axis, coalesce(max({c}) FILTER (player_id = 1000007), 0) AS a, coalesce(max({c}) FILTER (player_id = 1000011), 0) AS b FROM mart_player_season WHERE {NOW}"
-    for i, (c, label) in enumerate(serving.RADAR_AXES.items())))
+    for i, (label, c) in enumerate(RADAR)))
 def percentile_radar(t):
     rows = league(t)["mart_player_season"].filter(NOW)
     return compare_profiles(rows, "player_id", 1000007, 1000011, serving.RADAR_AXES)
@@ -169,12 +176,15 @@ def best_finishers(t):
     return serving.best_finishers(league(t), attempts=10)
 
 
-@served("goalie_comps")
+@served("goalie_comps", """SELECT s.rank, m.full_name, m.team_abbrevs, s.similarity_score, m.save_pct, m.games_started FROM mart_player_similarity s
+  JOIN mart_goalie_season m ON m.player_id = s.comp_player_id AND m.season_id = s.season_id JOIN dim_players d ON d.player_id = s.player_id
+  WHERE d.full_name = 'Goalie 7' AND s.profile = 'overall' ORDER BY s.rank LIMIT 10""")
 def goalie_comps(t):
     return serving.goalie_comps(league(t), "Goalie 7")
 
 
-@served("spot_check")
+@served("spot_check", """SELECT a.full_name AS player_name, s.rank, b.full_name AS comp_name, s.similarity_score FROM mart_player_similarity s JOIN dim_players a ON a.player_id = s.player_id
+  JOIN dim_players b ON b.player_id = s.comp_player_id WHERE s.profile = 'overall' AND s.rank <= 10 AND a.full_name IN ('Player 7', 'Goalie 7', 'Nobody')""")
 def spot_check(t):
     g = league(t)
     names = g["dim_players"].select("player_id", "full_name")

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from puckspark.functions import scalars as S
+from puckspark.harness.comps_sql import compared
 from puckspark.harness.registry import CENTS, R, SUM, Tables, cents, query
 from puckspark.operators import flatten as fl
 from puckspark.operators import ordered as od
@@ -544,7 +545,7 @@ def era_guard(t):
 
 
 @query("top_k_per_group", """
-SELECT o_custkey, o_orderkey, o_totalprice, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS INTEGER) AS rank
+SELECT o_custkey, o_orderkey, o_totalprice, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS BIGINT) AS rank
 FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 3""")
 def top_k_per_group(t):
     rows = t.orders.select("o_custkey", "o_orderkey", "o_totalprice")
@@ -920,7 +921,7 @@ def compare_profiles(t):
 @query("similarity", f"""
 WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 p AS (SELECT a.vec_id, b.vec_id AS comp, a.label, round(list_cosine_similarity(a.e, b.e), 12) AS s FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id)
-SELECT vec_id, comp, label, {R('s', 6)} AS score, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, comp) AS INTEGER) AS rank
+SELECT vec_id, comp, label, {R('s', 6)} AS score, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, comp) AS BIGINT) AS rank
 FROM p QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, comp) <= 25""")
 def similarity(t):
     rows = t.embeddings.withColumn("vec", F.col("embedding").cast("array<double>"))
@@ -968,9 +969,14 @@ def profile_weights(t):
         "vec_id", "profile", F.col("dimension").cast("long").alias("dimension"), S.rnd("v", 6).alias("weighted"))
 
 
-@query("similarity_profiles")
+LINES = """SELECT c_mktsegment AS pool, player AS id, season, gp::DOUBLE AS x0, goals::DOUBLE AS x1, nullif(tries, 0)::DOUBLE AS x2 FROM cs JOIN customer ON c_custkey = player"""
+
+
+@query("similarity_profiles", f"""
+WITH {GAMES}, {CSEASONS} SELECT pool AS c_mktsegment, profile, id AS player, comp, {R('s', 6)} AS score, rank
+FROM ({compared(LINES, {'gp': (1, 0.25), 'goals': (1, 4), 'tries': (1, 1)}, ('overall', 'scorers'), 19981999, 19971998, min_prior=1)})""")
 def similarity_profiles(t):
-    """Comps within a market segment for two weightings; checked against brute force in the tests."""
+    """Comps within a market segment for two weightings."""
     weighted = sm.apply_profiles(blended(t).drop("season"), BLEND_FEATURES, PROFILES)
     return sm.top_comps(weighted, ["c_mktsegment", "profile"], "player", "vec", 25).withColumn("score", S.rnd("score", 6))
 
@@ -986,24 +992,60 @@ def line_shots(t: Tables):
 LINE_KEYS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice"]
 
 
-@query("xg_score")
-def xg_score(t):
-    shots = line_shots(t)
-    model = xg.fit(shots.filter("regular"), "goal", ["l_quantity", "l_discount"], ["kind", "state"])
-    return model.probability(shots).select(*LINE_KEYS[:4], "goal", S.rnd("_p", 5).alias("xg"))
+LINE_SHOTS = """shots AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_discount, CASE WHEN l_tax > 0 THEN l_linestatus END AS kind,
+  CAST(l_linenumber % 3 AS VARCHAR) AS state, l_returnflag = 'R' AS goal, year(l_shipdate) < 2001 AS regular FROM lineitem)"""
+GIVEN = xg.XgModel(-1.5, {"l_quantity": 0.02, "l_discount": -3.0}, {"kind": {"F": 0.75, "unknown": 0.25}, "state": {"0": 0.5, "2": -0.5}}, 0)
+GIVEN_SQL = """1 / (1 + exp(-(-1.5 + 0.02 * l_quantity - 3.0 * l_discount + CASE coalesce(kind, 'unknown') WHEN 'F' THEN 0.75 WHEN 'unknown' THEN 0.25 ELSE 0 END
+  + CASE state WHEN '0' THEN 0.5 WHEN '2' THEN -0.5 ELSE 0 END)))"""
 
 
-@query("xg_holdout_report")
+@query("xg_score", f"WITH {LINE_SHOTS} SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, goal, {R(GIVEN_SQL, 5)} AS xg FROM shots")
+def xg_score(t):
+    """Every line under given weights."""
+    return GIVEN.probability(line_shots(t)).select(*LINE_KEYS[:4], "goal", S.rnd("_p", 5).alias("xg"))
+
+
+@query("xg_fit", f"""WITH {LINE_SHOTS}, s AS (SELECT * FROM shots WHERE regular)
+SELECT CAST(count(*) AS BIGINT) AS n, string_agg(DISTINCT coalesce(kind, 'unknown'), ',' ORDER BY coalesce(kind, 'unknown')) AS kinds,
+  string_agg(DISTINCT state, ',' ORDER BY state) AS states, true AS at_optimum, true AS beats_rate FROM s""")
+def xg_fit(t):
+    """What was fitted, and that no weight can be moved to a better loss: the gradient is zero within a tolerance."""
+    train = line_shots(t).filter("regular")
+    model = xg.fit(train, "goal", ["l_quantity", "l_discount"], ["kind", "state"])
+    rows = model.probability(xg.with_inputs(train, ["l_quantity", "l_discount"], ["kind", "state"]), "p").withColumn("y", F.col("goal").cast("double"))
+    miss = F.col("p") - F.col("y")
+    parts = [F.avg(miss)]
+    for c, w in model.numeric.items():
+        parts.append(F.avg(miss * F.col(c)) + w / F.count("*"))
+    for c, levels in model.levels.items():
+        for level, w in levels.items():
+            parts.append(F.avg(F.when(F.coalesce(c, F.lit("unknown")) == level, miss).otherwise(0.0)) + w / F.count("*"))
+    rate = F.avg("y")
+    loss = -F.avg(F.col("y") * F.log("p") + (1 - F.col("y")) * F.log(1 - F.col("p")))
+    listed = lambda c: F.lit(",".join(sorted(model.levels[c])))
+    got = rows.agg(F.count("*").alias("n"), F.greatest(*[F.abs(g) for g in parts]).alias("g"), loss.alias("loss"), rate.alias("r"))
+    chance = -(F.col("r") * F.log("r") + (1 - F.col("r")) * F.log(1 - F.col("r")))
+    return got.select("n", listed("kind").alias("kinds"), listed("state").alias("states"), (F.col("g") < 1e-3).alias("at_optimum"), (F.col("loss") <= chance).alias("beats_rate"))
+
+
+@query("xg_holdout_report", f"""WITH {LINE_SHOTS}, p AS (SELECT {GIVEN_SQL} AS p, goal::INTEGER AS y FROM shots),
+r AS (SELECT y, rank() OVER (ORDER BY round(p, 12)) + (count(*) OVER (PARTITION BY round(p, 12)) - 1) / 2.0 AS pos FROM p)
+SELECT 'actual' AS metric, {R('sum(y)::DOUBLE', 6)} AS value FROM p UNION ALL SELECT 'predicted', {R('sum(p)', 6)} FROM p
+UNION ALL SELECT 'auc', {R('((sum(pos) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * (count(*) - sum(y))))', 6)} FROM r""")
 def xg_holdout_report(t):
-    split = pin(xg.stratified_split(line_shots(t).filter("regular"), "goal", LINE_KEYS))
-    model = xg.fit(split.filter("not is_test"), "goal", ["l_quantity", "l_discount"], ["kind", "state"])
-    report = xg.holdout_report(model, split.filter("is_test"), "goal")
-    return t.spark.createDataFrame([(k, float(v)) for k, v in sorted(report.items())], "metric string, value double")
+    """Area under the ROC curve and totals under given weights."""
+    report = xg.holdout_report(GIVEN, line_shots(t), "goal")
+    rows = t.spark.createDataFrame([(k, float(v)) for k, v in sorted(report.items())], "metric string, value double")
+    return rows.withColumn("value", S.rnd("value", 6))
 
 
 @query("stratified_split", """
-SELECT goal, CAST(count(*) AS BIGINT) AS n, CAST(round(count(*) * 0.2) AS BIGINT) AS held_out
+SELECT goal, CAST(count(*) AS BIGINT) AS n, CAST(round(count(*) * 0.2) AS BIGINT) AS held_out, CAST(round(count(*) * 0.2) AS BIGINT) AS first_in_hash_order
 FROM (SELECT l_returnflag = 'R' AS goal FROM lineitem) GROUP BY 1""")
 def stratified_split(t):
-    split = xg.stratified_split(line_shots(t), "goal", LINE_KEYS)
-    return split.groupBy("goal").agg(F.count("*").alias("n"), F.count_if("is_test").alias("held_out"))
+    """Sizes of the split, and how many of the held-out rows come before all others in the seeded order (all of them)."""
+    split = xg.stratified_split(line_shots(t), "goal", LINE_KEYS).withColumn("at", F.struct(F.xxhash64(F.lit(xg.SEED), *LINE_KEYS), *LINE_KEYS))
+    first = rl.lookup(split.filter("not is_test").groupBy(F.col("goal").alias("_goal")).agg(F.min("at").alias("_from")))
+    rows = split.join(first, split.goal == F.col("_goal"), "left")
+    return rows.groupBy("goal").agg(
+        F.count("*").alias("n"), F.count_if("is_test").alias("held_out"), F.count_if(F.col("is_test") & (F.col("at") < F.col("_from"))).alias("first_in_hash_order"))

@@ -14,7 +14,9 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from puckspark.harness.comps_sql import similarity_sql
 from puckspark.harness.registry import R, Tables, query
+from puckspark.harness.staging_sql import STAGING
 from puckspark.operators.flatten import explode_plays, flatten_boxscores, flatten_shots
 from puckspark.plans import comps, marts, serving, staging, xg
 from puckspark.session import pin
@@ -328,26 +330,8 @@ def _shots_with_given_xg(t) -> DataFrame:
 # --- SQL counterparts -------------------------------------------------------------------
 
 
-def _stage_sql(name: str) -> str:
-    spec = staging.SPECS[name]
-    flat = {"teamAbbrev.default": "abbrev", "teamName.default": "name"}
-
-    def column(out: str, src: str) -> str:
-        src = flat.get(src, src)
-        if out in spec.doubles:
-            src = f"TRY_CAST({src} AS DOUBLE)"
-        if out in spec.dates:
-            src = f"CAST({src} AS DATE)"
-        if out in spec.guards:
-            base = spec.names[spec.guards[out]]
-            src = f"CASE WHEN sum({base}) OVER (PARTITION BY season_id) > 0 THEN {src} END"
-        return f"{src} AS {out}"
-
-    return f"SELECT {', '.join(column(o, s) for o, s in spec.names.items())} FROM {name}"
-
-
 TYPE = "CASE WHEN substr(CAST(game_id AS VARCHAR), 5, 2) = '03' THEN 3::BIGINT ELSE 2::BIGINT END AS game_type"
-SQL: dict[str, str] = {f"stg_{n}": _stage_sql(n) for n in staging.SPECS}
+SQL: dict[str, str] = dict(STAGING)
 SQL["stg_schedule"] = f"SELECT *, {TYPE}, game_date + INTERVAL 23 HOUR AS start_time_utc FROM schedule"
 SQL["stg_team_game_stats"] = "SELECT * FROM rightrail"
 SQL["stg_player_games"] = f"SELECT * REPLACE (CAST(game_date AS DATE) AS game_date), {TYPE} FROM player_games"
@@ -413,9 +397,12 @@ SQL["_player_lines"] = f"""SELECT {KEY}, player_id, season_id, full_name, positi
   {', '.join(f'{R(f"({c}_per_gp_seconds / 60)", 2)} AS {o}_minutes_per_gp' for o, c in MINUTES.items())}, hits, blocked_shots, takeaways, giveaways, penalty_minutes AS pim, plus_minus,
   faceoff_win_pct AS faceoff_pct, {', '.join(f'{per(c, "games_played", 4)} AS {o}_per_gp' for o, c in RATES.items())},
   {', '.join(f'{per(f"{c} * 3600", f"{st}toi_seconds", 4)} AS {o}_per_60' for o, (c, st) in PER60.items())} FROM {LINES('')}"""
+RANKED = {
+    "pct_plus_minus": "plus_minus", "pct_shooting": "shooting_pct", "pct_ev_points_per_60": "ev_points_per_60", "pct_points_per_gp": "points_per_gp", "pct_goals_per_gp": "goals_per_gp",
+    "pct_shots_per_gp": "shots_per_gp", "pct_toi_per_gp": "toi_minutes_per_gp", "pct_pp_points_per_gp": "pp_points_per_gp", "pct_hits_per_gp": "hits_per_gp", "pct_blocks_per_gp": "blocks_per_gp"}
 SQL["mart_player_season"] = "SELECT *, " + ", ".join(
     f"CASE WHEN games_played >= 20 THEN {R(f'(percent_rank() OVER (PARTITION BY season_id, position_group, games_played >= 20 ORDER BY {c} NULLS FIRST))', 3)} END AS {o}"
-    for o, c in marts.PERCENTILES.items()) + " FROM _player_lines"
+    for o, c in RANKED.items()) + " FROM _player_lines"
 SQL["mart_player_playoff_season"] = f"""SELECT {KEY}, player_id, season_id, full_name, position_code, {TWO_WAY}, team_abbrevs, birth_date, {TOTALS},
   {R('(toi_per_gp_seconds / 60)', 2)} AS toi_minutes_per_gp, hits, blocked_shots, penalty_minutes AS pim, plus_minus, faceoff_win_pct AS faceoff_pct,
   {per('goals', 'games_played', 4)} AS goals_per_gp, {per('points', 'games_played', 4)} AS points_per_gp,
@@ -483,6 +470,9 @@ SQL["mart_team_xg_season"] = f"""SELECT team_abbrev || '-' || season_id AS team_
   {R('(goals_against_model - x_against)', 2)} AS goals_above_expected_against FROM {_xg_side('team_abbrev', 'for')} JOIN {_xg_side('opponent_abbrev', 'against')} USING (team_abbrev, season_id)"""
 
 
+SQL["mart_player_similarity"] = similarity_sql(CURRENT, PREVIOUS)
+
+
 def with_inputs(body: str) -> str:
     """The body preceded by every frame it needs, each written once."""
     known = {**FEEDS, **SQL}
@@ -507,7 +497,6 @@ def _register(name: str, sql: str | None):
 for _name, _sql in SQL.items():
     if not _name.startswith("_") and _name != "team_slice":
         _register(_name, _sql)
-_register("mart_player_similarity", None)
 
 
 @query("team_slice", with_inputs(SQL["team_slice"]))
@@ -520,10 +509,14 @@ def flatten_boxscores_query(t):
     return flatten_boxscores(boxscore_docs(t))
 
 
-@query("fct_shots_model")
+@query("fct_shots_model", with_inputs("""SELECT * EXCLUDE (xg), xg IS NOT NULL AS scored, true AS plausible, true AS calibrated FROM fct_shots"""))
 def fct_shots_model(t):
-    """Shots scored by the trained model."""
-    return xg.fct_shots(league(t))
+    """Shots scored by the trained model: which are, with probabilities that add up to the goals within a twentieth."""
+    shots = pin(xg.fct_shots(league(t)))
+    sums = xg.calibration(shots.filter("game_type = 2")).first()
+    fits = abs(sums["predicted_goals"] - sums["actual_goals"]) <= 0.05 * sums["actual_goals"]
+    inside = F.coalesce((F.col("xg") > 0) & (F.col("xg") < 1), F.lit(True))
+    return shots.select(*[c for c in shots.columns if c != "xg"], F.col("xg").isNotNull().alias("scored"), inside.alias("plausible"), F.lit(fits).alias("calibrated"))
 
 
 # --- play-by-play documents from the event stream ------------------------------------------
