@@ -161,7 +161,8 @@ def sharded_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """``docs`` with ``shard`` and ``slot``, both replaced if present. Rows that repeat an id must have equal texts; they share
     their shard and get different slots."""
     plain = docs.drop("shard", "slot")
-    order = W.partitionBy("id").orderBy("slot")
-    got = assign_shards(docs, id_col, text_col, shards).select("id", "shard", "slot", F.row_number().over(order).alias("_turn"))
-    own = plain.withColumn("_turn", F.row_number().over(W.partitionBy(id_col).orderBy(F.lit(1))))
-    return own.join(got, own[id_col].eqNullSafe(got["id"]) & (own["_turn"] == got["_turn"])).select(*plain.columns, "shard", "slot")
+    kept = [F.col(f"d.{c}") for c in plain.columns]
+    turn = F.row_number().over(W.partitionBy("_i").orderBy("_s"))
+    got = assign_shards(docs, id_col, text_col, shards).select(F.col("id").alias("_i"), F.col("shard").alias("_shard"), F.col("slot").alias("_s")).withColumn("_t", turn)
+    own = plain.select(F.struct("*").alias("d"), F.col(id_col).cast("long").alias("_j")).withColumn("_u", F.row_number().over(W.partitionBy("_j").orderBy(F.lit(1))))
+    return own.join(got, F.col("_j").eqNullSafe(F.col("_i")) & (F.col("_u") == F.col("_t"))).select(*kept, F.col("_shard").alias("shard"), F.col("_s").alias("slot"))
