@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Sequence
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from puckspark.operators import quality as dq
+from puckspark.operators.flatten import flatten_boxscores, flatten_shots
 from puckspark.plans import comps, marts, xg
 from puckspark.plans.staging import build_staging
-from puckspark.sources.raw import read_raw
+from puckspark.sources.raw import read_payloads, read_raw, stamp_loaded
 from puckspark.sources.schemas import RAW
 from puckspark.sources.sinks import publish, register
 
@@ -41,6 +46,7 @@ MODEL_MARTS = {
     "mart_player_xg_season": marts.mart_player_xg_season,
     "mart_team_xg_season": marts.mart_team_xg_season,
 }
+REPORTS = ["xg_report", "xg_top_teams"]
 
 # Mart -> column that must be unique and present.
 KEYS = {
@@ -129,33 +135,83 @@ def model_checks(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
     return checks
 
 
+def agreement_checks(t: dict[str, DataFrame], tolerance: float) -> dict[str, DataFrame]:
+    """Power play and penalty kill summed over the games against the season report."""
+    games = t["fct_team_games"].groupBy(F.col("team_abbrev").alias("tri_code"), "season_id").agg(
+        F.try_divide(F.sum("pp_goals_for"), F.sum("pp_opportunities")).alias("pp_pct"),
+        (1 - F.try_divide(F.sum("pp_goals_against"), F.sum("times_shorthanded"))).alias("pk_pct"))
+    return {f"{c} agrees with the games": dq.reconcile(t["mart_team_season"], games, ["tri_code", "season_id"], c, tolerance) for c in ("pp_pct", "pk_pct")}
+
+
+def landed_checks(raw: dict[str, DataFrame], declared: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Feeds against the totals that came with them; ``declared`` maps a feed to (season_id, total)."""
+    return {f"{feed} is complete": dq.declared_total(raw[feed], ["season_id"], totals, "total") for feed, totals in declared.items()}
+
+
 def build_marts(
     spark: SparkSession, staging: dict[str, DataFrame], out_dir: str, team: str | None = None,
-    season_games: int | None = SEASON_GAMES,
+    season_games: int | None = SEASON_GAMES, season: int = marts.CURRENT_SEASON, previous: int | None = None,
+    agreement: float | None = None, spot: Sequence[str] = (),
 ) -> dict[str, DataFrame]:
-    """Publish every mart; each later mart reads the published form of the earlier ones.
+    """Publish every mart under a folder of this run; each later mart reads the published form of the earlier ones.
 
-    A failing check raises before any later stage runs.
+    ``season`` is the current one and ``previous`` the one before it (default: by a year). A failing check raises before any later
+    stage runs. Only when all have passed do the served names move to this run, so a failed one leaves them as they were.
+    ``agreement`` is the tolerance between games and season reports; ``spot`` names players whose comparisons are published apart.
     """
     tables: dict[str, DataFrame] = {}
+    run_dir = f"{out_dir}/{uuid.uuid4().hex}"
+    previous = previous or season - 10001
+    seasonal = {"dim_teams", "mart_player_career", "mart_goalie_career"}
 
-    def run(group):
-        for name, build in group.items():
-            publish(build(tables), f"{out_dir}/{name}")
-            tables[name] = spark.read.parquet(f"{out_dir}/{name}")
+    def put(name: str, df: DataFrame):
+        publish(df, f"{run_dir}/{name}")
+        tables[name] = spark.read.parquet(f"{run_dir}/{name}")
 
     # Staging is stored too: several marts and their size checks read it, and each read
     # of a view would parse the landed JSON again.
-    run({name: (lambda _, df=df: df) for name, df in staging.items()})
-    run(BASE_MARTS)
-    dq.gate(base_checks(tables, team, season_games))
-    run(MODEL_MARTS)
+    for name, df in staging.items():
+        put(name, df)
+    for name, build in BASE_MARTS.items():
+        put(name, build(tables, season) if name in seasonal else build(tables))
+    dq.gate(base_checks(tables, team, season_games) | (agreement_checks(tables, agreement) if agreement is not None else {}))
+    model, report = xg.train_xg(tables["stg_shots"])
+    put("fct_shots", xg.score_xg(model, tables["stg_shots"]))
+    put("xg_report", spark.createDataFrame([(model.n_train, *(float(report[k]) for k in ("auc", "predicted", "actual")))], "n_train long, auc double, predicted double, actual double"))
+    put("xg_top_teams", xg.top_teams(tables["fct_shots"]))
+    for name, build in MODEL_MARTS.items():
+        if name != "fct_shots":
+            put(name, build(tables, season, previous) if name == "mart_player_similarity" else build(tables))
+    if spot:
+        put("comps_spot_check", comps.spot_check(tables["mart_player_similarity"], tables["dim_players"].select("player_id", "full_name"), list(spot)))
     dq.gate(model_checks(tables))
-    register(spark, MARTS_LAYER, {n: f"{out_dir}/{n}" for n in [*BASE_MARTS, *MODEL_MARTS]})
+    served = [*BASE_MARTS, *MODEL_MARTS, *REPORTS, *(["comps_spot_check"] if spot else [])]
+    register(spark, MARTS_LAYER, {n: f"{run_dir}/{n}" for n in served})
     return tables
 
 
-def build_all(spark: SparkSession, raw_dir: str, out_dir: str, **options) -> dict[str, DataFrame]:
-    """Landed files to published, checked and named marts."""
-    raw = {name: read_raw(spark, raw_dir, name) for name in RAW}
+def from_documents(spark: SparkSession, boxscores: str | None, plays: str | None, loaded: str) -> dict[str, DataFrame]:
+    """The player-game and shot feeds out of landed game documents, one JSON document per file."""
+    out = {}
+    if boxscores:
+        out["raw_player_games"] = stamp_loaded(flatten_boxscores(read_payloads(spark, boxscores)), loaded)
+    if plays:
+        out["raw_shots"] = stamp_loaded(flatten_shots(read_payloads(spark, plays)), loaded)
+    return out
+
+
+def build_all(
+    spark: SparkSession, raw_dir: str, out_dir: str, boxscores: str | None = None, plays: str | None = None, loaded: str | None = None,
+    declared: dict[str, DataFrame] | None = None, **options,
+) -> dict[str, DataFrame]:
+    """Landed files to published, checked and named marts.
+
+    ``boxscores`` and ``plays`` are globs of game documents; where given, the feeds made from them take the place of the flat ones.
+    ``loaded`` is their load time (default: now). ``declared`` holds the totals that the feeds must have.
+    """
+    loaded = loaded or datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
+    made = from_documents(spark, boxscores, plays, loaded)
+    raw = {name: read_raw(spark, raw_dir, name) for name in RAW if name not in made} | made
+    if declared:
+        dq.gate(landed_checks(raw, declared))
     return build_marts(spark, build_staging(raw), out_dir, **options)
