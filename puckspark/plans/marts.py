@@ -81,6 +81,12 @@ _SIDE_STATS = [
 _SIDE_GAME = ["team_abbrev", "opponent", "is_home", "goals_for", "goals_against"]
 
 
+def _large_team(t: Tables, kind: int) -> bool:
+    """Whether a team has too many games for one task, by the schedule alone: the statistics only take games away."""
+    games = t["stg_schedule"].filter(F.col("game_type") == kind)
+    return has_large_group(games.select(F.explode(F.array("home_abbrev", "away_abbrev")).alias("team")), ["team"])
+
+
 def rest_columns(day: str):
     """Days since the previous row and whether that is exactly one (never for the first)."""
     def build(w):
@@ -92,7 +98,7 @@ def rest_columns(day: str):
 def fct_team_games(t: Tables) -> DataFrame:
     numbered = windowed(
         _game_sides(t, REGULAR), ["team_abbrev"], ["game_date", "game_id"], 1,
-        rest_columns("game_date"), number="game_number",
+        rest_columns("game_date"), number="game_number", large=_large_team(t, REGULAR),
     )
     return numbered.select(
         S.surrogate_key("game_id", "team_abbrev").alias("game_team_key"), "game_id", "season_id", "game_date",
@@ -103,7 +109,7 @@ def fct_team_games(t: Tables) -> DataFrame:
 
 def fct_team_playoff_games(t: Tables) -> DataFrame:
     numbered = sequence_number(
-        _game_sides(t, PLAYOFF), ["team_abbrev"], ["game_date", "game_id"], "game_number"
+        _game_sides(t, PLAYOFF), ["team_abbrev"], ["game_date", "game_id"], "game_number", large=_large_team(t, PLAYOFF)
     )
     return numbered.select(
         S.surrogate_key("game_id", "team_abbrev").alias("game_team_key"), "game_id", "season_id", "game_date",
@@ -172,6 +178,8 @@ def _skater_lines(t: Tables, suffix: str) -> DataFrame:
 
 def mart_player_season(t: Tables) -> DataFrame:
     lines = _skater_lines(t, "")
+    # measured on the summaries alone: the joins add no rows
+    group = t["stg_skater_summary"].select("season_id", S.position_group("position_code", goalies=False).alias("position_group"))
     base = lines.select(
         S.surrogate_key(*_PLAYER_SEASON).alias("player_season_key"), *_PLAYER_SEASON, "full_name", "position_code",
         S.position_group("position_code", goalies=False).alias("position_group"), "team_abbrevs", "birth_date",
@@ -196,7 +204,7 @@ def mart_player_season(t: Tables) -> DataFrame:
     )
     return percentile_within(
         base, ["season_id", "position_group"], PERCENTILES,
-        F.col("games_played") >= MIN_GAMES_RANKED, lambda c: S.rnd(c, 3),
+        F.col("games_played") >= MIN_GAMES_RANKED, lambda c: S.rnd(c, 3), large=has_large_group(group, ["season_id", "position_group"]),
     )
 
 
@@ -381,7 +389,7 @@ def mart_team_special_teams_rolling(t: Tables) -> DataFrame:
 
 
 def rolling_form(
-    games: DataFrame, entity: str, position: str, sums: dict[str, str], xg: str, size: int = FORM_GAMES
+    games: DataFrame, entity: str, position: str, sums: dict[str, str], xg: str, size: int = FORM_GAMES, large: bool | None = None,
 ) -> DataFrame:
     """Sums of the last ``size`` games; ``sums`` maps output -> column, ``xg`` is rounded to 2."""
     def build(w):
@@ -389,7 +397,7 @@ def rolling_form(
         out = {o: F.sum(c).over(frame) for o, c in sums.items()}
         return out | {f"xg_last_{size}": F.sum(xg).over(frame)}
 
-    rows = windowed(games, [entity], [position], size - 1, build)
+    rows = windowed(games, [entity], [position], size - 1, build, large=large)
     return rows.withColumns({
         f"xg_last_{size}": S.rnd(f"xg_last_{size}", 2), "games_in_window": F.least(position, F.lit(size)),
     })
@@ -408,11 +416,12 @@ def form_against(baseline: str, size: int = FORM_GAMES) -> dict[str, Column]:
 def mart_player_form(t: Tables) -> DataFrame:
     scored = t["fct_shots"].filter(F.col("xg").isNotNull() & (F.col("game_type") == REGULAR))
     per_game = scored.groupBy("game_id", F.col("shooting_player_id").alias("player_id")).agg(F.sum("xg").alias("game_xg"))
-    games = t["fct_player_games"].filter(F.col("position_code") != "G").join(per_game, ["game_id", "player_id"], "left")
+    skaters = t["fct_player_games"].filter(F.col("position_code") != "G")
+    games = skaters.join(per_game, ["game_id", "player_id"], "left")
     games = games.withColumn("game_xg", F.coalesce("game_xg", F.lit(0.0)))
     form = rolling_form(
         games, "player_id", "player_game_number",
-        {"points_last_10": "points", "goals_last_10": "goals", "shots_last_10": "shots"}, "game_xg",
+        {"points_last_10": "points", "goals_last_10": "goals", "shots_last_10": "shots"}, "game_xg", large=has_large_group(skaters, ["player_id"]),
     )
     baseline = t["mart_player_season"].select(*_PLAYER_SEASON, F.col("points_per_gp").alias("season_points_per_gp"))
     derived = form_against("season_points_per_gp")
