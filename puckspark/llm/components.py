@@ -20,7 +20,7 @@ def components(edges: DataFrame) -> DataFrame:
     many neighbours is only counted (map-side) and joined, where skewed keys are split. Self loops
     give a component of one node; an empty table gives none.
     """
-    nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
     now = pin(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None
     while (state := _state(now)) != seen:

@@ -23,6 +23,7 @@ REGISTERS = 256
 MANTISSA = 10
 BAND = 6  # registers in a band; a link of similarity 0.85 is missed with probability (1 - 0.85^6)^42 < 1e-8
 BLOCK = 256  # texts compared at once when a bucket is searched in full
+FINE = 1024  # one-byte registers for the search in full, three bits of leading zeros and five of mantissa
 SIGMAS = 4  # how far below the threshold an estimate may lie and still be confirmed
 
 _rng = np.random.default_rng(711)
@@ -49,6 +50,33 @@ def registers(windows: np.ndarray) -> np.ndarray:
     return out
 
 
+def fine_registers(windows: np.ndarray) -> np.ndarray:
+    """More and shorter registers of one non-empty ascending set; 0 is an empty one. A set that is small against their number
+    is told nearly window by window."""
+    place = (windows >> np.uint64(54)).astype(np.int64)
+    first = np.flatnonzero(np.diff(place, prepend=-1))
+    value = (windows[first] >> np.uint64(1)) & np.uint64((1 << 53) - 1)
+    _, bits = np.frexp(value.astype(np.float64))
+    zeros = 53 - np.where(value > 0, bits, 0)
+    tail = ((value << (zeros + 1).astype(np.uint64)) & np.uint64((1 << 53) - 1)) >> np.uint64(48)
+    out = np.zeros(FINE, np.uint8)
+    out[place[first]] = np.minimum(1 + np.minimum(zeros, 7) * 32 + tail.astype(np.int64), 255)
+    return out
+
+
+def fine_match(x: np.ndarray, others: np.ndarray, n: int, ns: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the others may reach the threshold with x, n and ns being the sizes of the sets.
+
+    The filled registers are a sample of the union without replacement, so its error shrinks with the part that is hidden.
+    """
+    filled = ((others > 0) | (x > 0)).sum(axis=1)
+    same = ((others == x) & (x > 0)).sum(axis=1) / filled
+    p, c = percent / 100, 1 / 96  # c: chance of two different smallest windows to agree
+    union = np.maximum((n + ns) / (1 + p), filled + 1)
+    error = np.sqrt(p * (1 - p) / filled * (1 - filled / union))
+    return (same - c) / (1 - c) >= p - SIGMAS * error - 0.01
+
+
 def chance(n: float, m: float) -> float:
     """Expected share of registers that agree although their smallest windows differ."""
     n, m = max(n, m), max(min(n, m), 1.0)
@@ -140,7 +168,7 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int, size: int) -> DataFrame:
     """Pairs (a, b) with 100 * intersection >= percent * union on their full sets."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     schema = pa.schema([("id", pa.int64()), ("windows", pa.binary())])
 
     def sets(batches):
@@ -161,20 +189,29 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int, size: int) -> Da
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _rest(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that share a bucket but no component and whose estimate may reach the threshold.
+def _rest(members: DataFrame, labels: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, size: int) -> DataFrame:
+    """Pairs (a, b) that share a bucket but no component and may reach the threshold by their fine registers.
 
     The bucket is dealt into blocks; each pair of blocks is compared inside one task as matrices of
     registers, so only pairs that pass are produced and no task holds more than two blocks.
     """
     named = members.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
     mixed = named.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h")
+    held = pin(named.join(mixed.select("key", "c"), "key"))
+    schema = pa.schema([("node", pa.int64()), ("fine", pa.binary())])
+
+    def drawn(batches):
+        return _rows(((i, fine_registers(w).tobytes()) for i, w in _windows(batches, size) if len(w)), schema, 500)
+
+    wanted = held.select(F.col("node").alias("id")).distinct()
+    fine = docs.join(wanted, "id", "left_semi").mapInArrow(drawn, "node long, fine binary")
+    fine = pin(fine.join(nodes.select("node", "n"), "node")).dropDuplicates(["node"])
     dealt = (
-        named.join(mixed.select("key", "c"), "key").join(nodes.select("node", "n", "sketch"), "node")
+        held.join(fine, "node")
         .withColumn("blocks", F.ceil(F.col("c") / BLOCK)).withColumn("own", F.pmod(F.xxhash64("node"), "blocks"))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         .groupBy("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-        .agg(F.collect_list(F.struct("node", "label", "n", "own", "sketch")).alias("held"))
+        .agg(F.collect_list(F.struct("node", "label", "n", "own", "fine")).alias("held"))
     )
 
     def run(batches):
@@ -183,17 +220,15 @@ def _rest(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int)
             for i, j, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 got = held.as_py()
                 node, label, n, own = (np.array([g[k] for g in got]) for k in ("node", "label", "n", "own"))
-                x = np.frombuffer(b"".join(g["sketch"] for g in got), np.uint16).reshape(-1, REGISTERS)
+                x = np.frombuffer(b"".join(g["fine"] for g in got), np.uint8).reshape(-1, FINE)
                 for k in range(len(got) - 1):
                     rest = slice(k + 1, None)
-                    most, least = np.maximum(n[k], n[rest]), np.minimum(n[k], n[rest])
-                    ok = (label[rest] != label[k]) & (100 * least >= percent * most)
+                    ok = (label[rest] != label[k]) & (100 * np.minimum(n[k], n[rest]) >= percent * np.maximum(n[k], n[rest]))
                     if i != j:
                         ok &= own[rest] != own[k]
                     at = np.flatnonzero(ok) + k + 1
                     if len(at):
-                        same = (x[at] == x[k]).mean(axis=1) - chance(1, 1)
-                        at = at[same >= least_share(percent, np.maximum(n[k], n[at]))]
+                        at = at[fine_match(x[k], x[at], n[k], n[at], percent)]
                         found += [(min(node[k], node[m]), max(node[k], node[m])) for m in at]
             pairs = np.unique(np.array(found, np.int64).reshape(-1, 2), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
@@ -223,7 +258,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     known = own.where("id is not null")
     links = pin(_confirmed(pin(_estimated(stars, nodes, percent)), known, percent, size))
     labels = pin(components(links))
-    more = _rest(members.select("key", "node"), labels, nodes, percent).join(stars, ["a", "b"], "left_anti")
+    more = _rest(members.select("key", "node"), labels, nodes, known, percent, size).join(stars, ["a", "b"], "left_anti")
     more = pin(_confirmed(pin(more), known, percent, size))
     if not more.isEmpty():
         links = links.union(more)
