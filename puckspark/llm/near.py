@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from puckspark.llm import text as T
 from puckspark.llm.components import components
+from puckspark.operators.sizing import lookup
 from puckspark.session import pin
 
 REGISTERS = 256
@@ -166,13 +167,20 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y", "na", "nb").mapInArrow(run, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int, size: int) -> DataFrame:
-    """Pairs (a, b) with 100 * intersection >= percent * union on their full sets."""
-    ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    schema = pa.schema([("id", pa.int64()), ("windows", pa.binary())])
+def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """(id, n, windows) of the documents in question, stored once: no later step reads texts again. The ids are broadcast if
+    few, else the texts are shuffled to them."""
+    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("windows", pa.binary())])
+
+    def run(batches):
+        return _rows(((i, len(w), w.tobytes()) for i, w in _windows(batches, size) if len(w)), schema, 200)
+
+    found = docs.join(lookup(ids), "id", "left_semi").select("id", "text").mapInArrow(run, "id long, n long, windows binary")
+    return pin(found.dropDuplicates(["id"]))
 
-    def sets(batches):
-        return _rows(((i, w.tobytes()) for i, w in _windows(batches, size) if len(w)), schema, 200)
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) with 100 * intersection >= percent * union on their full sets."""
 
     def run(batches):
         for batch in batches:
@@ -183,13 +191,12 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int, size: int) -> Da
                 ok.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    full = pin(docs.join(ends, "id", "left_semi").mapInArrow(sets, "id long, windows binary")).dropDuplicates(["id"])
-    left = full.select(F.col("id").alias("a"), F.col("windows").alias("x"))
-    right = full.select(F.col("id").alias("b"), F.col("windows").alias("y"))
+    left = sets.select(F.col("id").alias("a"), F.col("windows").alias("x"))
+    right = sets.select(F.col("id").alias("b"), F.col("windows").alias("y"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _rest(members: DataFrame, labels: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, size: int) -> DataFrame:
+def _rest(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that share a bucket but no component and may reach the threshold by their fine registers.
 
     The bucket is dealt into blocks; each pair of blocks is compared inside one task as matrices of
@@ -198,14 +205,14 @@ def _rest(members: DataFrame, labels: DataFrame, nodes: DataFrame, docs: DataFra
     named = members.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
     mixed = named.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h")
     held = pin(named.join(mixed.select("key", "c"), "key"))
-    schema = pa.schema([("node", pa.int64()), ("fine", pa.binary())])
 
     def drawn(batches):
-        return _rows(((i, fine_registers(w).tobytes()) for i, w in _windows(batches, size) if len(w)), schema, 500)
+        for batch in batches:
+            fine = [fine_registers(np.frombuffer(w.as_buffer(), np.uint64)).tobytes() for w in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fine, pa.binary())], names=["node", "n", "fine"])
 
     wanted = held.select(F.col("node").alias("id")).distinct()
-    fine = docs.join(wanted, "id", "left_semi").mapInArrow(drawn, "node long, fine binary")
-    fine = pin(fine.join(nodes.select("node", "n"), "node")).dropDuplicates(["node"])
+    fine = pin(sets.join(wanted, "id", "left_semi").select("id", "n", "windows").mapInArrow(drawn, "node long, n long, fine binary"))
     dealt = (
         held.join(fine, "node")
         .withColumn("blocks", F.ceil(F.col("c") / BLOCK)).withColumn("own", F.pmod(F.xxhash64("node"), "blocks"))
@@ -256,10 +263,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     members = pin(bands.join(lead.select("key", "leader"), "key"))
     stars = members.where("leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     known = own.where("id is not null")
-    links = pin(_confirmed(pin(_estimated(stars, nodes, percent)), known, percent, size))
+    sets = _sets(known, members.select(F.col("node").alias("id")).distinct(), size)
+    links = pin(_confirmed(pin(_estimated(stars, nodes, percent)), sets, percent))
     labels = pin(components(links))
-    more = _rest(members.select("key", "node"), labels, nodes, known, percent, size).join(stars, ["a", "b"], "left_anti")
-    more = pin(_confirmed(pin(more), known, percent, size))
+    more = _rest(members.select("key", "node"), labels, sets, percent).join(stars, ["a", "b"], "left_anti")
+    more = pin(_confirmed(pin(more), sets, percent))
     if not more.isEmpty():
         links = links.union(more)
         labels = pin(components(links))
