@@ -16,10 +16,6 @@ def rename_select(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
     return df.select(*[F.col(src).alias(out) for out, src in mapping.items()])
 
 
-def cast_cols(df: DataFrame, types: dict[str, str]) -> DataFrame:
-    return df.withColumns({c: F.col(c).cast(t) for c, t in types.items()})
-
-
 def try_cast_cols(df: DataFrame, types: dict[str, str]) -> DataFrame:
     """Casts that yield null instead of failing."""
     return df.withColumns({c: F.col(c).try_cast(t) for c, t in types.items()})

@@ -1,5 +1,3 @@
-import math
-
 import numpy as np
 import pytest
 from pyspark.ml import Pipeline
@@ -12,16 +10,19 @@ SCHEMA = ("game_id long, event_id long, game_type int, event_type string, is_goa
 
 
 def shots(spark, n=4000, seed=0):
-    rng = np.random.default_rng(seed)
-    rows = []
-    for i in range(n):
-        distance, rebound = float(rng.integers(5, 60)), bool(rng.integers(0, 2))
-        p = 1 / (1 + math.exp(0.4 + 0.06 * distance - 0.8 * rebound))
-        goal = bool(rng.random() < p)
-        kind = "goal" if goal else str(rng.choice(["shot-on-goal", "missed-shot", "blocked-shot"]))
-        rows.append((i // 50, i, 2 + (i % 10 == 0), kind, goal, bool(rng.random() < 0.05), distance, float(rng.integers(0, 80)), rebound,
-                     bool(rng.integers(0, 2)), str(rng.choice(["wrist", "slap", "tip-in"])) if i % 40 else None, str(rng.choice(["EV", "PP", "SH"]))))
-    return spark.createDataFrame(rows, SCHEMA)
+    """Attempts drawn by hash, so that any number of partitions gives the same rows; goals follow a known law."""
+    draw = lambda k: F.pmod(F.xxhash64("event_id", F.lit(seed), F.lit(k)), F.lit(100_003)) / 100_003.0
+    pick = lambda k, *levels: F.element_at(F.array(*[F.lit(v) for v in levels]), (draw(k) * len(levels)).cast("int") + 1)
+    rows = spark.range(n).withColumnRenamed("id", "event_id").withColumns({
+        "distance_ft": F.floor(6 + 52 * draw(1)).cast("double"), "angle_deg": F.floor(75 * draw(2)).cast("double"),
+        "is_rebound": draw(3) < 0.4, "is_rush": draw(4) < 0.3, "is_empty_net": draw(5) < 0.04,
+        "shot_type": F.when(F.col("event_id") % 37 > 0, pick(6, "snap", "backhand", "deflected")), "strength_state": pick(7, "EV", "PP", "SH"),
+        "game_id": F.floor(F.col("event_id") / 40).cast("long"), "game_type": F.when(F.col("event_id") % 11 == 0, 3).otherwise(2),
+    })
+    chance = 1 / (1 + F.exp(0.3 + 0.055 * F.col("distance_ft") - 0.9 * F.col("is_rebound").cast("int")))
+    rows = rows.withColumn("is_goal", draw(8) < chance)
+    kind = F.when(F.col("is_goal"), "goal").otherwise(pick(9, "missed-shot", "shot-on-goal", "blocked-shot"))
+    return rows.withColumn("event_type", kind).select(*[c.split()[0] for c in SCHEMA.split(", ")])
 
 
 def features(spark, train, df):
@@ -38,7 +39,7 @@ def test_features(spark):
 
 def test_unseen_category_is_all_zeros(spark):
     df = shots(spark, 60)
-    new = df.limit(1).withColumn("shot_type", F.lit("between-the-legs"))
+    new = df.limit(1).withColumn("shot_type", F.lit("batted out of the air"))
     assert features(spark, df, new)[0][4:8].sum() == 0
 
 
