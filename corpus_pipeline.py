@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from puckspark.llm import decontaminate, mixing, near, sharding, toxicity
 from puckspark.llm.ship import with_code
+from puckspark.operators.sizing import lookup
 from puckspark.session import shared_dir
 
 REJECT_FROM = 0.3  # toxicity score
@@ -24,14 +25,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below ``REJECT_FROM``; the labels are those of the folder."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     bad = toxicity.score_toxicity(docs, labels).where(F.col("score") >= REJECT_FROM).select(F.col("id").alias("_bad")).distinct()
-    return docs.join(bad, docs.doc_id.eqNullSafe(bad["_bad"]), "left_anti")
+    return docs.join(lookup(bad), F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of every group of near duplicates; rows that repeat an id stay once."""
     away = near.near_groups(docs, percent=NEAR_PERCENT).where(~F.col("kept")).select(F.col("doc_id").alias("_away")).distinct()
-    kept = docs.join(away, docs.doc_id == away["_away"], "left_anti")
-    return kept
+    return docs.join(lookup(away), F.col("doc_id") == F.col("_away"), "left_anti")
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from puckspark.operators.sizing import lookup
 from puckspark.session import pin
 
 WINDOW = 10
@@ -97,7 +98,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **
     """``docs`` without the documents that hold a benchmark window; all columns stay. Rows without an id stay when
     no row without an id is hit."""
     bad = find_leaks(docs, benchmark, id_col, **options).where("n_hit > 0").select(F.col("id").alias("_leaked")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["_leaked"]), "left_anti")
+    return docs.join(lookup(bad), docs[id_col].eqNullSafe(F.col("_leaked")), "left_anti")
 
 
 def cut_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
