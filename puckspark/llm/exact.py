@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from puckspark.operators.sizing import lookup
 from puckspark.session import pin
 
 
@@ -20,8 +21,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     row's text; rows that differ have collided and are grouped again by the text itself. Null counts as the empty text. A null id is
     never kept where the group has another; rows that repeat id and text are all counted and marked alike. Other columns are ignored.
 
-    Only hashes and ids are aggregated, map-side first; texts travel once, to the rows of groups of two or more, in a join
-    whose skewed keys are split, so a group with a third of all rows is not gathered in one task.
+    Only hashes and ids are aggregated, map-side first. Groups of two or more are broadcast to the texts if they were counted to be few,
+    else the texts travel to them once, in a join whose skewed keys are split, so a group with a third of all rows is not
+    gathered in one task.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     text = text if normalise is None else normalise(text)
@@ -31,7 +33,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     heads = pin(hashed.select("id", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), "h"))
     groups = heads.groupBy("h").agg(F.count(F.lit(1)).alias("n"), best("id").alias("keep_id"))
     many = pin(groups.where("n > 1"))
-    members = pin(hashed.join(many.select("h", "keep_id"), "h"))
+    members = pin(hashed.join(lookup(many.select("h", "keep_id"), materialise=False), "h"))
     # one row for each group: the text that the others are compared with
     first = members.where(F.col("id").eqNullSafe(F.col("keep_id"))).groupBy("h").agg(F.min("text").alias("kept_text"))
     compared = members.join(first, "h")
