@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from puckspark.session import pin
+from puckspark.operators.ordered import sequence_number
+from puckspark.session import pin, row_keyed
 
 SEED = 17
 BUCKET_ROWS = 100_000  # rows of a source's key histogram bucket that one task orders, on average
@@ -53,13 +54,15 @@ def targets(sources: DataFrame, share: float, most: float) -> DataFrame:
 def mix_sources(
     docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", size: Column | None = None, quality: Column | None = None,
     weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, seed: int = SEED,
+    row_col: str | None = None, apart: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(id, size, source, source_size, target, taken, epochs) for every row of ``docs``.
+    """(id, size, source, source_size, target, taken, epochs) for every row of ``docs``, and its ``row`` if ``row_col`` names one.
 
     ``taken`` is epochs * size plus, where the draw selects the document, its size; the last document drawn from a
     source is taken only as far as the target needs. ``quality`` is a document's weight in the draw (default 1; null
     counts as 1, zero and less as a millionth). The key depends on id, size and seed, so a rerun agrees; rows that
-    repeat id and size share a key and are drawn one after the other, in either order with the same result. Null sources form
+    repeat id and size share a key and are drawn one after the other, in either order with the same result; columns named in
+    ``apart`` join the key, to tell such rows apart. Null sources form
     one source, placed last. Empty documents have size 0 and nothing is taken; with no documents there are no rows.
 
     The target point of each source is found in a histogram of its keys; only the one bucket that holds it
@@ -69,11 +72,14 @@ def mix_sources(
         F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"),
         (word_count("text") if size is None else size).cast("long").alias("size"),
         F.greatest(F.coalesce(F.lit(1.0) if quality is None else quality.cast("double"), F.lit(1.0)), F.lit(1e-6)).alias("q"),
+        *([] if row_col is None else [F.col(row_col).alias("row")]), *[F.col(c).alias(f"apart_{k}") for k, c in enumerate(apart)],
     )
+    more = [f"apart_{k}" for k in range(len(apart))]
+    ties = [] if row_col is None else ["row"]
     code = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))
-    unit = (F.shiftrightunsigned(F.xxhash64("id", "size", F.lit(seed)), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
+    unit = (F.shiftrightunsigned(F.xxhash64("id", "size", F.lit(seed), *more), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
     own = own.withColumn("s", code).withColumn("key", -F.log(unit) / F.col("q"))
-    own = pin(own.drop("q"))
+    own = pin(own.drop("q", *more))
     rows = own.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("source_size"), F.first("source").alias("source"))
     aimed = targets(pin(ordered_sources(rows, weights)), share, most)
     aimed = aimed.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
@@ -92,16 +98,25 @@ def mix_sources(
     plan = pin(aimed.drop("n", "weight").join(cut, "s", "left").withColumn("cut", F.coalesce("cut", F.when(F.col("rest") > 0, F.lit(2**62)).otherwise(F.lit(-1)))))
     marked = placed.join(plan.drop("source"), "s")
     inside = marked.where("b = cut").withColumn(
-        "upto", F.sum("size").over(W.partitionBy("s").orderBy("key", "id", "size").rowsBetween(W.unboundedPreceding, 0)) + F.col("before"))
+        "upto", F.sum("size").over(W.partitionBy("s").orderBy("key", "id", "size", *ties).rowsBetween(W.unboundedPreceding, 0)) + F.col("before"))
     inside = inside.withColumn("drawn", F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("upto") + F.col("size")))).drop("upto")
     outside = marked.where("b <> cut").withColumn("drawn", F.when(F.col("b") < F.col("cut"), F.col("size")).otherwise(F.lit(0)))
     out = inside.unionByName(outside)
-    return out.select("id", "size", "source", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("drawn")).cast("long").alias("taken"), "epochs")
+    return out.select("id", "size", "source", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("drawn")).cast("long").alias("taken"), "epochs", *ties)
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", **options) -> DataFrame:
     """``docs`` as the mix takes them: a document of which at least half of a further copy is taken appears that many times,
-    one of which less is taken not at all. All columns stay; ids must be unique and not null."""
-    got = mix_sources(docs, id_col, **options).where("taken > 0").select(F.col("id").alias("_taken_id"), F.round(F.col("taken") / F.col("size")).cast("int").alias("_copies")).where("_copies > 0")
-    joined = docs.join(got, docs[id_col] == got["_taken_id"])
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_taken_id", "_copies", "_copy")
+    one of which less is taken not at all. All columns stay.
+
+    Every row is drawn for itself, also one without an id or with the id of others. Its key depends on id, text and
+    its number among the rows that share both, so a rerun agrees.
+    """
+    keyed = row_keyed(docs)
+    doc = F.col("doc")
+    rows = keyed.select("row", doc[id_col].alias("id"), doc[source_col].alias("source"), doc["text"].alias("text"))
+    rows = pin(rows.select("row", "id", "source", word_count("text").alias("words"), F.xxhash64("text").alias("print")))  # texts don't travel
+    rows = sequence_number(rows, ["id", "print"], ["row"], "nth")
+    got = mix_sources(rows, "id", size=F.col("words"), row_col="row", apart=("print", "nth"), **options)
+    got = got.where("taken > 0").select("row", F.round(F.col("taken") / F.col("size")).cast("int").alias("copies")).where("copies > 0")
+    return keyed.join(got, "row").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")

@@ -60,6 +60,11 @@ def pin(df: DataFrame) -> DataFrame:
     return pin_counted(df)[0]
 
 
+def row_keyed(df: DataFrame) -> DataFrame:
+    """(row, doc), written once: a number of its own for every row, and all its columns as a struct, so that no name clashes."""
+    return pin(df.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc")))
+
+
 def pin_counted(df: DataFrame) -> tuple[DataFrame, int]:
     """``pin`` with the number of rows, counted while writing."""
     spark, seen = df.sparkSession, Observation()
