@@ -22,10 +22,10 @@ SHARDS = 8
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below ``REJECT_FROM``; the labels are those of the folder."""
+    """Documents whose toxicity score is below ``REJECT_FROM``; the labels are those of the folder. Every row is judged by its
+    own text, also one without an id or with the id of others."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    bad = toxicity.score_toxicity(docs, labels).where(F.col("score") >= REJECT_FROM).select(F.col("id").alias("_bad")).distinct()
-    return docs.join(lookup(bad), F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    return toxicity.scored_rows(docs, *toxicity.fit(docs, labels)).where(F.col("score") < REJECT_FROM).select("doc.*")
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from puckspark.operators.sizing import lookup
-from puckspark.session import pin
+from puckspark.session import pin, row_keyed
 
 WINDOW = 10
 MAX_BROADCAST_WINDOWS = 100_000  # beyond this many windows the lookup is a shuffled join
@@ -94,11 +94,13 @@ def find_leaks(
     return per_row.select("id", "n_words", F.size(inside).alias("n_hit"), F.array_sort("items").alias("items"), F.array_sort("spans").alias("spans"))
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark window; all columns stay. Rows without an id stay when
-    no row without an id is hit."""
-    bad = find_leaks(docs, benchmark, id_col, **options).where("n_hit > 0").select(F.col("id").alias("_leaked")).distinct()
-    return docs.join(lookup(bad), docs[id_col].eqNullSafe(F.col("_leaked")), "left_anti")
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """``docs`` without the rows that hold a benchmark window; all columns stay. Every row is judged by its own text, also one
+    without an id or with the id of others."""
+    keyed = row_keyed(docs)
+    rows = keyed.select("row", F.col("doc")[text_col].alias("text"))
+    bad = find_leaks(rows, benchmark, "row", "text", **options).where("n_hit > 0").select(F.col("id").alias("_leaked"))
+    return keyed.join(lookup(bad), F.col("row") == F.col("_leaked"), "left_anti").select("doc.*")
 
 
 def cut_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

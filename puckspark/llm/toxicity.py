@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
 
 from puckspark.llm import text as T
 from puckspark.session import pin
@@ -225,6 +226,21 @@ def score(docs: DataFrame, law: Lexicon, calibration: np.ndarray, id_col: str =
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
+def scored_rows(docs: DataFrame, law: Lexicon, calibration: np.ndarray, text_col: str = "text") -> DataFrame:
+    """(doc, score) of every row: all its columns as a struct, so that what is decided by the score holds for the row, whatever its id."""
+    model = docs.sparkSession.sparkContext.broadcast((law, np.asarray(calibration)))  # bounded by FIT_ROWS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        law, w = model.value
+        for batch in batches:
+            scores = np.zeros(batch.num_rows)
+            for row, units in _units(batch.column(0).field(text_col)):
+                scores[row] = 1 / (1 + np.exp(-np.clip(np.dot(law.features(units), w[:-1]) + w[-1], -30, 30)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], names=["doc", "score"])
+
+    return docs.select(F.struct("*").alias("doc")).mapInArrow(run, ST.StructType().add("doc", docs.schema).add("score", "double"))
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train=None) -> DataFrame:
     """``fit`` on the labelled documents and ``score`` all."""
     return score(docs, *fit(docs, labels, id_col, text_col, label_col, train), id_col, text_col)

@@ -36,3 +36,22 @@ def test_mixing_takes_rows_not_ids(spark, tmp_path):
     again = collections.Counter((r[0], r[1]) for r in mixing.mixed_documents(df.repartition(7)).collect())
     assert again == collections.Counter((r[0], r[1]) for r in mixing.mixed_documents(df).collect())
     assert stage("mixing")(spark, df.where(F.lit(False)), str(tmp_path)).isEmpty()
+
+
+def test_toxic_rows_go_alone(spark, tmp_path):
+    bad = [(i, "vile slur " * 5 + words(i, 8), "en", "a", 0) for i in range(200, 240)]
+    good = [(i, words(i, 18), "en", "a", 0) for i in range(300, 360)]
+    odd = [(None, "vile slur " * 5 + words(1, 8), "en", "a", 0), (7, "vile slur " * 5 + words(2, 8), "en", "a", 0)]
+    clean = [(None, words(i, 18), "en", "a", 0) for i in range(20)] + [(7, words(400, 18), "en", "a", 0)]
+    folder = labelled(spark, tmp_path, [(r[0], 1, int(r in bad)) for r in bad + good])
+    out = stage("toxicity")(spark, spark.createDataFrame(bad + good + odd + clean, DOCS), folder)
+    assert collections.Counter(map(tuple, out.collect())) == collections.Counter(good + clean)
+
+
+def test_leaking_rows_go_alone(spark, tmp_path):
+    leak = words(3, 12)
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    odd = [(None, f"a {leak} b", "en", "a", 0), (7, f"{leak} b", None, "a", 0)]
+    clean = [(None, words(i, 18), "en", "a", 0) for i in range(10, 30)] + [(7, words(40, 18), "en", "a", 0), (7, None, "en", "a", 0)]
+    out = stage("decontamination")(spark, spark.createDataFrame(odd + clean, DOCS), str(tmp_path))
+    assert collections.Counter(map(tuple, out.collect())) == collections.Counter(clean)
