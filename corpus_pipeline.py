@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from puckspark.llm import decontaminate, mixing, near, sharding, toxicity
 from puckspark.llm.ship import with_code
 from puckspark.operators.sizing import lookup
-from puckspark.session import shared_dir
+from puckspark.session import pin, row_keyed, shared_dir
 
 REJECT_FROM = 0.3  # toxicity score
 NEAR_PERCENT = 80
@@ -29,9 +29,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every group of near duplicates; rows that repeat an id stay once."""
-    away = near.near_groups(docs, percent=NEAR_PERCENT).where(~F.col("kept")).select(F.col("doc_id").alias("_away")).distinct()
-    return docs.join(lookup(away), F.col("doc_id") == F.col("_away"), "left_anti")
+    """One row of every group of near duplicates: the one with the smallest id, rows without an id coming last. Rows are grouped
+    by their texts alone, so copies go whether or not they have an id or share it; texts without words stay."""
+    keyed = row_keyed(docs)
+    rows = keyed.select("row", F.col("doc.doc_id").alias("doc_id"), F.col("doc.text").alias("text"))
+    groups = pin(near.near_groups(rows, "row", percent=NEAR_PERCENT).select("row", "component_id").join(rows.select("row", "doc_id"), "row"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row")))["row"]
+    best = groups.groupBy("component_id").agg(F.count(F.lit(1)).alias("n"), first.alias("best")).where("n > 1").drop("n")
+    away = groups.join(lookup(best), "component_id").where("row <> best").select(F.col("row").alias("_away"))
+    return keyed.join(lookup(away), F.col("row") == F.col("_away"), "left_anti").select("doc.*")
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

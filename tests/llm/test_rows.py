@@ -55,3 +55,13 @@ def test_leaking_rows_go_alone(spark, tmp_path):
     clean = [(None, words(i, 18), "en", "a", 0) for i in range(10, 30)] + [(7, words(40, 18), "en", "a", 0), (7, None, "en", "a", 0)]
     out = stage("decontamination")(spark, spark.createDataFrame(odd + clean, DOCS), str(tmp_path))
     assert collections.Counter(map(tuple, out.collect())) == collections.Counter(clean)
+
+
+def test_one_row_of_every_group_stays(spark):
+    near = words(1, 60)
+    rows = [(None, near, "en", "a", k) for k in range(30)] + [(9, near + " end", "en", "a", k) for k in range(5)] + [(4, near, "en", "b", 0)]
+    rows += [(None, words(2, 40), "en", "a", 0)] * 3 + [(6, words(3, 40), "en", "a", 0)] * 4 + [(6, words(5, 40), "en", "a", 0)]
+    empty = [(None, "", "en", "a", 0)] * 2 + [(8, None, "en", "a", 0)] * 2
+    out = stage("near_duplicates")(spark, spark.createDataFrame(rows + empty, DOCS).repartition(4), "").collect()
+    want = [(4, near, "en", "b", 0), (None, words(2, 40), "en", "a", 0), (6, words(3, 40), "en", "a", 0), (6, words(5, 40), "en", "a", 0)]
+    assert collections.Counter(map(tuple, out)) == collections.Counter(want + empty)
