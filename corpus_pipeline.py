@@ -46,8 +46,8 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
-    return mixing.mixed_documents(docs)
+    """Documents as often as the mix takes them, those labelled as good quality sooner and as poor later; the labels are those of the folder."""
+    return mixing.mixed_documents(docs, labels=spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -105,18 +105,29 @@ def mix_sources(
     return out.select("id", "size", "source", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("drawn")).cast("long").alias("taken"), "epochs", *ties)
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", **options) -> DataFrame:
+def quality_weights(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id, quality_weight), one row per id: documents labelled as good quality weigh twice, as poor half. The larger of several labels counts."""
+    best = labels.groupBy(id_col).agg(F.max("quality").alias("quality"))
+    return best.select(id_col, F.when(F.col("quality") > 0, 2.0).when(F.col("quality") <= 0, 0.5).otherwise(1.0).alias("quality_weight"))
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", labels: DataFrame | None = None, **options) -> DataFrame:
     """``docs`` as the mix takes them: a document of which at least half of a further copy is taken appears that many times,
     one of which less is taken not at all. All columns stay.
 
     Every row is drawn for itself, also one without an id or with the id of others. Its key depends on id, text and
-    its number among the rows that share both, so a rerun agrees.
+    its number among the rows that share both, so a rerun agrees. ``labels`` (id, quality) give the ``quality_weights``
+    of the draw; rows whose id has none, or that have no id, weigh 1.
     """
     keyed = row_keyed(docs)
     doc = F.col("doc")
     rows = keyed.select("row", doc[id_col].alias("id"), doc[source_col].alias("source"), doc["text"].alias("text"))
     rows = pin(rows.select("row", "id", "source", word_count("text").alias("words"), F.xxhash64("text").alias("print")))  # texts don't travel
     rows = sequence_number(rows, ["id", "print"], ["row"], "nth")
+    if labels is not None:
+        weights = quality_weights(labels, id_col)
+        rows = rows.join(weights.select(F.col(id_col).alias("id"), "quality_weight"), "id", "left")
+        options["quality"] = F.col("quality_weight")
     got = mix_sources(rows, "id", size=F.col("words"), row_col="row", apart=("print", "nth"), **options)
     got = got.where("taken > 0").select("row", F.round(F.col("taken") / F.col("size")).cast("int").alias("copies")).where("copies > 0")
     return keyed.join(got, "row").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")

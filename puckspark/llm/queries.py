@@ -100,11 +100,10 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 @_query("op7_source_mix")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     """Documents labelled as good quality weigh twice, as poor half."""
-    labels = _read(spark, folder, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    weights = mixing.quality_weights(_read(spark, folder, "labels"))
     docs = _read(spark, folder, "documents").select("doc_id", "source", mixing.word_count("text").alias("words"))  # texts don't travel to the labels
-    docs = docs.join(labels, "doc_id", "left")
-    weight = F.when(F.col("quality") > 0, 2.0).when(F.col("quality") <= 0, 0.5).otherwise(1.0)
-    return mixing.mix_sources(docs, size=F.col("words"), quality=weight).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "source", "epochs")
+    docs = docs.join(weights, "doc_id", "left")
+    return mixing.mix_sources(docs, size=F.col("words"), quality=F.col("quality_weight")).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "source", "epochs")
 
 
 _OP8_SQL = r"""

@@ -40,9 +40,9 @@ def test_mixing_takes_rows_not_ids(spark, tmp_path):
 
 def test_toxic_rows_go_alone(spark, tmp_path):
     bad = [(i, "vile slur " * 5 + words(i, 8), "en", "a", 0) for i in range(200, 240)]
-    good = [(i, words(i, 18), "en", "a", 0) for i in range(300, 360)]
+    good = [(i, words(i, 18).replace("w", "x"), "en", "a", 0) for i in range(300, 360)]  # no word of the toxic ones
     odd = [(None, "vile slur " * 5 + words(1, 8), "en", "a", 0), (7, "vile slur " * 5 + words(2, 8), "en", "a", 0)]
-    clean = [(None, words(i, 18), "en", "a", 0) for i in range(20)] + [(7, words(400, 18), "en", "a", 0)]
+    clean = [(None, words(i, 18).replace("w", "x"), "en", "a", 0) for i in range(20)] + [(7, words(400, 18).replace("w", "x"), "en", "a", 0)]
     folder = labelled(spark, tmp_path, [(r[0], 1, int(r in bad)) for r in bad + good])
     out = stage("toxicity")(spark, spark.createDataFrame(bad + good + odd + clean, DOCS), folder)
     assert collections.Counter(map(tuple, out.collect())) == collections.Counter(good + clean)
@@ -65,3 +65,11 @@ def test_one_row_of_every_group_stays(spark):
     out = stage("near_duplicates")(spark, spark.createDataFrame(rows + empty, DOCS).repartition(4), "").collect()
     want = [(4, near, "en", "b", 0), (None, words(2, 40), "en", "a", 0), (6, words(3, 40), "en", "a", 0), (6, words(5, 40), "en", "a", 0)]
     assert collections.Counter(map(tuple, out)) == collections.Counter(want + empty)
+
+
+def test_mixing_stage_prefers_quality(spark, tmp_path):
+    df = spark.createDataFrame([(i, words(i, 10), "en", "a", 0) for i in range(600)] + [(None, words(i, 10), "en", "a", 0) for i in range(600, 800)], DOCS)
+    folder = labelled(spark, tmp_path, [(i, i % 2, 0) for i in range(600)] + [(3, None, 0), (None, 1, 0)])
+    out = collections.Counter(r.text for r in stage("mixing")(spark, df, folder).collect())
+    twice = [sum(out[words(i, 10)] == 2 for i in part) / len(part) for part in (range(1, 600, 2), range(600, 800), range(0, 600, 2))]
+    assert sum(out.values()) in (1199, 1200, 1201) and twice[0] > 0.6 > twice[1] > 0.35 and twice[2] < 0.35
