@@ -7,7 +7,9 @@ add little; a random key adds nearly its own entropy.
 
 from __future__ import annotations
 
+import random
 import re
+import string
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -44,7 +46,9 @@ CONTEXT = re.compile(r"secret|token|passw|passphrase|api_?key|access|auth|bearer
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=~-]{16,512}", re.A)
 BEFORE = 48  # characters before a candidate in which a word of CONTEXT makes it sensitive
 AROUND = 256  # characters of code before it that prime the compressor as well
-NOVEL = 0.77  # compressed bytes added per character from which a string is incompressible: identifiers add 0.5 to 0.75, random keys 0.78 and more
+NOVEL = 0.77  # compressed bytes added per character from which a string that is built like a name is incompressible
+DRAWS = 6  # random strings of its own alphabet that any other candidate is compared with, in its place
+SHARE = 0.9  # part of what one of them adds that is enough
 
 
 class Novelty:
@@ -68,6 +72,30 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
+def like_a_name(word: str) -> bool:
+    """Letters in long runs, as in words, rather than mixed with digits and capitals."""
+    plain = re.sub(r"[^A-Za-z0-9]", "", word)
+    both = re.search("[a-z]", plain) and re.search("[A-Z]", plain)
+    return len(re.findall(r"[a-z]+|[A-Z]+|[0-9]+", plain)) * (2.4 if both else 5) < len(plain)
+
+
+def drawn(word: str, dice: random.Random) -> str:
+    """A random string built like the word: a digit for a digit, a letter for a letter (a to f, if it has no other), the rest kept."""
+    low = "abcdef" if not re.search("[G-Zg-z]", word) else string.ascii_lowercase
+    kinds = [(set(s), s) for s in (string.digits, low, low.upper())]
+    return "".join(next((dice.choice(s) for held, s in kinds if c in held), c) for c in word)
+
+
+def is_novel(before: str, word: str, novelty: Novelty, threshold: float = NOVEL) -> bool:
+    """Whether the word adds about as much as a random string of its alphabet does in the same place, be that hex or base64 and the text
+    around it code or prose. Names share long runs of letters with neither, so for them the bytes a character count."""
+    added = novelty.added(before, word)
+    if like_a_name(word):
+        return added >= threshold * len(word)
+    dice = random.Random(word)
+    return any(added >= SHARE * novelty.added(before, drawn(word, dice)) for _ in range(DRAWS))
+
+
 def novel_spans(text: str, known: list[tuple[int, int, str]], novelty: Novelty, threshold: float = NOVEL) -> list[tuple[int, int, str]]:
     """Candidates near a sensitive word, outside the known spans, that hold digits and letters and do not compress."""
     out = []
@@ -78,7 +106,7 @@ def novel_spans(text: str, known: list[tuple[int, int, str]], novelty: Novelty,
             continue
         if not CONTEXT.search(text, max(0, start - BEFORE), start) or any(a < end and start < b for a, b, _ in known):
             continue
-        if novelty.added(text[max(0, start - AROUND): start], word) >= threshold * len(word):
+        if is_novel(text[max(0, start - AROUND): start], word, novelty, threshold):
             out.append((start, end, "novel"))
     return out
 
