@@ -43,7 +43,8 @@ IDENTIFIERS = (
 )
 
 CONTEXT = re.compile(r"secret|token|passw|passphrase|api_?key|access|auth|bearer|credential|private|signature|cookie|akia|key", re.A | re.I)
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=~-]{16,512}", re.A)
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=~-]{16,}", re.A)
+PIECE = 512  # characters of a long candidate that are compressed at once
 BEFORE = 48  # characters before a candidate in which a word of CONTEXT makes it sensitive
 AROUND = 256  # characters of code before it that prime the compressor as well
 NOVEL = 0.77  # compressed bytes added per character from which a string that is built like a name is incompressible
@@ -63,6 +64,12 @@ class Novelty:
         before = self.packer.compress(code.encode(errors="replace"))
         return len(self.packer.compress((code + candidate).encode(errors="replace"))) - len(before)
 
+    def total(self, code: str, candidate: str) -> int:
+        """``added`` over pieces of near equal length, each after what stands before it."""
+        text, n = code + candidate, -(-len(candidate) // PIECE)
+        cuts = [len(code) + len(candidate) * k // n for k in range(n + 1)]
+        return sum(self.added(text[max(0, a - AROUND): a], text[a:b]) for a, b in zip(cuts, cuts[1:]))
+
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of what the fixed patterns find, each kind from the left without overlap."""
@@ -89,22 +96,28 @@ def drawn(word: str, dice: random.Random) -> str:
 def is_novel(before: str, word: str, novelty: Novelty, threshold: float = NOVEL) -> bool:
     """Whether the word adds about as much as a random string of its alphabet does in the same place, be that hex or base64 and the text
     around it code or prose. Names share long runs of letters with neither, so for them the bytes a character count."""
-    added = novelty.added(before, word)
+    added = novelty.total(before, word)
     if like_a_name(word):
         return added >= threshold * len(word)
     dice = random.Random(word)
-    return any(added >= SHARE * novelty.added(before, drawn(word, dice)) for _ in range(DRAWS))
+    return any(added >= SHARE * novelty.total(before, drawn(word, dice)) for _ in range(DRAWS))
 
 
 def novel_spans(text: str, known: list[tuple[int, int, str]], novelty: Novelty, threshold: float = NOVEL) -> list[tuple[int, int, str]]:
-    """Candidates near a sensitive word, outside the known spans, that hold digits and letters and do not compress."""
+    """Candidates near a sensitive word that hold digits and letters and do not compress: whole runs, however long, that the known
+    spans don't cover. What stands before the value of an assignment in its run is the name, and counts as covered."""
     out = []
     for m in CANDIDATE.finditer(text):
         start, end = m.span()
         word = m.group()
         if not (re.search(r"\d", word) and re.search(r"[A-Za-z]", word)):
             continue
-        if not CONTEXT.search(text, max(0, start - BEFORE), start) or any(a < end and start < b for a, b, _ in known):
+        if not CONTEXT.search(text, max(0, start - BEFORE), start):
+            continue
+        upto = start
+        for a, b in sorted((start if kind == "assign" else a, b) for a, b, kind in known if a < end and start < b):
+            upto = max(upto, b) if a <= upto else upto
+        if upto >= end:
             continue
         if is_novel(text[max(0, start - AROUND): start], word, novelty, threshold):
             out.append((start, end, "novel"))

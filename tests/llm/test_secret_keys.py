@@ -52,3 +52,19 @@ def test_random_keys_are_found(context):
 def test_names_are_not_found():
     for name in ("get_connection_timeout_default_value1", "session-timeout-default-value-30", "authorizationpointerconfiguration2", "0000000000000000000000000000000A"):
         assert found(f"{CONTEXTS['code']}{name} ;") == [], name
+
+
+@pytest.mark.parametrize("n", [512, 520, 600, 1200, 5000])
+def test_long_keys_are_found_whole(n):
+    key = "".join(random.Random(n).choices(string.ascii_letters + string.digits + "+/", k=n))
+    assert found(f"{CONTEXTS['code']}{key} ;") == [(len(CONTEXTS["code"]), len(CONTEXTS["code"]) + n, "novel")]
+    assert found(f"{CONTEXTS['code']}{'value1' * (n // 6)} ;") == []
+    assert found(f"the picture {key} ;") == []
+
+
+def test_keys_that_a_pattern_covers_in_part():
+    key = "Zq7Rw2LxV9pT" + "0f3a9c1e5b7d2846af01c9e3" + "Kd4WnY8sMh6G"
+    text = f"the private {key} ;"
+    assert secrets.base_spans(text) == [(24, 48, "hex")] and found(text) == [(12, 12 + len(key), "novel")]
+    for covered in (f"the private {key[12:36]} ;", f"the private my_token={key[:12]}{key[36:]} ;"):
+        assert secrets.base_spans(covered) and found(covered) == []
