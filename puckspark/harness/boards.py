@@ -162,7 +162,7 @@ def best_goal_seasons(t):
 @served("hottest_players", f"""SELECT full_name, team_abbrev, points_last_10, goals_last_10, xg_last_10, finishing_last_10, form_delta FROM {FINAL_FORM}
   ORDER BY points_last_10 DESC, player_id LIMIT 10""")
 def hottest_players(t):
-    return serving.hottest_players(league(t))
+    return serving.hottest_players(league(t), CURRENT)
 
 
 @served("team_xg_leaders", "SELECT team_abbrev, xg_share, xg_for, goals_for_model, goals_above_expected_for FROM mart_team_xg_season ORDER BY xg_share DESC, team_season_key LIMIT 10")

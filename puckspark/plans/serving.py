@@ -190,8 +190,8 @@ def best_goal_seasons(t: Tables, n: int = 10) -> DataFrame:
     )
 
 
-def hottest_players(t: Tables, n: int = 10) -> DataFrame:
-    return _final_form(t).orderBy(F.col("points_last_10").desc_nulls_last(), "player_id").limit(n).select(
+def hottest_players(t: Tables, season: int = CURRENT_SEASON, n: int = 10) -> DataFrame:
+    return _final_form(t, season).orderBy(F.col("points_last_10").desc_nulls_last(), "player_id").limit(n).select(
         "full_name", "team_abbrev", "points_last_10", "goals_last_10", "xg_last_10", "finishing_last_10", "form_delta"
     )
 
