@@ -9,9 +9,10 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from puckspark.llm import decontaminate, exact, language_model, mixing, near, secrets, sharding, token_counts, token_files, toxicity
+from puckspark.llm import decontaminate, exact, language_model, mixing, near, periodic, prefix_trie, secrets, sharding, simhash, token_counts, token_files, toxicity
 from puckspark.llm.ship import with_code
-from puckspark.session import shared_dir
+from puckspark.operators.skew import join_by_key
+from puckspark.session import pin, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -149,3 +150,80 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
         F.col("id").alias("doc_id"), (_remainder(F.col("id"), 4) == 2).alias("held_out"), "score",
         (F.col("score") >= 0.3).cast("int").alias("predicted"), F.size("passages").alias("n_passages"),
     )
+
+
+@_query("op11_simhash_trie")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    got = simhash.simhash_groups(_read(spark, folder, "documents"))
+    return got.select(F.col("id").alias("doc_id"), simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def _with_repetitions(docs: DataFrame) -> DataFrame:
+    """A tenth of the documents with its end replaced by repetitions, as the contract of op12 has it; others word by word as they are."""
+    words, h = F.col("words"), F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    n, g = F.size("words").cast("long"), F.floor(F.col("h") / 10)
+    a = F.when(n > 0, g % F.greatest(n, F.lit(1)))
+    p = 1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8))
+    at = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")
+    own = docs.select("doc_id", "text", h.alias("h")).withColumn("g", g)
+    picked = own.withColumn("words", F.when(F.col("h") % 10 == 0, F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).otherwise(F.array().cast("array<string>")))
+    picked = picked.withColumn("a", a).withColumn("p", p)
+    again = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get(words, at(i))), " ")
+    return picked.select("doc_id", F.when(n > 0, again).otherwise(F.col("text")).alias("text"))
+
+
+@_query("op12_periodic_runs")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic.periodic_runs(_with_repetitions(_read(spark, folder, "documents"))).withColumn("best", periodic.longest_run())
+    said = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string"))), "\n")
+    whole = F.when(F.size("runs") > 0, F.concat(said, F.lit("\n"))).otherwise(F.lit(""))
+    best = F.col("best")
+    return found.select(
+        F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"),
+        F.floor(1000 * best["length"] / best["period"]).cast("long").alias("exponent_milli"),
+        F.sha2(whole.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def _with_shared_openings(turns: DataFrame) -> DataFrame:
+    """Paths of all conversations, each begun with turns of the first of its hundred, as the contract of op13 has it."""
+    own = pin(prefix_trie.ordered_turns(turns))
+    lengths = own.groupBy("conv").agg(F.max("depth").alias("turns"))
+    h = F.crc32(F.col("conv").cast("string").cast("binary")) % 6
+    convs = pin(lengths.select("conv", "turns", h.alias("h"), (F.col("conv") - F.col("conv") % 100).alias("start")))
+    starts = convs.join(lengths.select(F.col("conv").alias("start"), F.col("turns").alias("there")), "start", "left")
+    starts = pin(starts.withColumn("taken", F.least("h", F.coalesce("there", F.lit(0)))).select("conv", "turns", "h", "start", "taken"))
+    opening = own.where("depth <= 5").select(F.col("conv").alias("start"), "depth", "key", "size")
+    lent = starts.where("taken > 0").select("conv", "start", "taken").join(opening, "start").where("depth <= taken").select("conv", "depth", "key", "size")
+    rest = join_by_key(own, starts.select("conv", "h", "taken"), ["conv"], "inner").where("depth > h").select("conv", (F.col("depth") - F.col("h") + F.col("taken")).alias("depth"), "key", "size")
+    bare = starts.where("taken = 0 and turns <= h").select("conv", F.lit(0).cast("long").alias("depth"), F.lit(None).cast("binary").alias("key"), F.lit(None).cast("long").alias("size"))
+    return pin(lent.unionByName(rest).unionByName(bare))
+
+
+_OP13_SQL = """
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''),
+        sha256(concat(length(coalesce(role, '')), ':', coalesce(role, ''), ':', coalesce(text, '')))) AS d FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 100 AS first, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, length(CAST(conv_id AS VARCHAR)) + 1),
+        lambda i: CAST(ascii(CAST(conv_id AS VARCHAR)[i]) AS BIGINT))), lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]),
+        lambda x, z: xor(x >> 1, (x & 1) * 3988292384)))) % 6 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (SELECT c.conv_id, 0 AS part, t.d, t.role, t.text FROM c JOIN t ON t.conv_id = c.first AND t.d <= c.h
+      UNION ALL SELECT c.conv_id, 1, t.d, t.role, t.text FROM c JOIN t USING (conv_id) WHERE t.d > c.h),
+l AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY part, d) AS path FROM r GROUP BY 1),
+w AS (SELECT c.conv_id, coalesce(path, []) AS path FROM c LEFT JOIN l USING (conv_id)),
+p AS (SELECT conv_id, unnest(range(0, len(path) + 1)) AS depth, path FROM w),
+m AS (SELECT conv_id, depth, path[1:depth] AS node, len(path) = depth AS over FROM p),
+n AS (SELECT node, depth, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (over), '')) AS ends_sha256 FROM m GROUP BY 1, 2),
+k AS (SELECT node[1:depth - 1] AS node, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+v AS (SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * length(node[depth].text) END AS worth FROM n LEFT JOIN k USING (node)),
+u AS (SELECT node[1:up] AS node, worth, n_children FROM (SELECT node, worth, n_children, unnest(range(0, depth + 1)) AS up FROM v)),
+s AS (SELECT node, sum(worth) AS saved, count(*) FILTER (n_children = 0) AS n_leaves FROM u GROUP BY 1)
+SELECT v.conv_id, CAST(v.depth AS BIGINT) AS depth, b.conv_id AS parent_conv_id, v.n_convs, v.n_children, s.n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, v.ends_sha256
+FROM v JOIN s USING (node) LEFT JOIN n b ON v.depth > 0 AND b.node = v.node[1:v.depth - 1]
+"""
+
+
+@_query("op13_prefix_trie", _OP13_SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    got = prefix_trie.prefix_trie(_with_shared_openings(_read(spark, folder, "conversations")))
+    return got.select(
+        F.col("conv").alias("conv_id"), "depth", F.col("parent").alias("parent_conv_id"), "n_convs", "n_children", "n_leaves", F.col("saved").alias("saved_tokens"), "ends_sha256")
