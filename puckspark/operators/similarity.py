@@ -1,4 +1,9 @@
-"""Weighted nearest neighbours by cosine inside pools of any size."""
+"""Weighted nearest neighbours by cosine inside pools of any size.
+
+Equal vectors are compared once. Large pools are cut into blocks around sampled centres; a block is summed up by its centre and
+angular radius. Every block is compared with itself first, which gives each vector a score that the rest must reach.
+Of the other pairs of blocks, each looked at once, only those whose summaries allow such a score are compared.
+"""
 
 from __future__ import annotations
 
@@ -12,11 +17,14 @@ from pyspark.sql import types as T
 
 from puckspark.operators.ordered import top_k_per
 from puckspark.operators.sizing import lookup, null_safe_join
+from puckspark.operators.skew import join_by_key
 from puckspark.session import pin
 
-BLOCK_ROWS = 4096, 16384  # smallest and largest block; pools over 64 small blocks get larger ones
-CHUNK_ROWS = 512  # rows of one block scored at a time
+BLOCK_ROWS = 4096  # vectors of a block; more when all pools together would get over MAX_BLOCKS blocks
+MAX_BLOCKS = 16384  # so many centres at most come to the driver and go to every task
+CHUNK_ROWS = 512  # vectors of one block scored at a time
 TIE_DIGITS = 12  # scores equal to this many digits are ordered by id
+SLACK = 1e-9  # by which a bound may be off through rounding
 
 
 def zscore(df: DataFrame, part: Sequence[str], features: Sequence[str], out: str = "vec") -> DataFrame:
@@ -79,64 +87,221 @@ def _leading(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return row[place < k], col[place < k]
 
 
-def _best_between(k: int, pool_cols: list[str]):
-    """Best k of the right block for every row of the left block."""
-
-    def best(_key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        ids_l, ids_r = left["id"].to_numpy(), right["id"].to_numpy()
-        order = np.argsort(ids_r, kind="stable")  # columns in id order, so ties go to the lower id
-        ids_r = ids_r[order]
-        out_l, out_r, out_s = [], [], []
-        if len(ids_l) and len(ids_r):
-            matrix_r = np.stack(right["vec"].to_numpy())[order]
-            matrix_l = np.stack(left["vec"].to_numpy())
-            for start in range(0, len(ids_l), CHUNK_ROWS):
-                chunk_ids = ids_l[start:start + CHUNK_ROWS]
-                score = np.round(matrix_l[start:start + CHUNK_ROWS] @ matrix_r.T, TIE_DIGITS)
-                score[chunk_ids[:, None] == ids_r[None, :]] = -np.inf
-                row, col = _leading(score, k)
-                out_l.append(chunk_ids[row])
-                out_r.append(ids_r[col])
-                out_s.append(score[row, col])
-        cat = lambda parts, like: np.concatenate(parts) if parts else np.empty(0, like.dtype)
-        frame = pd.DataFrame({
-            "id": cat(out_l, ids_l), "comp": cat(out_r, ids_r), "score": cat(out_s, np.empty(0)),
-        })
-        source = left if len(left) else right
-        for c in pool_cols:
-            frame[c] = source[c].iloc[0]
-        return frame
+def _best(seek_ids: np.ndarray, seek: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(position of the seeker, id found, score): the k best vectors for every seeker, equal scores by lower id."""
+    order = np.argsort(ids, kind="stable")  # columns in id order, so ties go to the lower id
+    ids, vectors = ids[order], vectors[order]
+    rows, found, scores = [np.zeros(0, np.int64)], [ids[:0]], [np.zeros(0)]
+    for a in range(0, len(seek_ids) if len(ids) else 0, CHUNK_ROWS):
+        score = np.round(seek[a: a + CHUNK_ROWS] @ vectors.T, TIE_DIGITS)
+        row, col = _leading(score, k)
+        rows.append(row + a)
+        found.append(ids[col])
+        scores.append(score[row, col])
+    return np.concatenate(rows), np.concatenate(found), np.concatenate(scores)
+
+
+def _matrix(vectors: pd.Series) -> np.ndarray:
+    return np.stack(vectors.to_numpy()) if len(vectors) else np.zeros((0, 0))
+
+
+class Summaries:
+    """Centre and radius of every block of the large pools, by (pool, block); one row per block, ``MAX_BLOCKS`` and a few at most."""
+
+    def __init__(self, centres: dict[int, np.ndarray], rows: list[tuple]):
+        self.centres = centres
+        self.rows = {(no, block): (cell, radius, least) for no, block, cell, radius, least in rows}
+        self.of_pool: dict[int, list[int]] = {}
+        for no, block in sorted(self.rows):
+            self.of_pool.setdefault(no, []).append(block)
+
+    def reach(self, no: int, block: int, vectors: np.ndarray, spread: float = 0.0) -> np.ndarray:
+        """An upper bound of the cosine between each vector, or any within an angle of ``spread`` around it, and the block's members."""
+        cell, radius, _ = self.rows[no, block]
+        if cell < 0:  # the zero vector, whose cosine is 0
+            return np.zeros(len(vectors))
+        if no not in self.centres:
+            return np.ones(len(vectors))
+        angle = np.arccos(np.clip(vectors @ self.centres[no][cell], -1, 1))
+        bound = np.cos(np.clip(angle - radius - spread, 0, np.pi))
+        return np.where(np.abs(vectors).any(axis=1), bound, 0.0)
+
+    def partners(self, no: int, block: int) -> list[int]:
+        """Later blocks of the pool that may hold one of the best for a member of this block, or the other way round."""
+        cell, radius, least = self.rows[no, block]
+        later = [b for b in self.of_pool[no] if b > block]
+        if cell < 0 or no not in self.centres:
+            bound = 0.0 if cell < 0 and no in self.centres else 1.0
+            return [b for b in later if bound >= min(least, self.rows[no, b][2]) - SLACK]
+        cells, radii, leasts = (np.array([self.rows[no, b][i] for b in later]) for i in range(3))
+        if not later:
+            return []
+        angle = np.arccos(np.clip(self.centres[no][cells.astype(np.int64)] @ self.centres[no][cell], -1, 1))
+        bound = np.where(cells < 0, 0.0, np.cos(np.clip(angle - radii - radius, 0, np.pi)))
+        return [later[i] for i in np.flatnonzero(bound >= np.minimum(leasts, least) - SLACK)]
+
+
+def _placed(centres: dict[int, np.ndarray]):
+    """Column function (pool, vector) -> (nearest centre, angle to it); -1 for the zero vector."""
+
+    @F.pandas_udf("cell int, angle double")
+    def place(no: pd.Series, vec: pd.Series) -> pd.DataFrame:
+        cell, angle = np.zeros(len(no), np.int32), np.full(len(no), np.pi)
+        numbers = no.to_numpy()
+        for pool in np.unique(numbers):
+            at = np.flatnonzero(numbers == pool)
+            for a in range(0, len(at), CHUNK_ROWS):
+                rows = at[a: a + CHUNK_ROWS]
+                vectors = _matrix(vec.iloc[rows])
+                zero = ~vectors.any(axis=1)
+                if pool in centres:
+                    score = vectors @ centres[pool].T
+                    cell[rows] = score.argmax(axis=1)
+                    angle[rows] = np.arccos(np.clip(score.max(axis=1), -1, 1))
+                cell[rows[zero]], angle[rows[zero]] = -1, 0.0
+        return pd.DataFrame({"cell": cell, "angle": angle})
+
+    return place
+
+
+def _cut(rows: DataFrame, block_rows: int) -> tuple[DataFrame, dict[int, np.ndarray]]:
+    """Adds ``block``, ``cell`` and ``angle`` to rows (no, id, vec, seek); and the centres of the pools with more than one block."""
+    n = F.count(F.lit(1))
+    sizes = pin(rows.groupBy("no").agg(n.alias("n")))
+    total = sizes.where(F.col("n") > block_rows).agg(F.sum("n")).first()[0] or 0
+    limit = max(block_rows, -(-total // MAX_BLOCKS))
+    large = sizes.where(F.col("n") > limit)  # fewer than MAX_BLOCKS pools
+    chance = (F.shiftrightunsigned(F.xxhash64("id", F.lit(11)), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
+    sampled = rows.join(F.broadcast(large), "no").where(chance * F.col("n") < F.ceil(F.col("n") / limit)).where(F.exists("vec", lambda x: x != 0))
+    lists: dict[int, list] = {}
+    for r in sampled.select("no", "id", "vec").distinct().orderBy("no", "id").collect():  # as many as there will be blocks
+        lists.setdefault(r["no"], []).append(r["vec"])
+    centres = {no: np.array(v) for no, v in lists.items()}
+    if total == 0 or large.isEmpty():
+        return rows.withColumns({"block": F.lit(0).cast("long"), "cell": F.lit(0), "angle": F.lit(float(np.pi))}), {}
+    marked = rows.join(F.broadcast(large.select("no", F.lit(True).alias("many"))), "no", "left")
+    placed = marked.where("many").withColumn("at", _placed(centres)("no", "vec")).select("no", "id", "vec", "seek", "at.cell", "at.angle")
+    placed = pin(placed)
+    # a cell with too many vectors is cut by a hash of the id; the parts share its centre
+    full = placed.groupBy("no", "cell").agg(F.ceil(n / limit).alias("parts")).where("parts > 2")
+    placed = placed.join(lookup(full), ["no", "cell"], "left")
+    part = F.pmod(F.xxhash64("id", F.lit(13)), F.coalesce("parts", F.lit(1)))
+    placed = placed.withColumn("block", (F.col("cell") + 2).cast("long") * (1 << 24) + part)
+    few = marked.where("many is null").select("no", "id", "vec", "seek", F.lit(0).alias("cell"), F.lit(float(np.pi)).alias("angle"), F.lit(0).cast("long").alias("block"))
+    return placed.select(*few.columns).unionByName(few), centres
+
+
+def _compared_blocks(rows: DataFrame, k: int, block_rows: int) -> tuple[DataFrame, DataFrame | None, object]:
+    """What is compared: all rows with their best in their own block; (no, i, j) of the further pairs of blocks; their summaries."""
+    cut, centres = _cut(rows, block_rows)
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def own(frame: pd.DataFrame) -> pd.DataFrame:
+        ids, vectors, seek = frame["id"].to_numpy(), _matrix(frame["vec"]), frame["seek"].to_numpy(bool)
+        row, comp, score = _best(ids[seek], vectors[seek], ids, vectors, k)
+        cuts = np.searchsorted(row, np.arange(1, seek.sum()))
+        comps, scores = np.full(len(frame), None, object), np.full(len(frame), None, object)
+        least = np.full(len(frame), np.nan)
+        places = np.flatnonzero(seek)
+        for at, c, s in zip(places, np.split(comp, cuts), np.split(score, cuts)):
+            comps[at], scores[at] = c, s
+            least[at] = s[-1] if len(s) == k else -2.0  # any score will do
+        return frame.assign(comps=comps, scores=scores, least=pd.Series(least, frame.index))
+
+    schema = f"no long, id {kind}, vec array<double>, seek boolean, cell int, angle double, block long, comps array<{kind}>, scores array<double>, least double"
+    done = cut.select("no", "id", "vec", "seek", "cell", "angle", "block").groupBy("no", "block").applyInPandas(own, schema)
+    done = pin(done)
+    if not centres and done.where("block > 0").isEmpty():
+        return done, None, None
+    sums = pin(done.where("block > 0").groupBy("no", "block").agg(
+        F.first("cell").alias("cell"), F.max("angle").alias("radius"), F.coalesce(F.min(F.when(F.col("seek"), F.col("least"))), F.lit(2.0)).alias("least")))
+    summaries = Summaries(centres, [tuple(r) for r in sums.select("no", "block", "cell", "radius", "least").collect()])
+    sent = rows.sparkSession.sparkContext.broadcast(summaries)
+
+    def find(frames):
+        for frame in frames:
+            for no, block in zip(frame["no"], frame["block"]):
+                yield pd.DataFrame({"no": no, "i": block, "j": sent.value.partners(no, block)}).astype("int64")
+
+    return done, pin(sums.repartition("no", "block").mapInPandas(find, "no long, i long, j long")), sent
+
+
+def _between(k: int, sent):
+    """Best of each block for the seekers of the other that may find one there."""
+
+    def best(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        no, i, j = (int(x) for x in key)
+        out = []
+        for seekers, there, block in ((left, right, j), (right, left, i)):
+            seekers = seekers[seekers["seek"].to_numpy(bool)]
+            if not len(seekers) or not len(there):
+                continue
+            vectors = _matrix(seekers["vec"])
+            may = sent.value.reach(no, block, vectors) >= seekers["least"].to_numpy() - SLACK
+            ids, vectors = seekers["id"].to_numpy()[may], vectors[may]
+            row, comp, score = _best(ids, vectors, there["id"].to_numpy(), _matrix(there["vec"]), k)
+            out.append(pd.DataFrame({"no": no, "id": ids[row], "comp": comp, "score": score}))
+        return pd.concat(out) if out else pd.DataFrame({"no": [], "id": [], "comp": [], "score": []})
 
     return best
 
 
+def _searched(rows: DataFrame, k: int, block_rows: int) -> DataFrame:
+    """(no, id, best): the k best (score, comp) of the pool for every seeker, as an array in order."""
+    done, pairs, sent = _compared_blocks(rows, k, block_rows)
+    kind = rows.schema["id"].dataType
+    found = done.where("seek").select("no", "id", F.inline(F.arrays_zip("comps", "scores"))).toDF("no", "id", "comp", "score")
+    if pairs is not None:
+        keep = ["no", "id", "vec", "seek", "least", "block"]
+        few = lookup(pairs, materialise=False)
+        left = done.select(*keep).withColumnRenamed("block", "i").join(few, ["no", "i"])
+        renewed = done.select(*[F.col(c).alias(c) for c in keep])  # both sides stem from one frame
+        right = renewed.withColumnRenamed("block", "j").join(few.select(*[F.col(c).alias(c) for c in ("no", "i", "j")]), ["no", "j"])
+        task = ["no", "i", "j"]
+        schema = T.StructType([T.StructField("no", T.LongType()), T.StructField("id", kind), T.StructField("comp", kind), T.StructField("score", T.DoubleType())])
+        found = found.unionByName(left.groupBy(*task).cogroup(right.groupBy(*task)).applyInPandas(_between(k, sent), schema))
+    ranked = top_k_per(found, ["no", "id"], [F.desc("score"), "comp"], k)
+    return ranked.groupBy("no", "id").agg(F.array_sort(F.collect_list(F.struct("rank", "comp", "score"))).alias("best"))
+
+
+def _numbered(df: DataFrame, pool: list[str], key: str, vec: str, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(no, id, vec) of all rows, with a number for each pool; the pools and their numbers; and what is compared: of equal vectors
+    the k + 1 lowest ids, of which the first seeks for all."""
+    rows = pin(df.select(*pool, F.col(key).alias("id"), unit(vec).alias("vec")))
+    pools = pin(rows.select(*pool).distinct().withColumn("no", F.monotonically_increasing_id()))
+    rows = pin(null_safe_join(rows, lookup(pools, materialise=False), pool).select("no", "id", "vec"))
+    first = top_k_per(rows, ["no", "vec"], ["id"], k + 1, "at")
+    return rows, pools, pin(first.select("no", "id", "vec", (F.col("at") == 1).alias("seek")))
+
+
+def comparison_load(df: DataFrame, pool: Sequence[str], key: str, vec: str, k: int, block_rows: int = BLOCK_ROWS) -> dict[str, int]:
+    """What ``top_comps`` compares: vectors, blocks, pairs of different blocks compared, and rows sent to those pairs."""
+    _, _, distinct = _numbered(df, list(pool), key, vec, k)
+    done, pairs, _ = _compared_blocks(distinct, k + 1, block_rows)
+    sizes = done.groupBy("no", "block").agg(F.count(F.lit(1)).alias("n"))
+    out = {"vectors": distinct.count(), "blocks": sizes.count(), "pairs": 0, "rows_sent": 0}
+    if pairs is not None:
+        sent = pairs.select("no", F.explode(F.array("i", "j")).alias("block")).join(sizes, ["no", "block"])
+        out |= {"pairs": pairs.count(), "rows_sent": sent.agg(F.sum("n")).first()[0] or 0}
+    return out
+
+
 def top_comps(
     df: DataFrame, pool: Sequence[str], key: str, vec: str, k: int, block_rows: int | None = None
 ) -> DataFrame:
-    """(pool, key, comp, score, rank): the k most similar other rows of the same pool.
+    """(pool, key, comp, score, rank): the k most similar other rows of the same pool; ids are unique in a pool.
 
-    Each pool is hashed into blocks of a bounded number of rows. One task compares one
-    pair of blocks as a matrix product and returns k rows per left row, so no task holds
-    more than two blocks and pairs are never emitted. The k best over all blocks follow.
-    Exact; ties go to the lower id. Pools of one row give nothing.
+    Exact; ties go to the lower id. Pools of one row give nothing. A task holds two blocks of a bounded number of vectors and returns
+    at most k + 1 rows per vector; pairs are never emitted, and a group of equal vectors, however large, takes part as k + 1 rows.
+    On clustered data the rows sent grow about as the pool does (``comparison_load``); where all directions are alike nothing can
+    be left out, and half the square of the blocks is compared.
     """
-    low, high = (block_rows, block_rows) if block_rows else BLOCK_ROWS
-    pool, n = list(pool), F.count("*")
-    per_block = F.least(F.lit(high), F.greatest(F.lit(low), F.ceil(n / 64)))
-    rows = pin(df.select(*pool, F.col(key).alias("id"), unit(vec).alias("vec")))
-    sizes = rows.groupBy(*pool).agg(F.ceil(n / per_block).cast("int").alias("_blocks"))
-    rows = null_safe_join(rows, lookup(sizes, materialise=False), pool).withColumn(
-        "_own", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int")
-    )
-    others = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
-    left = rows.select(*pool, "id", "vec", F.col("_own").alias("_i"), others.alias("_j"))
-    renewed = [F.col(c).alias(c) for c in (*pool, "id", "vec")]  # both sides stem from one frame
-    right = rows.select(*renewed, others.alias("_i"), F.col("_own").alias("_j"))
-    pair = [*pool, "_i", "_j"]
-    schema = T.StructType([
-        T.StructField("id", df.schema[key].dataType), T.StructField("comp", df.schema[key].dataType),
-        T.StructField("score", T.DoubleType()), *[df.schema[c] for c in pool],
-    ])
-    best = left.groupBy(*pair).cogroup(right.groupBy(*pair)).applyInPandas(_best_between(k, pool), schema)
-    ranked = top_k_per(best, [*pool, "id"], [F.desc("score"), "comp"], k)
-    return ranked.select(*pool, F.col("id").alias(key), "comp", "score", "rank")
+    pool = list(pool)
+    rows, pools, distinct = _numbered(df, pool, key, vec, k)
+    best = _searched(distinct, k + 1, block_rows or BLOCK_ROWS)
+    lists = distinct.where("seek").join(best, ["no", "id"]).select(F.struct("no", "vec").alias("same"), "best")
+    mine = join_by_key(rows.select(F.struct("no", "vec").alias("same"), "no", "id"), pin(lists), ["same"], "inner")
+    others = F.slice(F.filter("best", lambda b: b["comp"] != F.col("id")), 1, k)
+    out = mine.withColumn("others", others).select("no", "id", F.posexplode("others").alias("at", "b"))
+    out = out.join(lookup(pools, materialise=False), "no")
+    return out.select(*pool, F.col("id").alias(key), F.col("b.comp").alias("comp"), F.col("b.score").alias("score"), (F.col("at") + 1).cast("long").alias("rank"))

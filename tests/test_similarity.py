@@ -48,6 +48,48 @@ def test_top_comps_equal_brute_force(spark, block_rows):
         assert np.allclose([m[2] for m in mine], [b[1] for b in best], atol=1e-11)
 
 
+def clusters(spark, n, around=12, seed=2):
+    """n vectors near ``around`` directions, a third of them copies of one."""
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(around, 8))
+    m = centres[rng.integers(0, around, n)] + rng.normal(scale=0.02, size=(n, 8))
+    m[: n // 3] = centres[0]
+    return {i: list(map(float, v)) for i, v in enumerate(m)}
+
+
+def test_blocks_that_cannot_hold_a_better_row_are_left_out(spark):
+    loads, sent = [], []
+    for n in (1200, 2400):
+        data = clusters(spark, n)
+        df = spark.createDataFrame([("p", i, v) for i, v in data.items()], "pool string, id long, vec array<double>").repartition(4)
+        loads.append(sm.comparison_load(df, ["pool"], "id", "vec", 5, block_rows=25))
+        if n == 1200:
+            got = {}
+            for r in sm.top_comps(df, ["pool"], "id", "vec", 5, block_rows=25).collect():
+                got.setdefault(r.id, []).append((r.rank, r.comp))
+            want = brute(data, 5)
+            assert {i: [c for _, c in sorted(v)] for i, v in got.items()} == {i: [c for c, _ in v] for i, v in want.items()}
+    small, large = loads
+    print(small, large)
+    every = [x["blocks"] * (x["blocks"] - 1) // 2 for x in loads]
+    assert all(x["pairs"] < e / 3 for x, e in zip(loads, every))
+    assert small["vectors"] == 800 + 6 and large["vectors"] == 1600 + 6  # of the copies only k + 1 are compared
+    assert large["rows_sent"] < 3.4 * small["rows_sent"]
+
+
+def test_a_bound_holds_for_every_member():
+    rng = np.random.default_rng(1)
+    m = rng.normal(size=(300, 6))
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    centres = {1: m[:4]}
+    cell = (m @ m[:4].T).argmax(axis=1)
+    angle = np.arccos(np.clip((m @ m[:4].T).max(axis=1), -1, 1))
+    blocks = sm.Summaries(centres, [(1, c, c, float(angle[cell == c].max()), -2.0) for c in range(4)])
+    for c in range(4):
+        assert (blocks.reach(1, c, m) >= (m @ m[cell == c].T).max(axis=1) - 1e-12).all()
+        assert blocks.partners(1, c) == list(range(c + 1, 4))
+
+
 def test_leading_positions_with_ties():
     s = np.array([[0.5, 0.9, 0.5, -np.inf, 0.5], [-np.inf, -np.inf, 0.1, 0.2, 0.2]])
     row, col = sm._leading(s, 3)
