@@ -267,16 +267,34 @@ def _searched(rows: DataFrame, k: int, block_rows: int) -> DataFrame:
 def _numbered(df: DataFrame, pool: list[str], key: str, vec: str, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(no, id, vec) of all rows, with a number for each pool; the pools and their numbers; and what is compared: of equal vectors
     the k + 1 lowest ids, of which the first seeks for all."""
-    rows = pin(df.select(*pool, F.col(key).alias("id"), unit(vec).alias("vec")))
+    rows = df.select(*pool, F.col(key).alias("id"), unit(vec).alias("vec"))
     pools = pin(rows.select(*pool).distinct().withColumn("no", F.monotonically_increasing_id()))
     rows = pin(null_safe_join(rows, lookup(pools, materialise=False), pool).select("no", "id", "vec"))
     first = top_k_per(rows, ["no", "vec"], ["id"], k + 1, "at")
     return rows, pools, pin(first.select("no", "id", "vec", (F.col("at") == 1).alias("seek")))
 
 
+def _whole_pools(rows: DataFrame, pool: list[str], k: int) -> DataFrame:
+    """The k best others for rows (pool, id, vec) of which every pool is one block."""
+    def best(frame: pd.DataFrame) -> pd.DataFrame:
+        ids, vectors = frame["id"].to_numpy(), _matrix(frame["vec"])
+        row, comp, score = _best(ids, vectors, ids, vectors, k + 1)
+        other = comp != ids[row]
+        row, comp, score = row[other], comp[other], score[other]
+        rank = np.arange(len(row)) - np.searchsorted(row, row, side="left") + 1
+        out = pd.DataFrame({"id": ids[row], "comp": comp, "score": score, "rank": rank.astype(np.int64)})[rank <= k]
+        return out.assign(**{c: frame[c].iloc[0] for c in pool})
+
+    kind = rows.schema["id"].dataType
+    schema = T.StructType([
+        T.StructField("id", kind), T.StructField("comp", kind), T.StructField("score", T.DoubleType()), T.StructField("rank", T.LongType()),
+        *[rows.schema[c] for c in pool]])
+    return rows.groupBy(*pool).applyInPandas(best, schema)
+
+
 def comparison_load(df: DataFrame, pool: Sequence[str], key: str, vec: str, k: int, block_rows: int = BLOCK_ROWS) -> dict[str, int]:
     """What ``top_comps`` compares: vectors, blocks, pairs of different blocks compared, and rows sent to those pairs."""
-    _, _, distinct = _numbered(df, list(pool), key, vec, k)
+    _, _, distinct = _numbered(pin(df), list(pool), key, vec, k)
     done, pairs, _ = _compared_blocks(distinct, k + 1, block_rows)
     sizes = done.groupBy("no", "block").agg(F.count(F.lit(1)).alias("n"))
     out = {"vectors": distinct.count(), "blocks": sizes.count(), "pairs": 0, "rows_sent": 0}
@@ -296,9 +314,13 @@ def top_comps(
     On clustered data the rows sent grow about as the pool does (``comparison_load``); where all directions are alike nothing can
     be left out, and half the square of the blocks is compared.
     """
-    pool = list(pool)
+    pool, block_rows = list(pool), block_rows or BLOCK_ROWS
+    df = pin(df.select(*pool, key, vec))
+    if df.groupBy(*pool).count().where(F.col("count") > block_rows).isEmpty():
+        whole = _whole_pools(df.select(*pool, F.col(key).alias("id"), unit(vec).alias("vec")), pool, k)
+        return whole.select(*pool, F.col("id").alias(key), "comp", "score", "rank")
     rows, pools, distinct = _numbered(df, pool, key, vec, k)
-    best = _searched(distinct, k + 1, block_rows or BLOCK_ROWS)
+    best = _searched(distinct, k + 1, block_rows)
     lists = distinct.where("seek").join(best, ["no", "id"]).select(F.struct("no", "vec").alias("same"), "best")
     mine = join_by_key(rows.select(F.struct("no", "vec").alias("same"), "no", "id"), pin(lists), ["same"], "inner")
     others = F.slice(F.filter("best", lambda b: b["comp"] != F.col("id")), 1, k)
