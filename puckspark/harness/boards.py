@@ -208,12 +208,13 @@ _ROUND = "SELECT count(*) FROM (SELECT round FROM fct_team_playoff_games WHERE r
 
 
 @served("mart_checks", f"""SELECT 'season length' AS "check", CAST((SELECT count(*) FROM (SELECT team_abbrev FROM fct_team_games GROUP BY 1 HAVING count(*) <> 82)) AS BIGINT) AS failures
-  UNION ALL SELECT 'playoff rounds', CAST(({_ROUND}) AS BIGINT) UNION ALL SELECT 'game keys', 0::BIGINT
+  UNION ALL SELECT 'playoff rounds', CAST(({_ROUND}) AS BIGINT) 
+  UNION ALL SELECT 'game keys', CAST((SELECT count(*) FROM (SELECT game_id, team_abbrev FROM fct_team_games GROUP BY 1, 2 HAVING count(*) > 1)) AS BIGINT)
   UNION ALL SELECT 'save share since tracking', CAST((SELECT count(*) FROM mart_goalie_season WHERE save_pct IS NULL AND season_id >= 19951996) AS BIGINT)""")
 def mart_checks(t):
     g = league(t)
     return dq.summary({
         "season length": dq.group_count(g["fct_team_games"], "team_abbrev", warehouse.SEASON_GAMES),
-        "playoff rounds": dq.accepted(g["fct_team_playoff_games"], "round", [1, 2, 3, 4]),
+        "playoff rounds": dq.ListCheck(g["fct_team_playoff_games"], "round", (1, 2, 3, 4)),
         "game keys": dq.unique(g["fct_team_games"], "game_team_key"),
-        "save share since tracking": dq.not_null(g["mart_goalie_season"], "save_pct", F.col("season_id") >= 19951996)})
+        "save share since tracking": dq.absent(g["mart_goalie_season"], "save_pct", F.col("season_id") >= 19951996)})

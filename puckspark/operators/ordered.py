@@ -198,6 +198,36 @@ def percentile_within(
     return df.drop("_q")
 
 
+HISTOGRAM_BITS = 12
+
+
+def nth_rows(df: DataFrame, part: Sequence[str], value: str, ties: Sequence[str], targets: DataFrame, large_rows: int | None = None) -> DataFrame:
+    """(part, cut): for each group the struct (value, ties) of the row at position ``target`` under that order, from 1.
+
+    ``value`` is a long whose bits are spread evenly, such as a hash; ``targets`` holds (part, target) and is small. Rows are only
+    counted by their leading bits, map-side, and of the group's one bucket that holds the position by the next ones, until
+    a bucket fits a task; only that bucket's rows are ordered. ``df`` is read once a round, so it should be stored.
+    """
+    limit = large_rows or group_rows(df.sparkSession)
+    part, ties = list(part), list(ties)
+    flipped = F.col(value).bitwiseXOR(F.lit(-(1 << 63)).cast("long"))  # unsigned order of the flipped is signed order of the value
+    head = lambda b: F.shiftrightunsigned(flipped, 64 - b) if b else F.lit(0).cast("long")
+    now = pin(targets.where("target > 0").select(*part, F.lit(0).cast("long").alias("_head"), F.col("target").alias("_left")))
+    bits = 0
+    while True:
+        bits += HISTOGRAM_BITS
+        inside = null_safe_join(df.select(*part, head(bits - HISTOGRAM_BITS).alias("_head"), head(bits).alias("_next")), lookup(now, materialise=False), [*part, "_head"])
+        counts = inside.groupBy(*part, "_next", "_left").agg(F.count(F.lit(1)).alias("_n"))  # at most 2^HISTOGRAM_BITS rows a group
+        upto = F.sum("_n").over(Window.partitionBy(*part).orderBy("_next"))
+        found = counts.withColumn("_upto", upto).where("_upto >= _left and _upto - _n < _left")
+        now = pin(found.select(*part, F.col("_next").alias("_head"), (F.col("_left") - F.col("_upto") + F.col("_n")).alias("_left"), "_n"))
+        if bits + HISTOGRAM_BITS > 64 or now.where(F.col("_n") > limit).isEmpty():
+            break
+    rows = null_safe_join(df.select(*part, value, *ties, head(bits).alias("_head")), lookup(now.drop("_n"), materialise=False), [*part, "_head"])
+    place = F.row_number().over(Window.partitionBy(*part).orderBy(value, *ties))
+    return rows.withColumn("_place", place).where("_place = _left").select(*part, F.struct(value, *ties).alias("cut"))
+
+
 def top_k_per(df: DataFrame, part: Sequence[str], order: Order, k: int, rank: str = "rank") -> DataFrame:
     """First k rows of each group. Spark cuts each group to k rows before the shuffle
     (window group limit), so a hot group never travels whole; it does so up to a

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -121,16 +122,88 @@ def check_select(sql: str, marts: str = "nhl_marts", hidden=("nhl_raw", "nhl_stg
     return text
 
 
+# Plan leaves that read no stored table, and leaf expressions that look at nothing but the row, the plan or the clock.
+_PLAIN_LEAVES = {"CTERelationRef", "OneRowRelation", "LocalRelation"}
+_PLAIN_EXPRESSIONS = set("""
+    AttributeReference Literal NamedLambdaVariable CurrentDate CurrentTimestamp Now LocalTimestamp Pi EulerNumber RowNumber CumeDist UnboundedPreceding$ CurrentRow$
+    UnboundedFollowing$ ScalarSubquery ListQuery Exists LateralSubquery GroupingID LateralColumnAliasReference Rank DenseRank PercentRank
+""".split())
+
+
+class PlanFacts:
+    """Relations and context functions of an analysed plan, read off Spark's own description of it in one call; no file is listed.
+
+    ``relations`` holds (database, name) of every view or table that the plan reads, whatever the text calls it, and ("", kind) of every
+    other source: temporary views, files, generated ranges. What lies below a named view is the view's own affair.
+    ``context`` holds the kinds of leaf expressions that look beyond the row, such as the user, with or without brackets.
+    """
+
+    def __init__(self, df: DataFrame):
+        self.relations: set[tuple[str, str]] = set()
+        self.context: set[str] = set()
+        self._plan(json.loads(df._jdf.queryExecution().analyzed().toJSON()), 0)
+
+    def _skip(self, nodes: list, at: int) -> int:
+        left = 1
+        while left:
+            left += nodes[at]["num-children"] - 1
+            at += 1
+        return at
+
+    def _plan(self, nodes: list, at: int) -> int:
+        node, after = nodes[at], at + 1
+        kind = node["class"].rsplit(".", 1)[-1]
+        if kind == "View":
+            name = node["desc"]["identifier"]
+            self.relations.add(("", "a temporary view") if node["isTempView"] else (name.get("database") or "", name["table"]))
+            return self._skip(nodes, at)
+        if kind == "SubqueryAlias" and nodes[after]["class"].endswith("LogicalRelation"):
+            name = node["identifier"]
+            qualifier = name["qualifier"].strip("[]").split(", ") if isinstance(name["qualifier"], str) else name["qualifier"]
+            self.relations.add((qualifier[-1], name["name"]) if qualifier and qualifier[-1] else ("", "a file"))
+            return self._skip(nodes, at)
+        if node["num-children"] == 0 and kind not in _PLAIN_LEAVES:
+            self.relations.add(("", kind))
+        self._fields(node)
+        for _ in range(node["num-children"]):
+            after = self._plan(nodes, after)
+        return after
+
+    def _fields(self, node: dict) -> None:
+        for value in node.values():
+            self._value(value)
+
+    def _value(self, value) -> None:
+        if not isinstance(value, list) or not value:
+            return
+        if not (isinstance(value[0], dict) and "class" in value[0]):
+            for v in value:
+                self._value(v)
+            return
+        if "num-children" in value[0] and re.search(r"\.(logical|datasources)\.", value[0]["class"]):
+            self._plan(value, 0)  # the plan of a subquery
+            return
+        for expression in value:
+            kind = expression["class"].rsplit(".", 1)[-1]
+            if expression.get("num-children") == 0 and kind not in _PLAIN_EXPRESSIONS:
+                self.context.add(kind)
+            self._fields(expression)
+
+
 def run_select(
     spark: SparkSession, sql: str, args: dict | None = None, max_rows: int | None = ROW_LIMIT, marts: str = "nhl_marts"
 ) -> DataFrame:
     """Guarded SELECT with named parameters (``:name``). The text names tables as ``marts.table``; see ``sinks.register``.
 
-    Besides ``check_select``, every file that the query would read must belong to a table of ``marts``. At most ``max_rows``
-    rows are returned; a caller who must know whether there are more asks for one row beyond its page, or for None (all).
+    Besides ``check_select``, every relation of the analysed plan must be a name of ``marts``, and nothing in it may look at its
+    surroundings. At most ``max_rows`` rows are returned; a caller who must know whether there are more asks for one row
+    beyond its page, or for None (all).
     """
     found = spark.sql(check_select(sql, marts), args=args or {})
-    folders = [f.rsplit("/", 1)[0] for t in spark.catalog.listTables(marts) if not t.isTemporary for f in spark.table(f"{marts}.{t.name}").inputFiles()]
-    if not all(f.rsplit("/", 1)[0] in set(folders) for f in found.inputFiles()):
-        _refuse(f"only tables of {marts} can be read")
+    facts = PlanFacts(found)
+    foreign = sorted(f"{database}.{name}".lstrip(".") for database, name in facts.relations if database.lower() != marts.lower())
+    if foreign:
+        _refuse(f"only tables of {marts} can be read, not {', '.join(foreign)}")
+    if facts.context:
+        _refuse(f"function not allowed: {', '.join(sorted(facts.context))}")
     return found if max_rows is None else found.limit(max_rows)

@@ -15,7 +15,7 @@ from puckspark.plans import comps, marts, xg
 from puckspark.plans.staging import build_staging
 from puckspark.sources.raw import read_payloads, read_raw, stamp_loaded
 from puckspark.sources.schemas import RAW
-from puckspark.sources.sinks import publish, register
+from puckspark.sources.sinks import publish, run_path, serve_run
 
 MARTS_LAYER = "nhl_marts"
 
@@ -105,7 +105,7 @@ def _key_checks(t: dict[str, DataFrame], keys: dict[str, str]) -> dict[str, Data
     out = {}
     for name, key in keys.items():
         out[f"{name}.{key} unique"] = dq.unique(t[name], key)
-        out[f"{name}.{key} present"] = dq.not_null(t[name], key)
+        out[f"{name}.{key} present"] = dq.absent(t[name], key)
     return out
 
 
@@ -113,24 +113,24 @@ def base_checks(t: dict[str, DataFrame], team: str | None = None, season_games:
     checks = _key_checks(t, KEYS)
     for key in ("team_id", "tri_code"):
         checks |= {f"dim_teams.{key} unique": dq.unique(t["dim_teams"], key),
-                   f"dim_teams.{key} present": dq.not_null(t["dim_teams"], key)}
-    checks |= {f"{m}.{c} accepted": dq.accepted(t[m], c, v) for m, c, v in ACCEPTED}
-    checks |= {f"{m}.{c} present": dq.not_null(t[m], c) for m, c in PRESENT}
-    checks |= {f"{m}.{c} present where tracked": dq.not_null(t[m], c, F.expr(w)) for m, c, w in PRESENT_SINCE}
+                   f"dim_teams.{key} present": dq.absent(t["dim_teams"], key)}
+    checks |= {f"{m}.{c} accepted": dq.ListCheck(t[m], c, tuple(v)) for m, c, v in ACCEPTED}
+    checks |= {f"{m}.{c} present": dq.absent(t[m], c) for m, c in PRESENT}
+    checks |= {f"{m}.{c} present where tracked": dq.absent(t[m], c, F.expr(w)) for m, c, w in PRESENT_SINCE}
     if season_games:
         checks["every team plays a full season"] = dq.group_count(t["fct_team_games"], "team_abbrev", season_games)
     if team:
         mine = marts.team_slice(t, team)
-        checks |= {f"{team} game_id unique": dq.unique(mine, "game_id"), f"{team} game_id present": dq.not_null(mine, "game_id")}
+        checks |= {f"{team} game_id unique": dq.unique(mine, "game_id"), f"{team} game_id present": dq.absent(mine, "game_id")}
         if season_games:
-            checks[f"{team} plays a full season"] = dq.row_count(mine, season_games)
+            checks[f"{team} plays a full season"] = dq.SizeCheck(mine, season_games)
     return checks
 
 
 def model_checks(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
     regular = t["fct_shots"].filter("game_type = 2")
     checks = _key_checks(t, MODEL_KEYS)
-    checks |= {f"{m}.{c} present": dq.not_null(t[m], c) for m, c in MODEL_PRESENT}
+    checks |= {f"{m}.{c} present": dq.absent(t[m], c) for m, c in MODEL_PRESENT}
     checks["xg calibrated"] = dq.calibration(regular, "xg", F.col("is_goal"), CALIBRATION_TOLERANCE)
     return checks
 
@@ -160,13 +160,14 @@ def build_marts(
     ``agreement`` is the tolerance between games and season reports; ``spot`` names players whose comparisons are published apart.
     """
     tables: dict[str, DataFrame] = {}
-    run_dir = f"{out_dir}/{uuid.uuid4().hex}"
+    run = uuid.uuid4().hex
     previous = previous or season - 10001
     seasonal = {"dim_teams", "mart_player_career", "mart_goalie_career"}
 
     def put(name: str, df: DataFrame):
-        publish(df, f"{run_dir}/{name}")
-        tables[name] = spark.read.parquet(f"{run_dir}/{name}")
+        path = run_path(out_dir, name, df.columns, run)
+        publish(df, path)
+        tables[name] = spark.read.schema(df.schema).parquet(path)
 
     # Staging is stored too: several marts and their size checks read it, and each read
     # of a view would parse the landed JSON again.
@@ -186,7 +187,7 @@ def build_marts(
         put("comps_spot_check", comps.spot_check(tables["mart_player_similarity"], tables["dim_players"].select("player_id", "full_name"), list(spot)))
     dq.gate(model_checks(tables))
     served = [*BASE_MARTS, *MODEL_MARTS, *REPORTS, *(["comps_spot_check"] if spot else [])]
-    register(spark, MARTS_LAYER, {n: f"{run_dir}/{n}" for n in served})
+    serve_run(spark, MARTS_LAYER, out_dir, run, {n: tables[n].columns for n in served}, f"{out_dir}/_names")
     return tables
 
 

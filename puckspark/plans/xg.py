@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from puckspark.functions.scalars import rnd
 from puckspark.operators.flatten import REGULAR, UNBLOCKED_EVENTS
-from puckspark.operators.ordered import running_total
-from puckspark.operators.sizing import lookup
+from puckspark.operators.ordered import nth_rows
+from puckspark.operators.sizing import lookup, null_safe_join
 from puckspark.session import pin
 
 NUMERIC = ["distance_ft", "angle_deg", "is_rebound", "is_rush"]
@@ -59,14 +59,15 @@ def feature_stages(numeric=NUMERIC, categorical=CATEGORICAL) -> list:
 def stratified_split(df: DataFrame, label: str, keys: list[str], frac: float = HOLDOUT, seed: int = SEED) -> DataFrame:
     """Adds ``is_test``: within each label the first ``frac`` of the rows in seeded hash order.
 
-    The order depends only on the keys, so a retried task repeats the same split. A label
-    holds a large part of all rows; the running count is split over tasks when it must be.
+    The order depends only on the keys, so a retried task repeats the same split; null is a label like any other. A label holds
+    a large part of all rows, which are neither sorted nor written again: the last test row of each label is found by counts of
+    leading hash bits (``nth_rows``), and every row is compared with it. ``df`` is read a few times, so it should be stored.
     """
-    sizes = lookup(df.groupBy(label).agg(F.count("*").alias("_n")))
     hashed = df.withColumn("_h", F.xxhash64(F.lit(seed), *keys))
-    counted = running_total(hashed, [label], ["_h", *keys], F.lit(1).cast("long"), "_at")
-    joined = counted.join(sizes, label)
-    return joined.withColumn("is_test", F.col("_at") <= F.round(F.col("_n") * frac)).drop("_h", "_at", "_n")
+    sizes = pin(df.groupBy(label).agg(F.round(F.count(F.lit(1)) * frac).cast("long").alias("target")))
+    cuts = nth_rows(hashed, [label], "_h", keys, sizes)
+    marked = null_safe_join(hashed, lookup(cuts), [label], "left")
+    return marked.withColumn("is_test", F.coalesce(F.struct("_h", *keys) <= F.col("cut"), F.lit(False))).drop("_h", "cut")
 
 
 @dataclass
@@ -131,7 +132,7 @@ def holdout_report(model: XgModel, test: DataFrame, label: str) -> dict[str, flo
 def train_xg(shots: DataFrame, report: bool = True) -> tuple[XgModel, dict[str, float]]:
     """Train on the regular season's eligible shots, holding out a fifth of each outcome."""
     eligible_rows = eligible_shots(shots).filter(F.col("game_type") == REGULAR)
-    split = pin(stratified_split(eligible_rows, "is_goal", ["game_id", "event_id"]))
+    split = pin(stratified_split(pin(eligible_rows), "is_goal", ["game_id", "event_id"]))
     model = fit(split.filter("not is_test"), "is_goal")
     return model, holdout_report(model, split.filter("is_test"), "is_goal") if report else {}
 

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+RUN = "_run"  # partition of a served table that tells its run
+_SERVED = "at long, run string"
+
 
 def _counted(df: DataFrame) -> tuple[DataFrame, Observation]:
     seen = Observation()
@@ -45,9 +50,40 @@ def log_rows(df: DataFrame, question_chars: int | None = None, sql_chars: int |
     )
 
 
-def register(spark: SparkSession, layer: str, paths: dict[str, str]) -> None:
-    """Name published tables ``layer.table`` for SQL; the data stay where they are."""
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS {layer}")
+def _database(spark: SparkSession, layer: str, location: str | None) -> None:
+    where = f" LOCATION '{location}'" if location else ""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {layer}{where}")
+
+
+def register(spark: SparkSession, layer: str, paths: dict[str, str], location: str | None = None) -> None:
+    """Name published tables ``layer.table`` for SQL, as views over their files; the data stay where they are. A name that
+    exists is replaced in one step. ``location`` is the folder of a database made anew (default: the session's)."""
+    _database(spark, layer, location)
     for name, path in paths.items():
-        spark.sql(f"DROP TABLE IF EXISTS {layer}.{name}")
-        spark.sql(f"CREATE TABLE {layer}.{name} USING parquet LOCATION '{path}'")
+        spark.sql(f"CREATE OR REPLACE VIEW {layer}.{name} AS SELECT * FROM parquet.`{path}`")
+
+
+def run_path(folder: str, name: str, columns: Sequence[str], run: str) -> str:
+    """Where a run's table lies: tables of equal columns are parts of one folder, so that one view serves all runs."""
+    shape = hashlib.md5(",".join(columns).encode()).hexdigest()[:8]
+    return f"{folder}/{name}/v{shape}/{RUN}=r{run}"
+
+
+def serve_run(spark: SparkSession, layer: str, folder: str, run: str, tables: dict[str, Sequence[str]], location: str | None = None) -> None:
+    """Let the names ``layer.table`` mean a run's tables ({name: columns}, written to ``run_path``), all from one moment on.
+
+    The views read the run that the last row of ``folder/_served`` names. Appending that row is the only step of the switch:
+    a query sees all tables of one run or of the other, and a failure before it leaves everything as it was. Only a table whose
+    columns changed needs a new view, which is made after the switch; until then its name has no rows.
+    """
+    log = f"{folder}/_served"
+    try:
+        last = spark.read.schema(_SERVED).parquet(log).agg(F.max("at")).first()[0] or 0
+    except AnalysisException:  # nothing was served from this folder so far
+        last = 0
+    spark.createDataFrame([(last + 1, f"r{run}")], _SERVED).coalesce(1).write.mode("append").parquet(log)
+    _database(spark, layer, location)
+    for name, columns in tables.items():
+        listed = ", ".join(f"`{c}`" for c in columns)
+        whole = run_path(folder, name, columns, run).rsplit("/", 1)[0]
+        spark.sql(f"CREATE OR REPLACE VIEW {layer}.{name} AS SELECT {listed} FROM parquet.`{whole}` WHERE {RUN} = (SELECT max_by(run, at) FROM parquet.`{log}`)")

@@ -143,3 +143,16 @@ def test_top_k_beyond_the_group_limit(spark, small_groups):
     finally:
         spark.conf.unset("spark.sql.optimizer.windowGroupLimitThreshold")
     assert rows(got) == rows(od.top_k_per(df, ["k"], ORDER, 30, "r"))
+
+
+@pytest.mark.parametrize("limit", [1_000_000, 30, 1])
+def test_nth_rows_are_those_of_the_sorted_group(spark, limit):
+    rng = random.Random(limit)
+    rows = [(g, rng.choice([rng.getrandbits(64) - (1 << 63), 5, -5, (1 << 62) + rng.randrange(4)]), k) for k in range(900) for g in (rng.choice(["a", "a", "a", "b", None]),)]
+    df = spark.createDataFrame(rows, "g string, v long, k long").repartition(4)
+    groups = {g: sorted((v, k) for h, v, k in rows if h == g) for g in ("a", "b", None)}
+    for share in (0.0, 0.2, 0.55, 1.0):
+        want = {g: round(len(m) * share) for g, m in groups.items()}
+        targets = spark.createDataFrame(list(want.items()), "g string, target long")
+        got = {r.g: (r.cut.v, r.cut.k) for r in od.nth_rows(df, ["g"], "v", ["k"], targets, limit).collect()}
+        assert got == {g: groups[g][n - 1] for g, n in want.items() if n}

@@ -51,3 +51,19 @@ def test_gate(df):
     with pytest.raises(dq.QualityError) as error:
         dq.gate({"rows": dq.row_count(df, 4), "ids": dq.unique(df, "id")})
     assert error.value.failures == {"ids": 1}
+
+
+def test_checks_of_one_table_share_a_scan(spark, df, tmp_path):
+    df.write.parquet(f"{tmp_path}/t")
+    t = spark.read.parquet(f"{tmp_path}/t")
+    checks = {
+        "r": dq.absent(t, "r"), "late": dq.absent(t, "r", F.col("season") >= 2000), "kinds": dq.ListCheck(t, "r", ("W", "L")), "none": dq.ListCheck(t, "id", ()),
+        "rows": dq.SizeCheck(t, 4), "more": dq.SizeCheck(t, 5),
+    }
+    out = dq.summary(checks)
+    assert {r["check"]: r.failures for r in out.collect()} == {"r": 1, "late": 0, "kinds": 1, "none": 2, "rows": 0, "more": 1}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 1
+    both = dq.summary(checks | {"ids": dq.unique(t, "id")})
+    assert {r["check"]: r.failures for r in both.collect()}["ids"] == 1
+    empty = dq.summary({k: type(c)(t.limit(0), *[getattr(c, f) for f in list(c.__dataclass_fields__)[1:]]) for k, c in checks.items()})
+    assert {r["check"]: r.failures for r in empty.collect()} == {"r": 0, "late": 0, "kinds": 0, "none": 0, "rows": 1, "more": 1}

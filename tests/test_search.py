@@ -44,6 +44,29 @@ def test_only_files_of_the_marts_are_read(spark, tmp_path):
     assert read("SELECT id FROM guarded.open WHERE id > :least", args={"least": 0}) == 2
     with pytest.raises(ValueError, match="only tables"):
         read("SELECT c.id FROM closed c, guarded.open o WHERE c.id = o.id")
+    spark.range(5).createOrReplaceTempView("inner_view")
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS elsewhere LOCATION '{tmp_path}/elsewhere'")
+    spark.sql(f"CREATE TABLE IF NOT EXISTS elsewhere.open USING parquet LOCATION '{tmp_path}/closed'")
+    for foreign in (
+        "SELECT i.id FROM inner_view i JOIN guarded.open ON true", "SELECT id FROM guarded.open WHERE id IN (SELECT id FROM elsewhere.open)",
+        "WITH open AS (SELECT id FROM inner_view) SELECT o.id FROM open o, guarded.open g", "SELECT (SELECT max(id) FROM inner_view) AS m FROM guarded.open",
+        "SELECT id FROM guarded.open UNION ALL SELECT id FROM elsewhere.open",
+    ):
+        with pytest.raises(ValueError, match="only tables"):
+            read(foreign)
+    for text in ("SELECT current_user AS u FROM guarded.open", "SELECT user AS u FROM guarded.open", "SELECT id FROM guarded.open WHERE session_user = 'x'",
+                 "SELECT id FROM guarded.open WHERE id IN (SELECT id FROM guarded.open WHERE current_user = 'x')"):
+        with pytest.raises(ValueError, match="not allowed"):
+            read(text)
+    assert read("WITH o AS (SELECT id, rank() OVER (ORDER BY id) AS r FROM guarded.open) SELECT a.id FROM o a JOIN o b ON a.id = b.id WHERE b.r = 1 AND current_date > DATE'2000-01-01'") == 1
+    assert read("SELECT x.id FROM guarded.open x WHERE x.id = (SELECT max(id) FROM guarded.open) AND exists(array(1, 2), e -> e = 1)") == 1
+
+
+def test_a_plan_tells_what_it_reads(spark, tmp_path):
+    spark.range(3).write.parquet(f"{tmp_path}/open")
+    sinks.register(spark, "guarded", {"open": f"{tmp_path}/open"})
+    facts = se.PlanFacts(spark.sql(f"SELECT g.id, current_user() AS u FROM guarded.open g, parquet.`{tmp_path}/open` f WHERE g.id > (SELECT avg(id) FROM guarded.open)"))
+    assert ("guarded", "open") in facts.relations and len(facts.relations) == 2 and facts.context == {"CurrentUser"}
 
 
 @pytest.fixture

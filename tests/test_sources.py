@@ -95,3 +95,28 @@ def test_schedule_paths(spark):
     df = loaded(spark.createDataFrame([(2025030415, 20252026, json.dumps(doc))], "game_id long, season_id long, payload string"), 1)
     r = stage_schedule(df).first()
     assert (r.game_type, str(r.game_date), r.home_abbrev, r.home_score, r.away_score, r.last_period_type, r.venue) == (3, "2025-10-07", "AAA", 3, None, "REG", "Rink")
+
+
+def test_served_names_move_together(spark, tmp_path):
+    folder = str(tmp_path / "out")
+
+    def run(name, shots, teams):
+        for table, rows in (("shots", shots), ("teams", teams)):
+            sinks.publish(rows, sinks.run_path(folder, table, rows.columns, name))
+
+    one, two = spark.range(3), spark.range(5)
+    run("a1", one, one)
+    sinks.serve_run(spark, "moving", folder, "a1", {"shots": ["id"], "teams": ["id"]}, f"{folder}/_names")
+    seen = lambda: tuple(spark.sql("SELECT (SELECT count(*) FROM moving.shots), (SELECT count(*) FROM moving.teams)").first())
+    assert seen() == (3, 3)
+    run("1e5", two, two)  # written, not served; a run's name is never read as a number
+    assert seen() == (3, 3)
+    held = spark.table("moving.shots")
+    sinks.serve_run(spark, "moving", folder, "1e5", {"shots": ["id"], "teams": ["id"]}, f"{folder}/_names")
+    assert seen() == (5, 5) and held.count() in (3, 5)
+    wide = two.withColumn("extra", F.lit(1))
+    run("c", wide, one)
+    sinks.serve_run(spark, "moving", folder, "c", {"shots": ["id", "extra"], "teams": ["id"]}, f"{folder}/_names")
+    assert spark.table("moving.shots").columns == ["id", "extra"] and seen() == (5, 3)
+    pruned = spark.sql("SELECT count(*) FROM moving.teams")
+    assert "PartitionFilters: [isnotnull(_run" in pruned._jdf.queryExecution().executedPlan().toString()
