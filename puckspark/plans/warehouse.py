@@ -13,6 +13,7 @@ from puckspark.operators import quality as dq
 from puckspark.operators.flatten import flatten_boxscores, flatten_shots
 from puckspark.plans import comps, marts, xg
 from puckspark.plans.staging import build_staging
+from puckspark.session import Pins
 from puckspark.sources.raw import read_payloads, read_raw, stamp_loaded
 from puckspark.sources.schemas import RAW
 from puckspark.sources.sinks import publish, run_path, serve_run
@@ -169,25 +170,26 @@ def build_marts(
         publish(df, path)
         tables[name] = spark.read.schema(df.schema).parquet(path)
 
-    # Staging is stored too: several marts and their size checks read it, and each read
-    # of a view would parse the landed JSON again.
-    for name, df in staging.items():
-        put(name, df)
-    for name, build in BASE_MARTS.items():
-        put(name, build(tables, season) if name in seasonal else build(tables))
-    dq.gate(base_checks(tables, team, season_games) | (agreement_checks(tables, agreement) if agreement is not None else {}))
-    model, report = xg.train_xg(tables["stg_shots"])
-    put("fct_shots", xg.score_xg(model, tables["stg_shots"]))
-    put("xg_report", spark.createDataFrame([(model.n_train, *(float(report[k]) for k in ("auc", "predicted", "actual")))], "n_train long, auc double, predicted double, actual double"))
-    put("xg_top_teams", xg.top_teams(tables["fct_shots"]))
-    for name, build in MODEL_MARTS.items():
-        if name != "fct_shots":
-            put(name, build(tables, season, previous) if name == "mart_player_similarity" else build(tables))
-    if spot:
-        put("comps_spot_check", comps.spot_check(tables["mart_player_similarity"], tables["dim_players"].select("player_id", "full_name"), list(spot)))
-    dq.gate(model_checks(tables))
-    served = [*BASE_MARTS, *MODEL_MARTS, *REPORTS, *(["comps_spot_check"] if spot else [])]
-    serve_run(spark, MARTS_LAYER, out_dir, run, {n: tables[n].columns for n in served}, f"{out_dir}/_names")
+    with Pins(spark):  # what the marts stored on the way goes once they are published, or once a check has failed
+        # Staging is stored too: several marts and their size checks read it, and each read
+        # of a view would parse the landed JSON again.
+        for name, df in staging.items():
+            put(name, df)
+        for name, build in BASE_MARTS.items():
+            put(name, build(tables, season) if name in seasonal else build(tables))
+        dq.gate(base_checks(tables, team, season_games) | (agreement_checks(tables, agreement) if agreement is not None else {}))
+        model, report = xg.train_xg(tables["stg_shots"])
+        put("fct_shots", xg.score_xg(model, tables["stg_shots"]))
+        put("xg_report", spark.createDataFrame([(model.n_train, *(float(report[k]) for k in ("auc", "predicted", "actual")))], "n_train long, auc double, predicted double, actual double"))
+        put("xg_top_teams", xg.top_teams(tables["fct_shots"]))
+        for name, build in MODEL_MARTS.items():
+            if name != "fct_shots":
+                put(name, build(tables, season, previous) if name == "mart_player_similarity" else build(tables))
+        if spot:
+            put("comps_spot_check", comps.spot_check(tables["mart_player_similarity"], tables["dim_players"].select("player_id", "full_name"), list(spot)))
+        dq.gate(model_checks(tables))
+        served = [*BASE_MARTS, *MODEL_MARTS, *REPORTS, *(["comps_spot_check"] if spot else [])]
+        serve_run(spark, MARTS_LAYER, out_dir, run, {n: tables[n].columns for n in served}, f"{out_dir}/_names")
     return tables
 
 

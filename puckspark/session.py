@@ -16,6 +16,7 @@ DEFAULT_GROUP_ROWS = 1_000_000
 DEFAULT_BROADCAST_ROWS = 100_000
 
 _local_dirs: dict[str, str] = {}
+_open_pins: list["Pins"] = []
 
 
 def local_session(cores: int | str = "*", partitions: int = 8, app: str = "puckspark") -> SparkSession:
@@ -60,14 +61,41 @@ def pin(df: DataFrame) -> DataFrame:
     return pin_counted(df)[0]
 
 
-def row_keyed(df: DataFrame) -> DataFrame:
-    """(row, doc), written once: a number of its own for every row, and all its columns as a struct, so that no name clashes."""
-    return pin(df.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc")))
+class Pins:
+    """Owns what ``pin`` writes while it is the innermost open scope, and deletes it when told: after ``with``, or by ``delete``.
+
+    Close it once the results that were made from those tables are written themselves; frames that still read them end with it.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> "Pins":
+        _open_pins.append(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+        self.delete()
+
+    def close(self) -> None:
+        """Later tables belong to the scope around this one."""
+        if self in _open_pins:
+            _open_pins.remove(self)
+
+    def delete(self) -> None:
+        paths = self.spark._jvm.org.apache.hadoop.fs.Path
+        for path in self.paths:
+            place = paths(path)
+            place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+        self.paths = []
 
 
 def pin_counted(df: DataFrame) -> tuple[DataFrame, int]:
     """``pin`` with the number of rows, counted while writing."""
     spark, seen = df.sparkSession, Observation()
     path = f"{shared_dir(spark)}/puckspark/{uuid.uuid4().hex}"
+    if _open_pins:
+        _open_pins[-1].paths.append(path)
     df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), seen.get["n"]

@@ -2,6 +2,7 @@
 
 import json
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from puckspark.operators.quality import QualityError
 from puckspark.operators.search import run_select
 from puckspark.plans import serving, warehouse
 from puckspark.plans.staging import build_staging, game_type
+from puckspark.session import Pins, pin, shared_dir
 from puckspark.sources.raw import read_raw, stamp_loaded
 from puckspark.sources.schemas import RAW
 from puckspark.sources.sinks import write_ndjson
@@ -64,6 +66,18 @@ def built(spark, landed, tmp_path_factory):
     return warehouse.build_all(spark, landed, str(tmp_path_factory.mktemp("marts")), season_games=None, season=CURRENT, previous=PREVIOUS, spot=[f"Player {i}" for i in range(200)])
 
 
+def test_nothing_stored_on_the_way_is_left(spark, landed, tmp_path):
+    stored = lambda: set(Path(f"{shared_dir(spark)}/puckspark").iterdir())
+    pin(spark.range(1))
+    before = stored()
+    with Pins(spark) as outer:
+        kept = pin(spark.range(3))
+        with pytest.raises(QualityError):
+            warehouse.build_all(spark, landed, str(tmp_path / "out"), season_games=82)
+        assert stored() - before == {Path(p) for p in outer.paths} and kept.count() == 3
+    assert stored() == before
+
+
 def test_all_marts_have_rows(built):
     for name in [*warehouse.BASE_MARTS, *warehouse.MODEL_MARTS, *warehouse.REPORTS, "comps_spot_check"]:
         assert not built[name].isEmpty(), name
