@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from puckspark.llm.rows import row_keyed
 from puckspark.operators.sizing import lookup
-from puckspark.session import pin, row_keyed
+from puckspark.session import pin
 
 WINDOW = 10
 MAX_BROADCAST_WINDOWS = 100_000  # beyond this many windows the lookup is a shuffled join
@@ -84,8 +85,8 @@ def find_leaks(
         seen = _looked_up(base, hashes)
     else:
         seen = _joined(base, grams, lengths)
-    hits = seen.select("_row", "id", F.size("words").alias("n_words"), "words", F.explode_outer("hits").alias("w"))
-    hits = hits.select("_row", "id", "n_words", "w.at", "w.n", F.slice("words", F.col("w.at"), F.col("w.n")).alias("gram"))
+    cut = F.transform("hits", lambda w: F.struct(w["at"].alias("at"), w["n"].alias("n"), F.slice("words", w["at"], w["n"]).alias("gram")))
+    hits = seen.select("_row", "id", F.size("words").alias("n_words"), F.explode_outer(cut).alias("w")).select("_row", "id", "n_words", "w.*")
     table = grams.select("item", "gram", F.lit(True).alias("found"))
     checked = hits.join(F.broadcast(table) if few else table, "gram", "left")
     span = F.when(F.col("found"), F.struct("at", (F.col("at") + F.col("n") - 1).alias("upto")))
@@ -103,15 +104,18 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **
     return keyed.join(lookup(bad), F.col("row") == F.col("_leaked"), "left_anti").select("doc.*")
 
 
-def cut_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def cut_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """``docs`` with every word inside a benchmark window removed from the text; documents without a hit are
-    unchanged, letter by letter. Ids must be unique and not null."""
-    found = find_leaks(docs, benchmark, id_col, text_col, **options).where("n_hit > 0").select(F.col("id").alias("_leaked"), F.col("spans").alias("_spans"))
-    joined = docs.join(found, docs[id_col] == found["_leaked"], "left")
-    pieces = F.regexp_extract_all(F.col(text_col), F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]+[^0-9A-Za-z\x{80}-\x{10FFFF}]*"), F.lit(0))
+    unchanged, letter by letter. Every row is judged and cut by itself, also one without an id or with the id of others."""
+    keyed = row_keyed(docs)
+    rows = keyed.select("row", F.col("doc")[text_col].alias("text"))
+    found = find_leaks(rows, benchmark, "row", "text", **options).where("n_hit > 0").select(F.col("id").alias("_leaked"), F.col("spans").alias("_spans"))
+    joined = keyed.join(lookup(found), F.col("row") == F.col("_leaked"), "left")
+    whole = F.col("doc")[text_col]
+    pieces = F.regexp_extract_all(whole, F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]+[^0-9A-Za-z\x{80}-\x{10FFFF}]*"), F.lit(0))
     kept = F.filter(
         F.transform(pieces, lambda p, i: F.struct(p.alias("p"), (i + 1).alias("i"))),
         lambda x: ~F.exists("_spans", lambda s: (s["at"] <= x["i"]) & (x["i"] <= s["upto"])),
     )
-    text = F.when(F.col("_spans").isNotNull(), F.array_join(F.transform(kept, lambda x: x["p"]), "")).otherwise(F.col(text_col))
-    return joined.withColumn(text_col, text).drop("_leaked", "_spans")
+    text = F.when(F.col("_spans").isNotNull(), F.array_join(F.transform(kept, lambda x: x["p"]), "")).otherwise(whole)
+    return joined.select(*[text.alias(c) if c == text_col else F.col("doc")[c].alias(c) for c in docs.columns])

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from puckspark.operators.sizing import lookup
+from puckspark.operators.skew import join_by_key
 from puckspark.session import pin
 
 
@@ -22,8 +23,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     never kept where the group has another; rows that repeat id and text are all counted and marked alike. Other columns are ignored.
 
     Only hashes and ids are aggregated, map-side first. Groups of two or more are broadcast to the texts if they were counted to be few,
-    else the texts travel to them once, in a join whose skewed keys are split, so a group with a third of all rows is not
-    gathered in one task.
+    else the texts travel to them once. The rows of a hash that many rows share are then dealt over parts, each with
+    the kept text, so a group with a third of all rows is not gathered in one task.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     text = text if normalise is None else normalise(text)
@@ -36,7 +37,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     members = pin(hashed.join(lookup(many.select("h", "keep_id"), materialise=False), "h"))
     # one row for each group: the text that the others are compared with
     first = members.where(F.col("id").eqNullSafe(F.col("keep_id"))).groupBy("h").agg(F.min("text").alias("kept_text"))
-    compared = members.join(first, "h")
+    compared = join_by_key(members, first, ["h"], "inner")
     odd = pin(compared.where("text <> kept_text").select("id", "h", "text"))
     ids = heads.join(many, "h", "left").select("id", "text_sha256", "h", F.coalesce("n", F.lit(1)).cast("long").alias("n"), F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"))
     if not odd.isEmpty():

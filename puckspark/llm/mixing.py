@@ -13,8 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from puckspark.llm.rows import row_keyed
 from puckspark.operators.ordered import sequence_number
-from puckspark.session import pin, row_keyed
+from puckspark.operators.skew import join_by_key
+from puckspark.session import pin
 
 SEED = 17
 BUCKET_ROWS = 100_000  # rows of a source's key histogram bucket that one task orders, on average
@@ -126,7 +128,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "
     rows = sequence_number(rows, ["id", "print"], ["row"], "nth")
     if labels is not None:
         weights = quality_weights(labels, id_col)
-        rows = rows.join(weights.select(F.col(id_col).alias("id"), "quality_weight"), "id", "left")
+        rows = join_by_key(pin(rows), weights.select(F.col(id_col).alias("id"), "quality_weight"), ["id"])
         options["quality"] = F.col("quality_weight")
     got = mix_sources(rows, "id", size=F.col("words"), row_col="row", apart=("print", "nth"), **options)
     got = got.where("taken > 0").select("row", F.round(F.col("taken") / F.col("size")).cast("int").alias("copies")).where("copies > 0")

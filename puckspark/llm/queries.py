@@ -102,9 +102,9 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     """Documents labelled as good quality weigh twice, as poor half."""
     weights = mixing.quality_weights(_read(spark, folder, "labels"))
-    docs = _read(spark, folder, "documents").select("doc_id", "source", mixing.word_count("text").alias("words"))  # texts don't travel to the labels
-    docs = docs.join(weights, "doc_id", "left")
-    return mixing.mix_sources(docs, size=F.col("words"), quality=F.col("quality_weight")).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "source", "epochs")
+    docs = _read(spark, folder, "documents").select("doc_id", "source", mixing.word_count("text").alias("words"), F.xxhash64("text").alias("print"))
+    docs = join_by_key(pin(docs), weights, ["doc_id"])  # texts don't travel to the labels
+    return mixing.mix_sources(docs, size=F.col("words"), quality=F.col("quality_weight"), apart=("print",)).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "source", "epochs")
 
 
 _OP8_SQL = r"""

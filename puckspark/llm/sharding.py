@@ -2,8 +2,8 @@
 
 Records are ordered by a hash of their text, so copies lie side by side. A sample of the keys, drawn
 with chances in proportion to their bytes, gives splitters for many fine ranges; ranges that turn out
-overfull are split again; then whole ranges fill the shards one after the other. A group of copies
-that alone is larger than a fine range is placed first, and only cut by id when it exceeds a shard.
+overfull are split again; then whole ranges fill the shards one after the other. A group of copies that alone
+is larger than a fine range is placed first, and divided by its rows' positions only when it exceeds a shard.
 """
 
 from __future__ import annotations
@@ -18,6 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from puckspark.llm.rows import row_keyed
+from puckspark.operators.ordered import sequence_number
+from puckspark.operators.sizing import lookup
 from puckspark.session import pin
 
 RANGES_PER_SHARD = 128  # fine ranges; a shard's bytes differ from the mean by about two of them at most
@@ -55,18 +58,23 @@ def _quantiles(sample: list[tuple[int, float]], ranges: int) -> list[int]:
 def assign_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 8, ranges_per_shard: int = RANGES_PER_SHARD) -> DataFrame:
     """(id, size, text_crc32, shard, slot) for every row; size is the UTF-8 bytes of the text plus 1.
 
-    Null counts as the empty text. Rows with equal texts share a shard unless together they exceed one; shards hold near equal
-    bytes as long as no text alone exceeds a shard. Slots number the rows of a shard from 0 without gaps, by key and id; rows
-    that repeat id and text take neighbouring slots. An empty table gives no rows. Other columns are ignored.
+    Null counts as the empty text. Shards follow from the texts alone, so rows without an id or with the id of others are placed like
+    any. Rows with equal texts share a shard unless together they exceed one, and are then divided by their positions; shards
+    hold near equal bytes as long as no text alone exceeds a shard. Slots number the rows of a shard from 0 without gaps, by key, id
+    and place. An empty table gives no rows. Other columns are ignored.
 
     To the driver come a sample of keys and one total per fine range, both bounded by ``shards`` and ``ranges_per_shard``.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     own = docs.select(
         F.col(id_col).cast("long").alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).alias("crc"), F.xxhash64(text).alias("key"),
+        F.crc32(text.cast("binary")).alias("crc"), F.xxhash64(text).alias("key"), F.monotonically_increasing_id().alias("row"),
     )
-    own = pin(own)
+    return _assigned(pin(own), shards, ranges_per_shard).drop("row")
+
+
+def _assigned(own: DataFrame, shards: int, ranges_per_shard: int) -> DataFrame:
+    """``assign_shards`` for stored rows (id, size, crc, key, row), of which it keeps ``row``."""
     groups = pin(own.groupBy("key").agg(F.sum("size").alias("bytes")))
     total = groups.agg(F.sum("bytes")).first()[0] or 0
     fine = shards * ranges_per_shard
@@ -117,23 +125,33 @@ def assign_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def _numbered(own: DataFrame, splitters: list[int], shard_of: list[int], parts: dict[int, list[tuple[int, float]]]) -> DataFrame:
     """Shard and slot of every row, given the shard of every range and of every part of a heavy group."""
     cuts, shards = np.array(splitters, np.int64), np.array(shard_of, np.int32)
-    heavy = {k: (np.cumsum([x for _, x in v]), np.array([s for s, _ in v], np.int32)) for k, v in parts.items()}
-    heavy_keys = np.array(sorted(heavy), np.int64)
+    whole = {k: v[0][0] for k, v in parts.items() if len(v) == 1}
+    divided = [(k, i, s, float(b)) for k, v in parts.items() if len(v) > 1 for i, ((s, _), b) in enumerate(zip(v, np.cumsum([x for _, x in v])))]
+    whole_keys = np.array(sorted(whole), np.int64)
+    whole_shards = np.array([whole[k] for k in whole_keys.tolist()], np.int32)
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            key = batch.column("key").to_numpy()
-            out = shards[np.searchsorted(cuts, key, "right")]
-            for k in np.intersect1d(key, heavy_keys):
-                at = np.flatnonzero(key == k)
-                bounds, where = heavy[int(k)]
-                # rows of a divided group go to its parts by a hash of the id
-                draw = batch.column("draw").to_numpy()[at]
-                out[at] = where[np.minimum(np.searchsorted(bounds, draw, "right"), len(where) - 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(out)], names=["id", "size", "crc", "key", "shard"])
-
-    draw = (F.shiftrightunsigned(F.xxhash64("id", F.lit(3)), 11).cast("double")) / F.lit(float(1 << 53))
-    placed = own.select("id", "size", "crc", "key", draw.alias("draw")).mapInArrow(place, "id long, size long, crc long, key long, shard int")
+    @F.pandas_udf("int")
+    def place(key: pd.Series) -> pd.Series:
+        keys = key.to_numpy()
+        out = shards[np.searchsorted(cuts, keys, "right")]
+        if len(whole_keys):
+            at = np.minimum(np.searchsorted(whole_keys, keys), len(whole_keys) - 1)
+            out = np.where(whole_keys[at] == keys, whole_shards[at], out)
+        return pd.Series(out)
+
+    columns = ["id", "size", "crc", "key", "row"]
+    if divided:  # groups larger than a shard: fewer than there are shards
+        spark = own.sparkSession
+        bounds = F.broadcast(spark.createDataFrame([(k, [x[2] for x in divided if x[0] == k], [x[3] for x in divided if x[0] == k]) for k in sorted({x[0] for x in divided})],
+                                                   "key long, into array<int>, upto array<double>"))
+        heavy = sequence_number(own.join(bounds.select("key"), "key", "left_semi"), ["key"], ["id", "row"], "at")
+        totals = F.broadcast(heavy.groupBy("key").agg(F.count(F.lit(1)).alias("n")))
+        share = (F.col("at") - 0.5) / F.col("n")
+        part = F.least(F.size("into") - 1, F.size(F.filter("upto", lambda u: u <= share)))
+        placed = heavy.join(bounds, "key").join(totals, "key").select(*columns, F.get("into", part).alias("shard"))
+        placed = own.join(bounds.select("key"), "key", "left_anti").select(*columns, place("key").alias("shard")).unionByName(placed)
+    else:
+        placed = own.select(*columns, place("key").alias("shard"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen = TaskContext.get().partitionId(), {}
@@ -145,24 +163,27 @@ def _numbered(own: DataFrame, splitters: list[int], shard_of: list[int], parts:
                 at[rows] = seen.get(s, 0) + np.arange(len(rows))
                 seen[s] = seen.get(s, 0) + len(rows)
             yield pa.RecordBatch.from_arrays([
-                *(batch.column(k) for k in ("id", "size", "crc", "shard")), pa.array(np.full(len(shard), part, np.int32)), pa.array(at),
-            ], names=["id", "size", "crc", "shard", "part", "at"])
+                *(batch.column(k) for k in ("id", "size", "crc", "row", "shard")), pa.array(np.full(len(shard), part, np.int32)), pa.array(at),
+            ], names=["id", "size", "crc", "row", "shard", "part", "at"])
 
-    spread = placed.repartitionByRange("shard", "key", "id").sortWithinPartitions("shard", "key", "id")
-    rows = pin(spread.mapInArrow(count, "id long, size long, crc long, shard int, part int, at long"))
+    order = ["shard", "key", "id", "row"]
+    spread = placed.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = pin(spread.mapInArrow(count, "id long, size long, crc long, row long, shard int, part int, at long"))
     # one row per task and shard it holds
     ahead = rows.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n")).withColumn(
         "ahead", F.coalesce(F.sum("n").over(W.partitionBy("shard").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     return rows.join(F.broadcast(ahead.drop("n")), ["shard", "part"]).select(
-        "id", "size", F.col("crc").alias("text_crc32"), "shard", (F.col("at") + F.col("ahead")).alias("slot"))
+        "id", "size", F.col("crc").alias("text_crc32"), "shard", (F.col("at") + F.col("ahead")).alias("slot"), "row")
 
 
-def sharded_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 8) -> DataFrame:
-    """``docs`` with ``shard`` and ``slot``, both replaced if present. Rows that repeat an id must have equal texts; they share
-    their shard and get different slots."""
+def sharded_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 8, ranges_per_shard: int = RANGES_PER_SHARD) -> DataFrame:
+    """``docs`` with ``shard`` and ``slot``, both replaced if present. Every row gets the place that ``assign_shards`` gives to it, whatever its id:
+    rows are numbered, placed by narrow columns, and meet their place by number, so texts travel once."""
     plain = docs.drop("shard", "slot")
-    kept = [F.col(f"d.{c}") for c in plain.columns]
-    turn = F.row_number().over(W.partitionBy("_i").orderBy("_s"))
-    got = assign_shards(docs, id_col, text_col, shards).select(F.col("id").alias("_i"), F.col("shard").alias("_shard"), F.col("slot").alias("_s")).withColumn("_t", turn)
-    own = plain.select(F.struct("*").alias("d"), F.col(id_col).cast("long").alias("_j")).withColumn("_u", F.row_number().over(W.partitionBy("_j").orderBy(F.lit(1))))
-    return own.join(got, F.col("_j").eqNullSafe(F.col("_i")) & (F.col("_u") == F.col("_t"))).select(*kept, F.col("_shard").alias("shard"), F.col("_s").alias("slot"))
+    keyed = row_keyed(plain)
+    text = F.coalesce(F.col("doc")[text_col], F.lit(""))
+    own = pin(keyed.select(
+        F.col("doc")[id_col].cast("long").alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("crc"), F.xxhash64(text).alias("key"), "row"))
+    got = _assigned(own, shards, ranges_per_shard).select("row", "shard", "slot")
+    return keyed.join(lookup(got), "row").select("doc.*", "shard", "slot")
