@@ -62,7 +62,7 @@ class Streams:
             fill[s] = sizes[ds].sum() if ds else 0
         order = np.argsort(-fill, kind="stable")
         self.length, self.n, self.fill = int(fill.max()), streams, fill[order]
-        self.symbols = np.zeros((self.length, streams), np.int32)
+        self.symbols = np.zeros((self.length, streams), np.int16)  # short, as they sort faster
         self.fresh = np.zeros((self.length, streams), bool)
         self.owner = np.zeros((self.length, streams), np.int64)
         for s, old in enumerate(order):
@@ -97,42 +97,51 @@ def _forward(p: Params, inputs: np.ndarray, fresh: np.ndarray, h: np.ndarray, ke
     return out, h
 
 
-def _softmax(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Probabilities, and the log of the sum."""
-    top = x.max(axis=1, keepdims=True)
-    e = np.exp(x - top)
-    s = e.sum(axis=1, keepdims=True)
-    return e / s, (np.log(s) + top)[:, 0]
+def _chosen(x: np.ndarray, at: np.ndarray, slopes: bool) -> np.ndarray:
+    """Log of the softmax, down each column, at the row that ``at`` names; with ``slopes``, ``x`` becomes the gradient of its negative.
+
+    A column per word, as numpy reduces and broadcasts long rows faster than short ones.
+    """
+    column = np.arange(x.shape[1])
+    x -= x.max(axis=0)
+    score = x[at, column]
+    np.exp(x, out=x)
+    total = x.sum(axis=0)
+    if slopes:
+        x /= total
+        x[at, column] -= 1
+    return score - np.log(total)
 
 
 def _output(p: Params, h: np.ndarray, targets: np.ndarray, grads: Params | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """Log-probability of each target after its state; with ``grads``, adds the gradients of their negative sum and returns that of the states."""
-    group, inner = targets // CLASS, targets % CLASS
-    row = np.arange(len(h))
-    logits = h @ p["wc"] + p["bc"]
-    prob, total = _softmax(logits)
-    score = logits[row, group] - total
+    order = np.argsort(targets, kind="stable")  # words of one class side by side
+    group, inner = np.divmod(targets[order], CLASS)
+    states = np.ascontiguousarray(h[order].T)
+    x = p["wc"].T @ states + p["bc"][:, None]
+    score = _chosen(x, group, grads is not None)
     dh = None
     if grads is not None:
-        prob[row, group] -= 1
-        grads["wc"] += h.T @ prob
-        grads["bc"] += prob.sum(axis=0)
-        dh = prob @ p["wc"].T
-    order = np.argsort(group, kind="stable")
-    edges = np.searchsorted(group[order], np.arange(len(p["bw"]) + 1))
-    for c in range(len(p["bw"])):
-        at = order[edges[c]: edges[c + 1]]
-        if len(at):
-            hc, k = h[at], np.arange(len(at))
-            logits = hc @ p["ww"][c] + p["bw"][c]
-            prob, total = _softmax(logits)
-            score[at] += logits[k, inner[at]] - total
+        grads["wc"] += states @ x.T
+        grads["bc"] += x.sum(axis=1)
+        dh = p["wc"] @ x
+    edges = np.searchsorted(group, np.arange(len(p["bw"]) + 1))
+    for c, (first, last) in enumerate(zip(edges[:-1], edges[1:])):
+        if first < last:
+            own = states[:, first:last]
+            x = p["ww"][c].T @ own + p["bw"][c][:, None]
+            score[first:last] += _chosen(x, inner[first:last], grads is not None)
             if grads is not None:
-                prob[k, inner[at]] -= 1
-                grads["ww"][c] += hc.T @ prob
-                grads["bw"][c] += prob.sum(axis=0)
-                dh[at] += prob @ p["ww"][c].T
-    return score, dh
+                grads["ww"][c] += own @ x.T
+                grads["bw"][c] += x.sum(axis=1)
+                dh[:, first:last] += p["ww"][c] @ x
+    placed = np.empty_like(score)
+    placed[order] = score
+    if grads is None:
+        return placed, None
+    back = np.empty_like(h)
+    back[order] = dh.T
+    return placed, back
 
 
 def windows(streams: Streams, first: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -143,8 +152,8 @@ def windows(streams: Streams, first: int) -> Iterator[tuple[int, int, np.ndarray
         # all of a window's streams reach its end
         end = min(t + WINDOW, int(streams.fill[m - 1]))
         targets, fresh = streams.symbols[t:end, :m], streams.fresh[t:end, :m]
-        before = streams.symbols[t - 1: end - 1, :m] if t else np.concatenate((np.zeros((1, m), np.int32), streams.symbols[: end - 1, :m]))
-        yield t, m, np.where(fresh, first, before), targets, fresh
+        before = streams.symbols[t - 1: end - 1, :m] if t else np.concatenate((np.zeros((1, m), np.int16), streams.symbols[: end - 1, :m]))
+        yield t, m, np.where(fresh, np.int16(first), before), targets, fresh
         t = end
 
 

@@ -149,6 +149,25 @@ def test_language_model(odd, none):
     assert language_model.score_documents(none).isEmpty()
 
 
+def test_language_model_ignores_how_rows_are_dealt(spark, monkeypatch):
+    """Several parts a round, copies of one document and documents without an id: the same scores from two and from six tasks."""
+    monkeypatch.setattr(language_model, "PART_WORDS", 500)
+    rows = [(i, prose(i, 60)) for i in range(120)] + [(None, prose(i, 40)) for i in range(60)] + [(500, prose(3, 50))] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.length("text"))
+    scores = []
+    for tasks in (2, 6):
+        got = language_model.score_documents(docs.repartition(tasks)).collect()
+        scores.append(sorted((r.id if r.id is not None else -1, r.n_tokens, r.base_score, r.score) for r in got))
+    assert np.allclose(scores[0], scores[1], rtol=1e-4)
+
+
+def test_language_model_learns_copies_that_hold_most_rows(spark):
+    rows = [(7, prose(7, 50))] * 300 + [(i, prose(i, 50)) for i in range(100, 140)]
+    got = language_model.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 340 and {r.train_tokens for r in got} == {340 * 51}
+    assert len({round(r.score, 3) for r in got if r.id == 7}) == 1
+
+
 def test_language_model_probabilities_add_up(spark):
     """Over all words that training saw, and one unseen word for each shared symbol, one step sums to 1."""
     docs = spark.createDataFrame([(i, prose(i, 60)) for i in range(20)], "id long, text string")
