@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
@@ -23,7 +23,7 @@ FIT_ROWS = 40_000  # labelled documents the model is fitted on at most, taken by
 FLAT, PRIOR = 0.5, 50.0  # Dirichlet prior of a unit: a flat part, and a part in proportion to its overall share
 MIN_Z = 4.0  # signed root of the likelihood ratio; units below it count as unknown
 STEMS = (6, 5, 4)  # bytes; a word without a weight of its own takes that of its longest known beginning
-SIGNIFICANT = 0.05  # chance of a random segment as good, below which a passage is reported
+SIGNIFICANT = 0.001  # share of clean documents of its length with a segment as good, below which a passage is reported
 
 
 def segments(at: np.ndarray, gain: np.ndarray, rest: float) -> list[tuple[int, int, float]]:
@@ -66,7 +66,7 @@ def _units(texts: pa.Array) -> Iterator[tuple[int, list[np.ndarray]]]:
 class Lexicon:
     """Hashes of words and beginnings, their weights, the weight of other words, and the law of random segments."""
 
-    def __init__(self, words: dict[int, float], rest: float, decay: float, scale: float):
+    def __init__(self, words: dict[int, float], rest: float, decay: float, scale: float = 1.0):
         order = sorted(words)
         self.hashes, self.weights = np.array(order, np.uint64), np.array([words[w] for w in order])
         self.rest, self.decay, self.scale = rest, decay, scale
@@ -86,15 +86,28 @@ class Lexicon:
         """Probability of a segment of at least this score in n random words: 1 - exp(-K n exp(-decay * score))."""
         return float(-np.expm1(-self.scale * max(n, 1) * np.exp(-self.decay * score)))
 
-    def features(self, units: list[np.ndarray]) -> list[float]:
-        """What the calibration sees: the best segment in units of the law, less log of the length; significant segments; their share."""
-        found = self.passages(units)
-        if not found:
+    def features(self, scores: list[float], n: int) -> list[float]:
+        """What the calibration sees of the scores of a document's segments, best first, and its number of words: the best segment in units
+        of the law, less log of the length; significant segments; their total; the best score."""
+        if not len(scores):
             return [0.0, 0.0, 0.0, 0.0]
-        n = len(units[0])
-        best = self.decay * found[0][2] - np.log(self.scale * n)
-        sure = [s for s in found if self.chance(s[2], n) < SIGNIFICANT]
-        return [max(0.0, float(best)), float(np.log1p(len(sure))), float(np.log1p(sum(s[2] for s in sure))), float(np.log1p(found[0][2]))]
+        best = self.decay * scores[0] - np.log(self.scale * n)
+        sure = [s for s in scores if self.chance(s, n) < SIGNIFICANT]
+        return [max(0.0, float(best)), float(np.log1p(len(sure))), float(np.log1p(sum(sure))), float(np.log1p(scores[0]))]
+
+    def read(self, units: list[np.ndarray]) -> list[float]:
+        """Features of one document."""
+        return self.features([s for _, _, s in self.passages(units)], len(units[0]))
+
+
+def fitted_scale(best: Column, n: Column, decay: float, least: float) -> Column:
+    """K of the law at its greatest likelihood, an aggregate over clean documents with their best segments (null: no segment).
+
+    That a document of n words has no segment better than s has chance exp(-K n exp(-decay * s)). One with a best segment adds that law's
+    density to the likelihood, one without the chance of none above ``least``, the least weight; so K is the number of the
+    former over the sum of n exp(-decay * s) of all. Without any of them, half a document is put in.
+    """
+    return F.greatest(F.count(best), F.lit(0.5)) / F.sum(F.greatest(n, F.lit(1)) * F.exp(-F.lit(decay) * F.coalesce(best, F.lit(least))))
 
 
 def _decay(weights: np.ndarray, shares: np.ndarray) -> float:
@@ -116,18 +129,19 @@ def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, la
         marks = marks.where(F.pmod(F.xxhash64("id", F.lit(9)), F.lit(1_000_000)) < int(1_000_000 * FIT_ROWS / n))
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
-    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            least = np.zeros(batch.num_rows, np.int64)
+            sums = np.zeros((2, batch.num_rows), np.int64)
             for row, words in T.document_words(batch.column(1)):
                 windows = T.window_hashes(words)
-                least[row] = windows[:1].view(np.int64)[0] if len(windows) else 0
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least)], names=["id", "text", "y", "least"])
+                for k in range(2):  # sums of two mixings of the distinct windows: 128 bits in all
+                    sums[k, row] = T.mix(windows ^ np.uint64(k)).sum(dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums[0]), pa.array(sums[1])], names=["id", "text", "y", "p", "q"])
 
-    rows = pin(own.join(marks, "id").select("id", "text", "y").mapInArrow(signed, "id long, text string, y int, least long"))
-    # copies would pass for independent evidence: of texts with the same smallest window hash, one stays
-    first = rows.groupBy("least", "y").agg(F.min("id").alias("id")).select("id")
-    return rows.join(first.distinct(), "id").select("id", "text", "y")
+    rows = pin(own.join(marks, "id").select("id", "text", "y").mapInArrow(printed, "id long, text string, y int, p long, q long"))
+    # copies would pass for independent evidence: of texts with the same set of windows and the same label, the smallest id stays
+    first = rows.groupBy("p", "q", "y").agg(F.min("id").alias("id"))
+    return rows.join(first, ["p", "q", "y", "id"]).select("id", "text", "y").dropDuplicates(["id", "y"])
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -146,7 +160,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train=None) -> tuple[Lexicon, np.ndarray]:
     """Lexicon and calibration weights from the labelled documents that ``train`` (a column function of the id) admits.
 
-    At most about ``FIT_ROWS`` labelled documents are used, so word counts and features are bounded; words that the
+    At most about ``FIT_ROWS`` labelled documents are used, and of those with the same label and the same set of word windows one, so word counts and features are bounded; words that the
     labels tell little about are left out. An id labelled twice counts with its larger label, a null label not at all. Without
     documents of both labels the lexicon is empty and every score is the share of the label, or 0.5.
     """
@@ -187,22 +201,28 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     mean = float((weights * shares).sum())
     rest = min(rest, -2 * mean / max(1 - shares.sum(), 1e-3), -0.01)
     decay = _decay(np.append(weights, rest), np.append(shares, max(1 - shares.sum(), 1e-3)))
-    law = Lexicon(lexicon, rest, decay, 0.1)
-    features = rows.select("text", "y").mapInArrow(_featured(law), "y int, f array<double>").groupBy("y", "f").agg(F.count(F.lit(1)).alias("c")).collect()
-    x, y = np.array([r[1] for r in features]), np.array([float(r[0] > 0) for r in features])
-    c = np.array([r[2] for r in features])
-    return law, _logistic(np.repeat(x, c, axis=0), np.repeat(y, c))
+    law = Lexicon(lexicon, rest, decay)
 
-
-def _featured(law: Lexicon):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            f = [[0.0] * 4] * batch.num_rows
+            n, scores = np.zeros(batch.num_rows, np.int64), [[]] * batch.num_rows
             for row, units in _units(batch.column(0)):
-                f[row] = law.features(units)
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(f, pa.list_(pa.float64()))], names=["y", "f"])
+                n[row], scores[row] = len(units[0]), [s for _, _, s in law.passages(units)]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(n), pa.array(scores, pa.list_(pa.float64()))], names=["y", "n", "scores"])
+
+    found = pin(rows.select("text", "y").mapInArrow(measured, "y int, n long, scores array<double>"))
+    least = float(weights[weights > 0].min()) if (weights > 0).any() else 0.0
+    law.scale = found.where("y <= 0").agg(fitted_scale(F.get("scores", F.lit(0)), F.col("n"), decay, least)).first()[0]
+
+    def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            f = [law.features(s, n) for s, n in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(f, pa.list_(pa.float64()))], names=["y", "f"])
 
-    return run
+    features = found.mapInArrow(featured, "y int, f array<double>").groupBy("y", "f").agg(F.count(F.lit(1)).alias("c")).collect()
+    x, y = np.array([r[1] for r in features]), np.array([float(r[0] > 0) for r in features])
+    c = np.array([r[2] for r in features])
+    return law, _logistic(np.repeat(x, c, axis=0), np.repeat(y, c))
 
 
 def score(docs: DataFrame, law: Lexicon, calibration: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -218,7 +238,7 @@ def score(docs: DataFrame, law: Lexicon, calibration: np.ndarray, id_col: str =
         for batch in batches:
             scores, found = np.zeros(batch.num_rows), [[]] * batch.num_rows
             for row, units in _units(batch.column(1)):
-                scores[row] = 1 / (1 + np.exp(-np.clip(np.dot(law.features(units), w[:-1]) + w[-1], -30, 30)))
+                scores[row] = 1 / (1 + np.exp(-np.clip(np.dot(law.read(units), w[:-1]) + w[-1], -30, 30)))
                 sure = [(a, b, s, law.chance(s, len(units[0]))) for a, b, s in law.passages(units)]
                 found[row] = [dict(zip(("first", "last", "score", "chance"), s)) for s in sorted(sure) if s[3] < SIGNIFICANT]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array(found, kind)], names=["id", "score", "passages"])
@@ -235,7 +255,7 @@ def scored_rows(docs: DataFrame, law: Lexicon, calibration: np.ndarray, text_col
         for batch in batches:
             scores = np.zeros(batch.num_rows)
             for row, units in _units(batch.column(0).field(text_col)):
-                scores[row] = 1 / (1 + np.exp(-np.clip(np.dot(law.features(units), w[:-1]) + w[-1], -30, 30)))
+                scores[row] = 1 / (1 + np.exp(-np.clip(np.dot(law.read(units), w[:-1]) + w[-1], -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], names=["doc", "score"])
 
     return docs.select(F.struct("*").alias("doc")).mapInArrow(run, ST.StructType().add("doc", docs.schema).add("score", "double"))
