@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from puckspark.operators.sizing import has_large_group, lookup, null_safe_join
+from puckspark.operators.skew import join_by_key
 from puckspark.session import group_rows, pin
 
 Order = Sequence[Column | str]
@@ -177,25 +178,35 @@ def percentile_within(
             o: F.percent_rank().over(Window.partitionBy(*part, "_q").orderBy(m)) for o, m in metrics.items()
         })
         return ranked.withColumns({o: F.when(F.col("_q"), rounded(F.col(o))) for o in metrics}).drop("_q")
-    # Large groups: count rows per distinct value of each metric, run the counts up in
-    # value order, and bring the share below each value back to the rows.
-    pool = df.filter("_q")
+    # Large groups: count rows per distinct value of each metric, run the counts up in value order, and bring the share
+    # below each value back to the rows, in one join for all metrics. The rows are stored once under a number.
+    names = [c for c in df.columns if c != "_q"]
+    stored = pin(df.withColumn("_row", F.monotonically_increasing_id()))
+    pool = stored.filter("_q")
     sizes = pool.groupBy(*part).agg(F.count("*").alias("_n"))
-    long = pool.select(*part, F.inline(F.array(*[
-        F.struct(F.lit(o).alias("_m"), F.col(m).cast("double").alias("_v")) for o, m in metrics.items()
-    ])))
-    counts = long.groupBy(*part, "_m", "_v").agg(F.count("*").alias("_c"))
+    values = F.posexplode(F.array(*[F.col(m).cast("double") for m in metrics.values()])).alias("_m", "_v")
+    counts = pool.select(*part, values).groupBy(*part, "_m", "_v").agg(F.count("*").alias("_c"))
     below = running_total(counts, [*part, "_m"], [F.col("_v").asc_nulls_first()], F.col("_c"), "_upto", large=True)
     below = null_safe_join(below, lookup(sizes), list(part), "inner")
+    # a struct is never null, and nulls inside are equal to each other
+    key = F.struct(*[F.col(p).alias(f"k{i}") for i, p in enumerate(part)], "_m", "_v").alias("_key")
     below = pin(below.select(
-        *part, "_m", "_v",
+        key, F.col("_c").alias("_n"),
         F.coalesce(F.try_divide(F.col("_upto") - F.col("_c"), F.col("_n") - 1), F.lit(0.0)).alias("_p"),
     ))
-    for o, m in metrics.items():
-        shares = below.filter(F.col("_m") == o).select(*part, F.col("_v"), F.col("_p").alias("_share"))
-        df = null_safe_join(df.withColumn("_v", F.col(m).cast("double")), shares, [*part, "_v"], "left")
-        df = df.withColumn(o, F.when(F.col("_q"), rounded(F.col("_share")))).drop("_v", "_share")
-    return df.drop("_q")
+    # a row's columns travel with its first metric only
+    spread = pool.select("_row", F.struct(*names).alias("_doc"), *part, values)
+    spread = spread.select("_row", F.when(F.col("_m") == 0, F.col("_doc")).alias("_doc"), key)
+    found = join_by_key(spread, below.select("_key", "_p"), ["_key"], "inner", counts=below.select("_key", "_n"))
+    back = found.groupBy("_row").agg(
+        F.any_value("_doc", F.lit(True)).alias("_doc"),
+        *[F.max(F.when(F.col("_key._m") == i, F.col("_p"))).alias(f"_p{i}") for i in range(len(metrics))],
+    )
+    shares = {o: rounded(F.col(f"_p{i}")).alias(o) for i, o in enumerate(metrics)}
+    order = [*names, *[o for o in metrics if o not in names]]
+    ranked = back.select(*[shares[c] if c in shares else F.col("_doc")[c].alias(c) for c in order])
+    rest = stored.filter("not _q").select(*[F.lit(None).cast(ranked.schema[c].dataType).alias(c) if c in shares else c for c in order])
+    return ranked.unionByName(rest)
 
 
 HISTOGRAM_BITS = 12

@@ -13,30 +13,39 @@ HOT_SHARE = 200  # a key is hot when it holds more than one in so many rows: the
 PARTS_PER_TASK = 16  # parts that all rows of a hot key would be cut into per shuffle partition
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], share: int = HOT_SHARE) -> DataFrame:
+def hot_keys(df: DataFrame, keys: Sequence[str], share: int = HOT_SHARE, counts: DataFrame | None = None) -> DataFrame:
     """(keys, parts) of the keys that hold more than one in ``share`` rows; null keys are left out. Stored, fewer rows than ``share``.
 
-    Counted map-side; ``parts`` is in proportion to the key's rows, so that a part is a small fraction of a task.
+    Counted map-side, unless stored ``counts`` (keys, _n) are given; ``parts`` is in proportion to the key's rows, so that a part is a
+    small fraction of a task.
     """
     spark = df.sparkSession
     parts = PARTS_PER_TASK * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    known = df.select(*keys).dropna()
-    total = known.count()
-    counts = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where((F.col("_n") * share > total) & (F.col("_n") > 1))
+    if counts is None:
+        known = df.select(*keys).dropna()
+        total = known.count()
+        counts = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    else:
+        counts = counts.dropna(subset=list(keys))
+        total = counts.agg(F.sum("_n")).first()[0] or 0
+    counts = counts.where((F.col("_n") * share > total) & (F.col("_n") > 1))
     share_of = F.ceil(F.col("_n") * F.lit(parts) / F.lit(float(max(total, 1)))).cast("int")
     return pin(counts.select(*keys, share_of.alias("_parts")))
 
 
-def join_by_key(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left", share: int = HOT_SHARE) -> DataFrame:
+def join_by_key(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left", share: int = HOT_SHARE, counts: DataFrame | None = None
+) -> DataFrame:
     """``left`` joined (left or inner) to ``right``, which holds every key once at most. Null keys match nothing.
 
     Adaptive execution splits a hot key only where both sides come straight from a shuffle, which an aggregated side does
     not. Here the rows of counted hot keys are dealt over parts and ``right``'s rows of those keys are copied to each;
     rows with a null key bypass the join. ``left`` is read up to three times, so it should be stored; the part of a
-    row follows from its place in the stored files, so a retried task deals it alike.
+    row follows from its place in the stored files, so a retried task deals it alike. ``counts`` (keys, _n) are the rows of each
+    key where they are known already.
     """
     keys = list(keys)
-    hot = hot_keys(left, keys, share)
+    hot = hot_keys(left, keys, share, counts)
     nulls = F.lit(False)
     for k in keys:
         nulls = nulls | F.col(k).isNull()

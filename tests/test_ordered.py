@@ -114,6 +114,21 @@ def test_percentiles(spark, small_groups):
     assert run(None) == run(False)
 
 
+def test_percentiles_of_ten_metrics_take_one_join_of_the_rows(spark, small_groups):
+    df = skewed(spark).withColumns({f"m{i}": (F.col("id") * (7 + i) % 11) / 4 for i in range(10)}).unionByName(skewed(spark), allowMissingColumns=True)
+    metrics = {f"p{i}": f"m{i}" for i in range(10)}
+    run = lambda metrics, large: od.percentile_within(df, ["k"], metrics, F.col("day") > 20, lambda c: F.round(c, 6), large=large)
+    assert rows(run(metrics, True)) == rows(run(metrics, False))
+    joins = lambda out: out._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+    assert joins(run(metrics, True)) == joins(run({"p0": "m0"}, True)) <= 3
+
+
+def test_percentile_under_a_name_of_the_input(spark, small_groups):
+    df = skewed(spark)
+    run = lambda large: od.percentile_within(df, ["k"], {"x": "x", "p": "day"}, F.col("day") > 20, large=large)
+    assert rows(run(True)) == rows(run(False)) and run(True).columns == run(False).columns
+
+
 def test_percentile_of_a_group_of_one_and_of_unqualified_rows(spark):
     df = spark.createDataFrame([("a", 1.0, 30), ("b", 2.0, 30), ("b", None, 40), ("b", 5.0, 3)], "k string, x double, gp long")
     for large in (True, False):
