@@ -67,6 +67,15 @@ def alltime_leaders_active(t):
     return serving.alltime_leaders(league(t), active=True)
 
 
+@served("suggest_players", f"""SELECT * FROM (SELECT player_id, full_name, team_abbrevs, position_code,
+    CASE WHEN list_bool_or(list_transform(string_split(full_name, ' '), lambda x: starts_with(lower(x), 'er 1'))) THEN 1 WHEN contains(lower(full_name), 'er 1') THEN 2 END AS tier
+  FROM (SELECT player_id, full_name, team_abbrevs, position_code FROM mart_player_season WHERE {NOW} AND games_played >= 20
+    UNION ALL SELECT player_id, full_name, team_abbrevs, position_code FROM mart_goalie_season WHERE {NOW} AND games_played >= 15))
+  WHERE tier IS NOT NULL ORDER BY tier, full_name, player_id LIMIT 8""")
+def suggest_players(t):
+    return serving.suggest_players(league(t), " Ér 1 ", CURRENT)
+
+
 @served("player_directory", f"""SELECT * FROM (SELECT player_id, full_name, team_abbrevs, position_code FROM mart_player_season WHERE {NOW} AND games_played >= 20
   UNION ALL SELECT player_id, full_name, team_abbrevs, position_code FROM mart_goalie_season WHERE {NOW} AND games_played >= 15)""")
 def player_directory(t):

@@ -11,6 +11,7 @@ from puckspark.functions import scalars as S
 from puckspark.harness.comps_sql import compared
 from puckspark.harness.registry import CENTS, R, SUM, Tables, cents, query
 from puckspark.operators import flatten as fl
+from puckspark.operators import names
 from puckspark.operators import ordered as od
 from puckspark.operators import quality as dq
 from puckspark.operators import rates as rt
@@ -891,6 +892,14 @@ def suggest(t):
     return se.suggest(t.part.select("p_partkey", "p_name"), "p_name", " RÍ ", "p_partkey")
 
 
+@query("names_by_parts", """
+SELECT p_partkey, p_name, p_size, tier FROM (SELECT p_partkey, p_name, p_size, CASE WHEN list_bool_or(list_transform(string_split(p_name, ' '), lambda x: starts_with(x, 'widg'))) OR starts_with(p_name, 'widg') THEN 1
+  WHEN contains(p_name, 'widg') THEN 2 END AS tier FROM part) WHERE tier IS NOT NULL ORDER BY tier, p_name, p_partkey LIMIT 8""")
+def names_by_parts(t):
+    stored = pin(names.name_parts(t.part, "p_name", ["p_partkey", "p_size"]))
+    return se.suggest(names.candidates(stored, "p_name", "WÍdg"), "p_name", "WÍdg", "p_partkey")
+
+
 @query("directory", """
 SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_acctbal >= 9000 UNION ALL SELECT s_suppkey, s_name FROM supplier WHERE s_acctbal >= 5000""")
 def directory(t):

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from puckspark.functions import scalars as S
 from puckspark.operators.flatten import PLAYOFF, REGULAR
+from puckspark.operators.names import name_parts
 from puckspark.operators.ordered import latest_per, percentile_within, sequence_number, windowed
 from puckspark.operators.rates import career, for_against, ratio_of_sums, share, tracked_ratio
 from puckspark.operators.relate import left_chain, resolve_via, two_perspectives, with_name
@@ -208,6 +209,13 @@ def mart_player_season(t: Tables) -> DataFrame:
     )
 
 
+def player_names(t: Tables) -> DataFrame:
+    """Parts of the names of every season's skaters and goalies, for lookups by name."""
+    cols = ["player_id", "season_id", "full_name", "position_code", "team_abbrevs", "games_played"]
+    both = [t[m].select(*cols, F.lit(goalie).alias("is_goalie")) for m, goalie in (("mart_player_season", False), ("mart_goalie_season", True))]
+    return name_parts(both[0].unionByName(both[1]), "full_name", [c for c in both[0].columns if c != "full_name"])
+
+
 def mart_player_playoff_season(t: Tables) -> DataFrame:
     return _skater_lines(t, "_playoffs").select(
         S.surrogate_key(*_PLAYER_SEASON).alias("player_season_key"), *_PLAYER_SEASON, "full_name", "position_code",

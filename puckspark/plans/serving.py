@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from puckspark.functions.scalars import season_label, season_span
+from puckspark.operators.names import candidates
 from puckspark.operators.ordered import latest_per
 from puckspark.operators.relate import (
     last_n_rows, leaders, played_previous_day, stack_sections,
 )
-from puckspark.operators.search import find_by_id, find_by_name
+from puckspark.operators.search import find_by_id, find_by_name, suggest
 
 Tables = dict[str, DataFrame]
 CURRENT_SEASON = 20252026
@@ -88,18 +89,29 @@ def player_directory(t: Tables, season: int = CURRENT_SEASON, rows: int | None =
 
 
 def find_player(t: Tables, player_id: int | None = None, name: str = "", season: int = CURRENT_SEASON) -> tuple[DataFrame, bool]:
-    """(matches, is_goalie): skaters first, goalies when no skater matches."""
+    """(matches, is_goalie): skaters first, goalies when no skater matches. Names are looked up by their parts, which give at most
+    five ids; the season's rows are read for those."""
+    named = None if player_id else candidates(t["player_names"], "full_name", name).filter(F.col("season_id") == season)
     for is_goalie, mart in ((False, "mart_player_season"), (True, "mart_goalie_season")):
         rows = t[mart].filter(F.col("season_id") == season)
         if player_id:
             found = find_by_id(rows, "player_id", player_id, "season_id", season)
         else:
-            found = find_by_name(rows, "full_name", name, "games_played", "player_id")
+            few = find_by_name(named.filter(F.col("is_goalie") == is_goalie), "full_name", name, "games_played", "player_id").select("player_id")
+            found = rows.join(F.broadcast(few), "player_id", "left_semi").orderBy(F.desc("games_played"), "player_id")
         if is_goalie or not found.isEmpty():
             return found, is_goalie
     raise AssertionError("unreachable")
 
 
+def suggest_players(t: Tables, query: str, season: int = CURRENT_SEASON, n: int = 8) -> DataFrame:
+    """Names of the directory while one is typed: those with a part that starts with the text first."""
+    q = query.strip()
+    named = candidates(t["player_names"], "full_name", q).filter(
+        (F.col("season_id") == season) & (F.col("games_played") >= F.when(F.col("is_goalie"), 15).otherwise(20)))
+    return suggest(named.select("player_id", "full_name", "team_abbrevs", "position_code"), "full_name", q, "player_id", n)
+
+
 def comps_with_stats(sim: DataFrame, stats: DataFrame, player_id: int, season: int, profile: str) -> DataFrame:
     """A player's comps in rank order with each comp's stat line of that season."""
     mine = sim.filter((F.col("player_id") == player_id) & (F.col("season_id") == season) & (F.col("profile") == profile))

@@ -177,6 +177,7 @@ def build_marts(
             put(name, df)
         for name, build in BASE_MARTS.items():
             put(name, build(tables, season) if name in seasonal else build(tables))
+        put("player_names", marts.player_names(tables))  # for lookups, not among the names served to SQL
         dq.gate(base_checks(tables, team, season_games) | (agreement_checks(tables, agreement) if agreement is not None else {}))
         model, report = xg.train_xg(tables["stg_shots"])
         put("fct_shots", xg.score_xg(model, tables["stg_shots"]))
