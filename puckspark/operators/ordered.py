@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from puckspark.operators.sizing import has_large_group, lookup, null_safe_join
 from puckspark.operators.skew import join_by_key
-from puckspark.session import group_rows, pin
+from puckspark.session import broadcast_rows, group_rows, pin
 
 Order = Sequence[Column | str]
 SEG = "_seg"
@@ -167,45 +167,65 @@ def percentile_within(
 ) -> DataFrame:
     """percent_rank of each metric among the qualified rows of its group; null for the rest.
 
-    Null metrics sort first, so they take rank 0 and still count as rows.
+    Metrics are compared as doubles. Nulls sort first, so they take rank 0 and still count as rows. A window would hold a group's whole rows once for every
+    metric, so rows are only counted by value, the counts run up in value order, and the share below each value is looked up:
+    in a broadcast table for metrics with few enough values, in one join of the rows for the others. ``large`` fixes the
+    form: False is the plain window, True the join for all metrics.
     """
-    q = F.coalesce(qualified, F.lit(False))
-    if large is None:
-        large = has_large_group(df, part)
-    df = df.withColumn("_q", q)
-    if not large:
+    df = df.withColumn("_q", F.coalesce(qualified, F.lit(False)))
+    names = [c for c in df.columns if c != "_q"]
+    if large is False:
         ranked = df.withColumns({
             o: F.percent_rank().over(Window.partitionBy(*part, "_q").orderBy(m)) for o, m in metrics.items()
         })
         return ranked.withColumns({o: F.when(F.col("_q"), rounded(F.col(o))) for o in metrics}).drop("_q")
-    # Large groups: count rows per distinct value of each metric, run the counts up in value order, and bring the share
-    # below each value back to the rows, in one join for all metrics. The rows are stored once under a number.
-    names = [c for c in df.columns if c != "_q"]
     stored = pin(df.withColumn("_row", F.monotonically_increasing_id()))
+    below = _shares_below(stored.filter("_q"), part, list(metrics.values()), large)
+    room, near = broadcast_rows(df.sparkSession), []
+    if not large:
+        for m, n in sorted(below.groupBy("_m").count().collect(), key=lambda r: (r[1], r[0])):  # a row for each metric
+            if n <= room:
+                room -= n
+                near.append(m)
+    far = [i for i in range(len(metrics)) if i not in near]
+    out = _with_joined_shares(stored, below, part, metrics, far) if far else stored
+    for i in near:
+        m = list(metrics.values())[i]
+        few = below.filter(F.col("_m") == i).select(*part, F.col("_v").alias(f"_v{i}"), F.col("_p").alias(f"_p{i}"))
+        out = null_safe_join(out.withColumn(f"_v{i}", F.col(m).cast("double")), F.broadcast(few), [*part, f"_v{i}"], "left").drop(f"_v{i}")
+    shares = {o: F.when(F.col("_q"), rounded(F.col(f"_p{i}"))).alias(o) for i, o in enumerate(metrics)}
+    return out.select(*[shares[c] if c in shares else c for c in [*names, *[o for o in metrics if o not in names]]])
+
+
+def _shares_below(pool: DataFrame, part: Sequence[str], values: list[str], large: bool | None) -> DataFrame:
+    """(part, _m, _v, _n, _p): rows with each distinct value of each metric, and the share of the group's other rows below it. Stored."""
+    sizes = pool.groupBy(*part).agg(F.count("*").alias("_rows"))
+    each = F.posexplode(F.array(*[F.col(v).cast("double") for v in values])).alias("_m", "_v")
+    counts = pin(pool.select(*part, each).groupBy(*part, "_m", "_v").agg(F.count("*").alias("_n")))
+    upto = running_total(counts, [*part, "_m"], [F.col("_v").asc_nulls_first()], F.col("_n"), "_upto", large=large)
+    upto = null_safe_join(upto, lookup(sizes), list(part), "inner")
+    return pin(upto.select(
+        *part, "_m", "_v", "_n", F.coalesce(F.try_divide(F.col("_upto") - F.col("_n"), F.col("_rows") - 1), F.lit(0.0)).alias("_p")))
+
+
+def _with_joined_shares(stored: DataFrame, below: DataFrame, part: Sequence[str], metrics: dict[str, str], far: list[int]) -> DataFrame:
+    """The stored rows (_row, _q) with ``_p<i>`` of the metrics in ``far``, by one join for all of them; frequent values are dealt over parts."""
     pool = stored.filter("_q")
-    sizes = pool.groupBy(*part).agg(F.count("*").alias("_n"))
-    values = F.posexplode(F.array(*[F.col(m).cast("double") for m in metrics.values()])).alias("_m", "_v")
-    counts = pool.select(*part, values).groupBy(*part, "_m", "_v").agg(F.count("*").alias("_c"))
-    below = running_total(counts, [*part, "_m"], [F.col("_v").asc_nulls_first()], F.col("_c"), "_upto", large=True)
-    below = null_safe_join(below, lookup(sizes), list(part), "inner")
+    names = [c for c in stored.columns if c != "_row"]
     # a struct is never null, and nulls inside are equal to each other
     key = F.struct(*[F.col(p).alias(f"k{i}") for i, p in enumerate(part)], "_m", "_v").alias("_key")
-    below = pin(below.select(
-        key, F.col("_c").alias("_n"),
-        F.coalesce(F.try_divide(F.col("_upto") - F.col("_c"), F.col("_n") - 1), F.lit(0.0)).alias("_p"),
-    ))
+    below = pin(below.filter(F.col("_m").isin(far)).select(key, "_n", "_p"))
+    cells = [F.struct(F.lit(i).alias("_m"), F.col(list(metrics.values())[i]).cast("double").alias("_v")) for i in far]
     # a row's columns travel with its first metric only
-    spread = pool.select("_row", F.struct(*names).alias("_doc"), *part, values)
-    spread = spread.select("_row", F.when(F.col("_m") == 0, F.col("_doc")).alias("_doc"), key)
+    spread = pool.select("_row", F.struct(*names).alias("_doc"), *part, F.inline(F.array(*cells)))
+    spread = spread.select("_row", F.when(F.col("_m") == far[0], F.col("_doc")).alias("_doc"), key)
     found = join_by_key(spread, below.select("_key", "_p"), ["_key"], "inner", counts=below.select("_key", "_n"))
     back = found.groupBy("_row").agg(
         F.any_value("_doc", F.lit(True)).alias("_doc"),
-        *[F.max(F.when(F.col("_key._m") == i, F.col("_p"))).alias(f"_p{i}") for i in range(len(metrics))],
+        *[F.max(F.when(F.col("_key._m") == i, F.col("_p"))).alias(f"_p{i}") for i in far],
     )
-    shares = {o: rounded(F.col(f"_p{i}")).alias(o) for i, o in enumerate(metrics)}
-    order = [*names, *[o for o in metrics if o not in names]]
-    ranked = back.select(*[shares[c] if c in shares else F.col("_doc")[c].alias(c) for c in order])
-    rest = stored.filter("not _q").select(*[F.lit(None).cast(ranked.schema[c].dataType).alias(c) if c in shares else c for c in order])
+    ranked = back.select(*[F.col("_doc")[c].alias(c) for c in names], *[f"_p{i}" for i in far])
+    rest = stored.filter("not _q").select(*names, *[F.lit(None).cast("double").alias(f"_p{i}") for i in far])
     return ranked.unionByName(rest)
 
 

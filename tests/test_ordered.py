@@ -123,6 +123,24 @@ def test_percentiles_of_ten_metrics_take_one_join_of_the_rows(spark, small_group
     assert joins(run(metrics, True)) == joins(run({"p0": "m0"}, True)) <= 3
 
 
+def test_percentiles_hold_no_whole_rows_in_a_window(spark):
+    """By default no window runs over the rows, whatever the number of distinct values, and the result is that of the window."""
+    df = skewed(spark).withColumns({"w": F.when(F.col("id") % 5 == 0, F.lit(None)).otherwise(F.col("x") * 2), "zero": F.lit(0.0) * F.col("x") * -1})
+    metrics = {"px": "x", "pw": "w", "pi": "id", "pz": "zero"}
+    run = lambda large: od.percentile_within(df, ["k"], metrics, F.col("day") > 20, lambda c: F.round(c, 6), large=large)
+    want = rows(run(False))
+    for limit in ("100000", "300", "1"):  # all looked up by broadcast, all but the ids, none
+        spark.conf.set("puckspark.maxBroadcastRows", limit)
+        try:
+            got = run(None)
+            plan = got._jdf.queryExecution().optimizedPlan().toString()
+            assert "Window" not in plan and rows(got) == want and got.columns == run(False).columns
+        finally:
+            spark.conf.unset("puckspark.maxBroadcastRows")
+    nobody = od.percentile_within(df, ["k"], metrics, F.lit(False))
+    assert nobody.count() == df.count() and nobody.filter("px is not null").isEmpty()
+
+
 def test_percentile_under_a_name_of_the_input(spark, small_groups):
     df = skewed(spark)
     run = lambda large: od.percentile_within(df, ["k"], {"x": "x", "p": "day"}, F.col("day") > 20, large=large)
