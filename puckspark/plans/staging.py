@@ -12,13 +12,31 @@ from puckspark.operators.flatten import explode_categories, parse_json, pivot_ca
 from puckspark.operators.ordered import latest_per
 from puckspark.operators.rates import era_guard
 from puckspark.operators.relate import rename_select
+from puckspark.operators.sizing import null_safe_join
+from puckspark.session import broadcast_rows, pin_counted
 from puckspark.sources.schemas import LOADED_AT, SCHEDULE
 
 
 def newest_load(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Newest load per key; equal load times are settled by the row's content."""
-    content = F.xxhash64(*[F.col(c) for c in df.columns if c != LOADED_AT])
-    return latest_per(df, keys, [F.desc(LOADED_AT), content]).drop(LOADED_AT)
+    """Newest load per key; equal load times are settled by the row's content.
+
+    Loads are mostly whole, so of the stored rows only keys are counted: a key with one row in the last load of all needs no other.
+    Only rows of the keys left over meet in a window, all rows where those keys are too many to be broadcast.
+    """
+    spark, content = df.sparkSession, F.xxhash64(*[F.col(c) for c in df.columns if c != LOADED_AT])
+    stored, n = pin_counted(df)
+    pick = lambda rows: latest_per(rows, keys, [F.desc(LOADED_AT), content]).drop(LOADED_AT)
+    if n <= broadcast_rows(spark):
+        return pick(stored)
+    last = F.col(LOADED_AT) == F.lit(stored.agg(F.max(LOADED_AT)).first()[0])
+    left_over, n = pin_counted(stored.groupBy(*keys).agg(F.count_if(last).alias("n")).where("n <> 1").select(*keys))
+    if n > broadcast_rows(spark):
+        return pick(stored)
+    whole = stored.where(last).drop(LOADED_AT)
+    if n == 0:
+        return whole
+    few = F.broadcast(left_over)
+    return null_safe_join(whole, few, keys, "left_anti").unionByName(pick(null_safe_join(stored, few, keys, "left_semi")))
 
 
 @dataclass(frozen=True)

@@ -218,4 +218,5 @@ def build_all(
     raw = {name: read_raw(spark, raw_dir, name) for name in RAW if name not in made} | made
     if declared:
         dq.gate(landed_checks(raw, declared))
-    return build_marts(spark, build_staging(raw), out_dir, **options)
+    with Pins(spark):  # the rows that staging stored go once the marts are published
+        return build_marts(spark, build_staging(raw), out_dir, **options)

@@ -3,7 +3,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from puckspark.plans.staging import SPECS, stage, stage_schedule
+from puckspark.plans.staging import SPECS, newest_load, stage, stage_schedule
 from puckspark.sources import raw, sinks
 from puckspark.sources.schemas import RAW
 
@@ -80,6 +80,29 @@ def test_stage_takes_the_newest_load_and_reads_text_numbers(spark):
     assert [(r.player_id, r.toi_seconds, r.ev_toi_seconds, r.pp_toi_seconds) for r in out] == [(1, 90.5, None, None)]
 
 
+def test_newest_load_counts_keys_and_moves_only_rows_left_over(spark):
+    """Keys with one row in the last load, with several, with none, without a load time, and a null key: as by one window over all rows."""
+    at = lambda d: F.lit(f"2026-01-{d:02d}" if d else None).cast("timestamp")
+    ids = spark.range(400).select(F.when(F.col("id") != 7, F.col("id")).alias("k"), F.col("id").alias("v"))
+    parts = [ids.withColumn("_loaded_at", at(3)).where("v % 10 <> 1"), ids.withColumn("_loaded_at", at(2)), ids.withColumn("_loaded_at", at(1)),
+             ids.where("v % 50 = 2").withColumn("v", F.col("v") + 1000).withColumn("_loaded_at", at(3)), ids.where("k is null or v = 11").withColumn("_loaded_at", at(0)),
+             spark.range(900, 903).select(F.col("id").alias("k"), F.col("id").alias("v"), at(0).alias("_loaded_at"))]
+    df = parts[0]
+    for p in parts[1:]:
+        df = df.unionByName(p)
+    seen = lambda: newest_load(df, ["k"])
+    want = sorted(seen().collect(), key=repr)
+    assert len(want) == 403 and "Window" in seen()._jdf.queryExecution().optimizedPlan().toString()
+    whole = lambda: newest_load(df.where("v % 10 not in (1, 2) and v < 900"), ["k"])
+    for limit in ("100", "5"):  # 52 keys are left over: by broadcast, too many
+        spark.conf.set("puckspark.maxBroadcastRows", limit)
+        try:
+            assert sorted(seen().collect(), key=repr) == want
+            assert "Window" not in whole()._jdf.queryExecution().optimizedPlan().toString() and whole().count() == 320
+        finally:
+            spark.conf.unset("puckspark.maxBroadcastRows")
+
+
 def test_era_guard_nulls_a_season_of_zeros(spark):
     names = [c.split()[0] for c in RAW["raw_skater_realtime"].split(", ") if not c.startswith("_")]
     data = [(1, 1, 0, 4), (2, 1, 0, 0), (1, 2, 3, None), (2, 2, 0, None)]
