@@ -222,10 +222,10 @@ class League:
     def raw(self, name: str) -> DataFrame:
         """The feed as landed: JSON documents where it has them, plus an older load of every row."""
         df = _DOCUMENTS.get(name, lambda f: f)(self.feed(name))
-        stale = {f.name: F.lit(None).cast(f.dataType) for f in df.schema if f.name in _STALE}
-        new = df.withColumn("_loaded_at", F.lit(NEW).cast("timestamp"))
-        old = df.withColumns({**stale, "_loaded_at": F.lit(OLD).cast("timestamp")})
-        return new.unionByName(old)
+        both = df.withColumn("_new", F.explode(F.array(F.lit(True), F.lit(False))))  # the feed is worked out once for both loads
+        stale = {c: F.when(F.col("_new"), F.col(c)) for c in df.columns if c in _STALE}
+        loaded = F.when(F.col("_new"), F.lit(NEW)).otherwise(F.lit(OLD)).cast("timestamp")
+        return both.withColumns({**stale, "_loaded_at": loaded}).drop("_new")
 
     def __getitem__(self, name: str) -> DataFrame:
         """A stored table for the plans that read it, as after a publish."""

@@ -3,6 +3,8 @@ import json
 
 from pyspark.sql import functions as F
 
+from puckspark.harness import league
+from puckspark.harness.registry import Tables
 from puckspark.plans.staging import SPECS, newest_load, stage, stage_schedule
 from puckspark.sources import raw, sinks
 from puckspark.sources.schemas import RAW
@@ -143,3 +145,15 @@ def test_served_names_move_together(spark, tmp_path):
     assert spark.table("moving.shots").columns == ["id", "extra"] and seen() == (5, 3)
     pruned = spark.sql("SELECT count(*) FROM moving.teams")
     assert "PartitionFilters: [isnotnull(_run" in pruned._jdf.queryExecution().executedPlan().toString()
+
+
+def test_both_loads_of_a_feed_come_from_one_pass(spark):
+    g = league.League(Tables(spark, "/root/testdata/sf0.001"))
+    for name in ("schedule", "player_games"):
+        feed, landed = g.feed(name), g.raw(name)
+        assert landed._jdf.queryExecution().optimizedPlan().toString().count("Relation") == feed._jdf.queryExecution().optimizedPlan().toString().count("Relation")
+        loads = {str(r["_loaded_at"]): r["count"] for r in landed.groupBy("_loaded_at").count().collect()}
+        assert loads == dict.fromkeys((league.NEW, league.OLD), feed.count())
+    assert landed.where(F.col("team_abbrev").isNull()).groupBy("_loaded_at").count().collect()[0]["_loaded_at"] == landed.agg(F.min("_loaded_at")).first()[0]
+    new = landed.where(F.col("_loaded_at") == league.NEW).drop("_loaded_at")
+    assert new.exceptAll(feed).isEmpty() and feed.exceptAll(new).isEmpty()
