@@ -24,6 +24,7 @@ REGISTERS = 256
 MANTISSA = 10
 BAND = 6  # registers in a band; a link of similarity 0.85 is missed with probability (1 - 0.85^6)^42 < 1e-8
 BLOCK = 256  # texts compared at once when a bucket is searched in full
+BLOCK_WINDOWS = 1 << 21  # and their windows, about, unless one text has more
 FINE = 1024  # one-byte registers for the search in full, three bits of leading zeros and five of mantissa
 SIGMAS = 4  # how far below the threshold an estimate may lie and still be confirmed
 
@@ -136,7 +137,7 @@ def sketches(docs: DataFrame, size: int = T.SHINGLE_WORDS) -> DataFrame:
 
 
 def _bands(nodes: DataFrame) -> DataFrame:
-    """(key, node) for each band of each node."""
+    """(key, node, n) for each band of each node."""
 
     def run(batches):
         for batch in batches:
@@ -144,10 +145,10 @@ def _bands(nodes: DataFrame) -> DataFrame:
                 keys = band_keys(np.stack([np.frombuffer(x.as_buffer(), np.uint16) for x in batch.column(1)]))
                 yield pa.RecordBatch.from_arrays([
                     pa.array(keys.view(np.int64).ravel()),
-                    pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), _BANDS)),
-                ], names=["key", "node"])
+                    *(pa.array(np.repeat(batch.column(k).to_numpy(zero_copy_only=False), _BANDS)) for k in (0, 2)),
+                ], names=["key", "node", "n"])
 
-    return nodes.select("node", "sketch").mapInArrow(run, "key long, node long")
+    return nodes.select("node", "sketch", "n").mapInArrow(run, "key long, node long, n long")
 
 
 def _estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -179,6 +180,11 @@ def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     return pin(found.dropDuplicates(["id"]))
 
 
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) with 100 * intersection >= percent * union on their full sets."""
 
@@ -186,9 +192,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             ok = []
             for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * both >= percent * (len(x) + len(y) - both))
+                ok.append(_linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     left = sets.select(F.col("id").alias("a"), F.col("windows").alias("x"))
@@ -196,51 +200,79 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _rest(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that share a bucket but no component and may reach the threshold by their fine registers.
-
-    The bucket is dealt into blocks; each pair of blocks is compared inside one task as matrices of
-    registers, so only pairs that pass are produced and no task holds more than two blocks.
-    """
+def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, node, blocks, label) of the members of buckets that hold more than one component, stored."""
     named = members.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-    mixed = named.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h")
-    held = pin(named.join(mixed.select("key", "c"), "key"))
+    mixed = named.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h")
+    return pin(named.join(mixed.select("key"), "key"))
 
-    def drawn(batches):
-        for batch in batches:
-            fine = [fine_registers(np.frombuffer(w.as_buffer(), np.uint64)).tobytes() for w in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fine, pa.binary())], names=["node", "n", "fine"])
-
-    wanted = held.select(F.col("node").alias("id")).distinct()
-    fine = pin(sets.join(wanted, "id", "left_semi").select("id", "n", "windows").mapInArrow(drawn, "node long, n long, fine binary"))
-    dealt = (
-        held.join(fine, "node")
-        .withColumn("blocks", F.ceil(F.col("c") / BLOCK)).withColumn("own", F.pmod(F.xxhash64("node"), "blocks"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        .groupBy("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-        .agg(F.collect_list(F.struct("node", "label", "n", "own", "fine")).alias("held"))
-    )
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Runs of rows that agree in the first ``keys`` columns, whole numbers, of batches that are sorted by them; one at a time."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        by = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(keys)], axis=1)
+        cuts = [0, *(np.flatnonzero((by[1:] != by[:-1]).any(axis=1)) + 1).tolist(), len(by)]
+        if held and any(held[-1].column(k)[-1].as_py() != by[0, k] for k in range(keys)):
+            yield pa.Table.from_batches(held)
+            held = []
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if a:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _joining_links(key: int, group: pa.Table, cross: bool, percent: int) -> list[tuple[int, int]]:
+    """Links, confirmed on the full sets, that join the components of the rows of one bucket: fewer than there are components. A pair
+    is left to the bucket of the first band it shares; with ``cross`` only pairs from two blocks count."""
+    node, label, own, n = (group.column(c).to_numpy() for c in ("node", "label", "own", "n"))
+    sets = [np.frombuffer(w.as_buffer(), np.uint64) for w in group.column("windows")]
+    fine = np.stack([fine_registers(w) for w in sets])
+    bands = band_keys(np.stack([np.frombuffer(s.as_buffer(), np.uint16) for s in group.column("sketch")])).view(np.int64)
+    part = np.unique(label, return_inverse=True)[1]
+    found = []
+    for k in range(len(node) - 1):
+        ok = (part[k + 1:] != part[k]) & (100 * np.minimum(n[k], n[k + 1:]) >= percent * np.maximum(n[k], n[k + 1:]))
+        if cross:
+            ok &= own[k + 1:] != own[k]
+        at = np.flatnonzero(ok) + k + 1
+        if not len(at):
+            continue
+        first = (bands[at] == bands[k]).argmax(axis=1)
+        at = at[bands[k, first] == key]
+        for m in at[fine_match(fine[k], fine[at], n[k], n[at], percent)] if len(at) else ():
+            if part[m] != part[k] and _linked(sets[k], sets[m], percent):
+                found.append((min(node[k], node[m]), max(node[k], node[m])))
+                part[part == part[m]] = part[k]
+    return found
+
+
+def _rest(held: DataFrame, facts: DataFrame, percent: int, cross: bool) -> DataFrame:
+    """Links (a, b) that join the components of a bucket, searched in full.
+
+    The bucket is dealt into blocks, which are compared with themselves, and with ``cross`` each with every other. A pair of blocks
+    is searched and its links confirmed inside one task, which holds no more than the two and returns fewer rows than they have.
+    """
+    held = held.withColumn("own", F.pmod(F.xxhash64("node"), "blocks"))
+    if cross:
+        held = held.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where("own <> other")
+    else:
+        held = held.withColumn("other", F.col("own"))
+    dealt = held.join(facts, "node").select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "label", "own", "n", "sketch", "windows")
 
     def run(batches):
-        for batch in batches:
-            found: list[tuple[int, int]] = []
-            for i, j, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                got = held.as_py()
-                node, label, n, own = (np.array([g[k] for g in got]) for k in ("node", "label", "n", "own"))
-                x = np.frombuffer(b"".join(g["fine"] for g in got), np.uint8).reshape(-1, FINE)
-                for k in range(len(got) - 1):
-                    rest = slice(k + 1, None)
-                    ok = (label[rest] != label[k]) & (100 * np.minimum(n[k], n[rest]) >= percent * np.maximum(n[k], n[rest]))
-                    if i != j:
-                        ok &= own[rest] != own[k]
-                    at = np.flatnonzero(ok) + k + 1
-                    if len(at):
-                        at = at[fine_match(x[k], x[at], n[k], n[at], percent)]
-                        found += [(min(node[k], node[m]), max(node[k], node[m])) for m in at]
-            pairs = np.unique(np.array(found, np.int64).reshape(-1, 2), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-    return dealt.select("i", "j", "held").mapInArrow(run, "a long, b long").distinct()
+        for group in _groups(batches, 3):
+            found = _joining_links(group.column("key")[0].as_py(), group, cross, percent)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
+
+    spread = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return spread.mapInArrow(run, "a long, b long").distinct()
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, size: int = T.SHINGLE_WORDS) -> DataFrame:
@@ -249,8 +281,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Two documents are linked when 100 * intersection >= percent * union of their sets of ``size``-word
     windows; a component is named by its smallest id, which is the one kept. Equal sets meet by their print,
     so copies never make pairs. In every band bucket all texts are first compared with the smallest id only;
-    afterwards those that share a bucket but no component are compared in full, so no link inside a bucket is
-    lost and a large group costs as many rows as it has texts. Null and empty texts have no windows and
+    afterwards those that share a bucket but no component are compared in full, first inside blocks, then block against block, so no
+    component inside a bucket is lost and a large group costs as many rows as it has texts, linked or just below the threshold. Null and empty texts have no windows and
     are linked with nothing. Rows that share an id count as one document; a row without an id is its own
     group with a null name, and is kept. Other columns are ignored.
     """
@@ -259,18 +291,27 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = drawn.where("n > 0 and id is not null").groupBy("hi", "lo").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     nodes = pin(classes)
     bands = _bands(nodes)
-    lead = bands.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("leader")).where("c > 1")
-    members = pin(bands.join(lead.select("key", "leader"), "key"))
+    lead = bands.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("w"), F.min("node").alias("leader")).where("c > 1")
+    blocks = F.ceil(F.greatest(F.col("c") / BLOCK, F.col("w") / BLOCK_WINDOWS)).alias("blocks")
+    members = pin(bands.join(lead.select("key", "leader", blocks), "key"))
     stars = members.where("leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     known = own.where("id is not null")
     sets = _sets(known, members.select(F.col("node").alias("id")).distinct(), size)
     links = pin(_confirmed(pin(_estimated(stars, nodes, percent)), sets, percent))
     labels = pin(components(links))
-    more = _rest(members.select("key", "node"), labels, sets, percent).join(stars, ["a", "b"], "left_anti")
-    more = pin(_confirmed(pin(more), sets, percent))
-    if not more.isEmpty():
-        links = links.union(more)
-        labels = pin(components(links))
+    held, facts = _mixed(members.select("key", "node", "blocks"), labels), None
+    for cross in (False, True):
+        if held.isEmpty():
+            break
+        if facts is None:
+            wanted = held.select("node").distinct()
+            facts = pin(sets.withColumnRenamed("id", "node").join(wanted, "node", "left_semi").join(nodes.select("node", "sketch"), "node"))
+        more = pin(_rest(held, facts, percent, cross))
+        if not more.isEmpty():
+            links = links.union(more)
+            labels = pin(components(links))
+        if not cross:
+            held = _mixed(held.where("blocks > 1").drop("label"), labels)
     repeated = drawn.where("n > 0 and id is not null").select("id", "hi", "lo").join(nodes.select("hi", "lo", "node"), ["hi", "lo"])
     if not labels.isEmpty():
         repeated = repeated.join(labels, "node", "left").withColumn("node", F.coalesce("component", "node"))

@@ -219,6 +219,21 @@ def test_near_chain_and_large_group(spark):
     assert names[:8] == [0] * 8 and set(names[8:608]) == {8} and names[608] == 608
 
 
+@pytest.mark.parametrize("block", [near.BLOCK, 16])
+def test_near_group_below_the_threshold(spark, monkeypatch, block):
+    """A group whose pairs all lie just below the threshold, with a few linked pairs inside: no pairs of it leave a task unconfirmed."""
+    base = [f"v{i}" for i in range(250)]
+    own = lambda k: " ".join(f"z{k}_{i}" if i in (40, 90, 140, 190) else w for i, w in enumerate(base))
+    texts = [own(k) for k in range(400)] + [own(k) + f" tail{k}" for k in range(0, 400, 20)] + [own(7) + " other tail", "lead " + own(7)]
+    seen, confirmed = [], near._confirmed
+    monkeypatch.setattr(near, "BLOCK", block)
+    monkeypatch.setattr(near, "_confirmed", lambda pairs, *rest: seen.append(pairs.count()) or confirmed(pairs, *rest))
+    got = by_id(near.near_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")), "doc_id")
+    want = list(range(400)) + list(range(0, 400, 20)) + [7, 7]
+    assert [got[i][0].component_id for i in range(len(texts))] == want
+    assert sum(seen) < 42 * len(texts)
+
+
 def test_registers_estimate():
     rng = np.random.default_rng(0)
     for n in (30, 165, 1000, 20_000):
