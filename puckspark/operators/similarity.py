@@ -1,16 +1,17 @@
 """Weighted nearest neighbours by cosine inside pools of any size.
 
-Equal vectors are compared once. Large pools are cut into blocks around sampled centres; a block is summed up by its centre and
-angular radius. Every block is compared with itself first, which gives each vector a score that the rest must reach.
-Of the other pairs of blocks, each looked at once, only those whose summaries allow such a score are compared.
+Equal vectors are compared once, with the lowest of their ids as a list. Large pools are cut into blocks around sampled centres; a
+block is summed up by its centre and angular radius. Every block is compared with itself first, which gives each vector a score that
+the rest must reach. Then only the blocks whose summaries allow such a score pass by, and each vector keeps its best so far.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,9 +21,13 @@ from puckspark.operators.sizing import lookup, null_safe_join
 from puckspark.operators.skew import join_by_key
 from puckspark.session import pin
 
-BLOCK_ROWS = 4096  # vectors of a block; more when all pools together would get over MAX_BLOCKS blocks
+WHOLE_ROWS = 4096  # pools up to so many rows are compared as they are
+BLOCK_ROWS = 32768  # vectors of a block; more when all pools together would get over MAX_BLOCKS blocks
 MAX_BLOCKS = 16384  # so many centres at most come to the driver and go to every task
+PASSING_BLOCKS = 16  # blocks that pass by the vectors of one task
 CHUNK_ROWS = 512  # vectors of one block scored at a time
+PASSING_ROWS = 4096  # against so many others
+EXACT_PAIRS = 1 << 18  # pairs whose scores are worked out in full at a time
 TIE_DIGITS = 12  # scores equal to this many digits are ordered by id
 SLACK = 1e-9  # by which a bound may be off through rounding
 
@@ -101,6 +106,70 @@ def _best(seek_ids: np.ndarray, seek: np.ndarray, ids: np.ndarray, vectors: np.n
     return np.concatenate(rows), np.concatenate(found), np.concatenate(scores)
 
 
+class Nearest:
+    """The k best (score, id) so far for each of some unit vectors, while others pass by in any order.
+
+    Scores are first worked out roughly, in single precision, whose error stays below ``margin``; those that may reach the vector's k-th
+    best so far, or ``least``, are worked out in full. Equal scores go to the lower id.
+    """
+
+    def __init__(self, vectors: np.ndarray, k: int, least: np.ndarray | None = None):
+        self.vectors, self.rough, self.k = vectors, vectors.astype(np.float32), k
+        self.margin = 4e-7 * (vectors.shape[1] + 4)
+        self.floor = np.full(len(vectors), -np.inf) if least is None else least.copy()
+        self.scores, self.ids = np.full((len(vectors), k), -np.inf), None
+
+    def meet(self, vectors: np.ndarray, starts: np.ndarray, ids: np.ndarray, rows: np.ndarray | None = None) -> None:
+        """Vectors pass by those in ``rows`` (default: all); the ids of vector j are ``ids[starts[j]: starts[j + 1]]``, one at least."""
+        if self.ids is None:
+            self.ids = np.zeros(self.scores.shape, ids.dtype)
+        rows = np.arange(len(self.vectors)) if rows is None else rows
+        for b in range(0, len(vectors), PASSING_ROWS):
+            there = vectors[b: b + PASSING_ROWS]
+            rough = there.astype(np.float32).T
+            for a in range(0, len(rows), CHUNK_ROWS):
+                self._chunk(rows[a: a + CHUNK_ROWS], there, rough, starts[b: b + PASSING_ROWS + 1], ids)
+
+    def _chunk(self, at: np.ndarray, there: np.ndarray, rough: np.ndarray, starts: np.ndarray, ids: np.ndarray) -> None:
+        score = self.rough[at] @ rough
+        floor, width = self.floor[at] - self.margin, score.shape[1]
+        if width > self.k and not np.isfinite(floor).all():
+            floor = np.maximum(floor, np.partition(score, width - self.k, axis=1)[:, width - self.k] - 2 * self.margin)
+        place = np.flatnonzero(score >= floor.astype(np.float32)[:, None] - np.float32(self.margin))
+        if not len(place):
+            return
+        row, col = np.divmod(place, width)
+        full = [np.einsum("ij,ij->i", self.vectors[at[row[p: p + EXACT_PAIRS]]], there[col[p: p + EXACT_PAIRS]]) for p in range(0, len(row), EXACT_PAIRS)]
+        score = np.round(np.concatenate(full), TIE_DIGITS) + 0.0
+        row = at[row]
+        good = score >= self.floor[row]
+        row, col, score = row[good], col[good], score[good]
+        many = (starts[1:] - starts[:-1])[col]
+        first = np.cumsum(many) - many
+        found = ids[np.repeat(starts[col] - first, many) + np.arange(many.sum())]
+        self._keep(np.repeat(row, many), found, np.repeat(score, many))
+
+    def _keep(self, row: np.ndarray, found: np.ndarray, score: np.ndarray) -> None:
+        touched = np.unique(row)
+        old, slot = np.nonzero(self.scores[touched] > -np.inf)
+        row = np.concatenate((touched[old], row))
+        found = np.concatenate((self.ids[touched[old], slot], found))
+        score = np.concatenate((self.scores[touched[old], slot], score))
+        rank = found if found.dtype.kind in "iu" else np.unique(found, return_inverse=True)[1]
+        by = np.lexsort((rank, -score, row))
+        row, found, score = row[by], found[by], score[by]
+        place = np.arange(len(row)) - np.searchsorted(row, row, side="left")
+        kept = place < self.k
+        self.scores[row[kept], place[kept]], self.ids[row[kept], place[kept]] = score[kept], found[kept]
+        self.floor[touched] = np.maximum(self.floor[touched], self.scores[touched, -1])
+
+    def found(self) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids and negative scores of each vector's best, in order."""
+        known = (self.scores > -np.inf).sum(axis=1)
+        ids = self.ids if self.ids is not None else np.zeros(self.scores.shape, np.int64)
+        return [i[:n] for i, n in zip(ids, known)], [-s[:n] for s, n in zip(self.scores, known)]
+
+
 def _matrix(vectors: pd.Series) -> np.ndarray:
     return np.stack(vectors.to_numpy()) if len(vectors) else np.zeros((0, 0))
 
@@ -126,19 +195,29 @@ class Summaries:
         bound = np.cos(np.clip(angle - radius - spread, 0, np.pi))
         return np.where(np.abs(vectors).any(axis=1), bound, 0.0)
 
+    def _allowed(self, no: int, block: int, others: list[int]) -> np.ndarray:
+        """An upper bound of the cosine between any member of the block and any of each other block."""
+        cell, radius, _ = self.rows[no, block]
+        if no not in self.centres:
+            return np.ones(len(others))
+        if cell < 0:
+            return np.zeros(len(others))
+        cells, radii = (np.array([self.rows[no, b][i] for b in others]) for i in range(2))
+        if not others:
+            return np.zeros(0)
+        angle = np.arccos(np.clip(self.centres[no][cells.astype(np.int64)] @ self.centres[no][cell], -1, 1))
+        return np.where(cells < 0, 0.0, np.cos(np.clip(angle - radii - radius, 0, np.pi)))
+
+    def needed(self, no: int, block: int) -> list[int]:
+        """Other blocks of the pool that may hold one of the best for a member of this block."""
+        others = [b for b in self.of_pool[no] if b != block]
+        return [others[i] for i in np.flatnonzero(self._allowed(no, block, others) >= self.rows[no, block][2] - SLACK)]
+
     def partners(self, no: int, block: int) -> list[int]:
         """Later blocks of the pool that may hold one of the best for a member of this block, or the other way round."""
-        cell, radius, least = self.rows[no, block]
         later = [b for b in self.of_pool[no] if b > block]
-        if cell < 0 or no not in self.centres:
-            bound = 0.0 if cell < 0 and no in self.centres else 1.0
-            return [b for b in later if bound >= min(least, self.rows[no, b][2]) - SLACK]
-        cells, radii, leasts = (np.array([self.rows[no, b][i] for b in later]) for i in range(3))
-        if not later:
-            return []
-        angle = np.arccos(np.clip(self.centres[no][cells.astype(np.int64)] @ self.centres[no][cell], -1, 1))
-        bound = np.where(cells < 0, 0.0, np.cos(np.clip(angle - radii - radius, 0, np.pi)))
-        return [later[i] for i in np.flatnonzero(bound >= np.minimum(leasts, least) - SLACK)]
+        least = np.array([min(self.rows[no, b][2], self.rows[no, block][2]) for b in later])
+        return [later[i] for i in np.flatnonzero(self._allowed(no, block, later) >= least - SLACK)] if later else []
 
 
 def _placed(centres: dict[int, np.ndarray]):
@@ -165,7 +244,7 @@ def _placed(centres: dict[int, np.ndarray]):
 
 
 def _cut(rows: DataFrame, block_rows: int) -> tuple[DataFrame, dict[int, np.ndarray]]:
-    """Adds ``block``, ``cell`` and ``angle`` to rows (no, id, vec, seek); and the centres of the pools with more than one block."""
+    """Adds ``block``, ``cell`` and ``angle`` to rows (no, id, vec, ids); and the centres of the pools with more than one block."""
     n = F.count(F.lit(1))
     sizes = pin(rows.groupBy("no").agg(n.alias("n")))
     total = sizes.where(F.col("n") > block_rows).agg(F.sum("n")).first()[0] or 0
@@ -180,98 +259,134 @@ def _cut(rows: DataFrame, block_rows: int) -> tuple[DataFrame, dict[int, np.ndar
     if total == 0 or large.isEmpty():
         return rows.withColumns({"block": F.lit(0).cast("long"), "cell": F.lit(0), "angle": F.lit(float(np.pi))}), {}
     marked = rows.join(F.broadcast(large.select("no", F.lit(True).alias("many"))), "no", "left")
-    placed = marked.where("many").withColumn("at", _placed(centres)("no", "vec")).select("no", "id", "vec", "seek", "at.cell", "at.angle")
+    placed = marked.where("many").withColumn("at", _placed(centres)("no", "vec")).select("no", "id", "vec", "ids", "at.cell", "at.angle")
     placed = pin(placed)
     # a cell with too many vectors is cut by a hash of the id; the parts share its centre
     full = placed.groupBy("no", "cell").agg(F.ceil(n / limit).alias("parts")).where("parts > 2")
     placed = placed.join(lookup(full), ["no", "cell"], "left")
     part = F.pmod(F.xxhash64("id", F.lit(13)), F.coalesce("parts", F.lit(1)))
     placed = placed.withColumn("block", (F.col("cell") + 2).cast("long") * (1 << 24) + part)
-    few = marked.where("many is null").select("no", "id", "vec", "seek", F.lit(0).alias("cell"), F.lit(float(np.pi)).alias("angle"), F.lit(0).cast("long").alias("block"))
+    few = marked.where("many is null").select("no", "id", "vec", "ids", F.lit(0).alias("cell"), F.lit(float(np.pi)).alias("angle"), F.lit(0).cast("long").alias("block"))
     return placed.select(*few.columns).unionByName(few), centres
 
 
+def _unpacked(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and values of a column of lists."""
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    starts = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))))
+    return starts.astype(np.int64), lists.flatten().to_numpy(zero_copy_only=False)
+
+
+def _vectors(lists: pa.Array) -> np.ndarray:
+    return _unpacked(lists)[1].reshape(len(lists), -1)
+
+
 def _compared_blocks(rows: DataFrame, k: int, block_rows: int) -> tuple[DataFrame, DataFrame | None, object]:
-    """What is compared: all rows with their best in their own block; (no, i, j) of the further pairs of blocks; their summaries."""
+    """What is compared: all rows with their best in their own block; (no, i, slot, j): block j passes by block i's vectors in the task
+    (no, i, slot); the summaries."""
     cut, centres = _cut(rows, block_rows)
     kind = rows.schema["id"].dataType.simpleString()
 
-    def own(frame: pd.DataFrame) -> pd.DataFrame:
-        ids, vectors, seek = frame["id"].to_numpy(), _matrix(frame["vec"]), frame["seek"].to_numpy(bool)
-        row, comp, score = _best(ids[seek], vectors[seek], ids, vectors, k)
-        cuts = np.searchsorted(row, np.arange(1, seek.sum()))
-        comps, scores = np.full(len(frame), None, object), np.full(len(frame), None, object)
-        least = np.full(len(frame), np.nan)
-        places = np.flatnonzero(seek)
-        for at, c, s in zip(places, np.split(comp, cuts), np.split(score, cuts)):
-            comps[at], scores[at] = c, s
-            least[at] = s[-1] if len(s) == k else -2.0  # any score will do
-        return frame.assign(comps=comps, scores=scores, least=pd.Series(least, frame.index))
-
-    schema = f"no long, id {kind}, vec array<double>, seek boolean, cell int, angle double, block long, comps array<{kind}>, scores array<double>, least double"
-    done = cut.select("no", "id", "vec", "seek", "cell", "angle", "block").groupBy("no", "block").applyInPandas(own, schema)
+    def own(block: pa.Table) -> pa.Table:
+        vectors, (starts, ids) = _vectors(block["vec"]), _unpacked(block["ids"])
+        near = Nearest(vectors, k)
+        near.meet(vectors, starts, ids)
+        comps, scores = near.found()
+        least = np.where(np.isfinite(near.floor), near.floor, -2.0)  # of fewer than k, any score will do
+        return (block.append_column("comps", pa.array(comps, block.schema.field("ids").type))
+                .append_column("scores", pa.array(scores, pa.list_(pa.float64()))).append_column("least", pa.array(least)))
+
+    schema = f"no long, id {kind}, vec array<double>, ids array<{kind}>, cell int, angle double, block long, comps array<{kind}>, scores array<double>, least double"
+    done = cut.select("no", "id", "vec", "ids", "cell", "angle", "block").groupBy("no", "block").applyInArrow(own, schema)
     done = pin(done)
     if not centres and done.where("block > 0").isEmpty():
         return done, None, None
     sums = pin(done.where("block > 0").groupBy("no", "block").agg(
-        F.first("cell").alias("cell"), F.max("angle").alias("radius"), F.coalesce(F.min(F.when(F.col("seek"), F.col("least"))), F.lit(2.0)).alias("least")))
+        F.first("cell").alias("cell"), F.max("angle").alias("radius"), F.min("least").alias("least")))
     summaries = Summaries(centres, [tuple(r) for r in sums.select("no", "block", "cell", "radius", "least").collect()])
     sent = rows.sparkSession.sparkContext.broadcast(summaries)
 
     def find(frames):
         for frame in frames:
             for no, block in zip(frame["no"], frame["block"]):
-                yield pd.DataFrame({"no": no, "i": block, "j": sent.value.partners(no, block)}).astype("int64")
-
-    return done, pin(sums.repartition("no", "block").mapInPandas(find, "no long, i long, j long")), sent
-
-
-def _between(k: int, sent):
-    """Best of each block for the seekers of the other that may find one there."""
-
-    def best(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        no, i, j = (int(x) for x in key)
-        out = []
-        for seekers, there, block in ((left, right, j), (right, left, i)):
-            seekers = seekers[seekers["seek"].to_numpy(bool)]
-            if not len(seekers) or not len(there):
-                continue
-            vectors = _matrix(seekers["vec"])
-            may = sent.value.reach(no, block, vectors) >= seekers["least"].to_numpy() - SLACK
-            ids, vectors = seekers["id"].to_numpy()[may], vectors[may]
-            row, comp, score = _best(ids, vectors, there["id"].to_numpy(), _matrix(there["vec"]), k)
-            out.append(pd.DataFrame({"no": no, "id": ids[row], "comp": comp, "score": score}))
-        return pd.concat(out) if out else pd.DataFrame({"no": [], "id": [], "comp": [], "score": []})
-
-    return best
+                needed = sent.value.needed(no, block)
+                yield pd.DataFrame({"no": no, "i": block, "slot": np.arange(len(needed)) // PASSING_BLOCKS, "j": needed}).astype("int64")
+
+    return done, pin(sums.repartition("no", "block").mapInPandas(find, "no long, i long, slot long, j long")), sent
+
+
+def _passing(k: int, sent):
+    """Runs through rows in order of (no, i, slot, j): first block i's vectors, with j null, then the blocks that pass by.
+    Gives (id, comps, scores) of each vector that found any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, waiting, near = None, [], None
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if near is not None:
+                comps, scores = near.found()
+                some = [p for p, c in enumerate(comps) if len(c)]
+                for a in range(0, len(some), PASSING_ROWS):
+                    at = some[a: a + PASSING_ROWS]
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(np.full(len(at), task[0])), seekers.take(pa.array(at)), pa.array([comps[p] for p in at], pa.list_(kind)),
+                        pa.array([scores[p] for p in at], pa.list_(pa.float64()))], names=["no", "id", "comps", "scores"])
+
+        for batch in batches:
+            kind = batch.schema.field("id").type
+            where = np.stack([batch.column(c).fill_null(-1).to_numpy(zero_copy_only=False) for c in ("no", "i", "slot", "j")])
+            edges = np.flatnonzero((where[:, 1:] != where[:, :-1]).any(axis=0)) + 1
+            for a, b in zip([0, *edges], [*edges, batch.num_rows]):
+                piece, (no, i, slot, j) = batch.slice(a, b - a), where[:, a].tolist()
+                if (no, i, slot) != task:
+                    yield from out()
+                    task, waiting, near = (no, i, slot), [], None
+                if j < 0:
+                    waiting.append(piece)
+                    continue
+                if near is None:
+                    mine = pa.Table.from_batches(waiting)
+                    seekers, waiting = mine["id"].combine_chunks(), []
+                    near = Nearest(_vectors(mine["vec"]), k, mine["least"].to_numpy())
+                rows = np.flatnonzero(sent.value.reach(no, j, near.vectors) >= near.floor - SLACK)
+                near.meet(_vectors(piece.column("vec")), *_unpacked(piece.column("ids")), rows)
+        yield from out()
+
+    return run
 
 
 def _searched(rows: DataFrame, k: int, block_rows: int) -> DataFrame:
-    """(no, id, best): the k best (score, comp) of the pool for every seeker, as an array in order."""
-    done, pairs, sent = _compared_blocks(rows, k, block_rows)
-    kind = rows.schema["id"].dataType
-    found = done.where("seek").select("no", "id", F.inline(F.arrays_zip("comps", "scores"))).toDF("no", "id", "comp", "score")
-    if pairs is not None:
-        keep = ["no", "id", "vec", "seek", "least", "block"]
-        few = lookup(pairs, materialise=False)
-        left = done.select(*keep).withColumnRenamed("block", "i").join(few, ["no", "i"])
-        renewed = done.select(*[F.col(c).alias(c) for c in keep])  # both sides stem from one frame
-        right = renewed.withColumnRenamed("block", "j").join(few.select(*[F.col(c).alias(c) for c in ("no", "i", "j")]), ["no", "j"])
-        task = ["no", "i", "j"]
-        schema = T.StructType([T.StructField("no", T.LongType()), T.StructField("id", kind), T.StructField("comp", kind), T.StructField("score", T.DoubleType())])
-        found = found.unionByName(left.groupBy(*task).cogroup(right.groupBy(*task)).applyInPandas(_between(k, sent), schema))
-    ranked = top_k_per(found, ["no", "id"], [F.desc("score"), "comp"], k)
-    return ranked.groupBy("no", "id").agg(F.array_sort(F.collect_list(F.struct("rank", "comp", "score"))).alias("best"))
+    """(no, id, best): the k best (minus, comp) of the pool for every row, as an array in order; ``minus`` is the score's negative."""
+    done, passes, sent = _compared_blocks(rows, k, block_rows)
+    kind = rows.schema["id"].dataType.simpleString()
+    found = done.select("no", "id", "comps", "scores")
+    if passes is not None:
+        tasks = passes.select("no", "i", "slot").distinct()
+        block = done.select("no", F.col("block").alias("i"), "id", "vec", "least")
+        nothing = F.lit(None).cast(f"array<{kind}>").alias("ids")
+        left = block.join(lookup(tasks), ["no", "i"]).select("no", "i", "slot", F.lit(None).cast("long").alias("j"), "id", "vec", nothing, "least")
+        other = done.select("no", F.col("block").alias("j"), "id", "vec", "ids")
+        right = other.join(lookup(passes, materialise=False), ["no", "j"]).select("no", "i", "slot", "j", "id", "vec", "ids", F.lit(None).cast("double").alias("least"))
+        task = ["no", "i", "slot"]
+        n = max(2 * tasks.count(), 1)
+        ordered = left.unionByName(right).repartition(n, *task).sortWithinPartitions(*task, F.col("j").asc_nulls_first())
+        found = found.unionByName(ordered.mapInArrow(_passing(k, sent), f"no long, id {kind}, comps array<{kind}>, scores array<double>"))
+    best = found.select("no", "id", F.arrays_zip(F.col("scores").alias("minus"), F.col("comps").alias("comp")).alias("best"))
+    if passes is None:
+        return best
+    # a row for every task of its block: few, with k entries each
+    return best.groupBy("no", "id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("best"))), 1, k).alias("best"))
 
 
 def _numbered(df: DataFrame, pool: list[str], key: str, vec: str, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(no, id, vec) of all rows, with a number for each pool; the pools and their numbers; and what is compared: of equal vectors
-    the k + 1 lowest ids, of which the first seeks for all."""
+    """(no, id, vec) of all rows, with a number for each pool; the pools and their numbers; and what is compared: each vector once, with
+    the k + 1 lowest of its ids."""
     rows = df.select(*pool, F.col(key).alias("id"), unit(vec).alias("vec"))
     pools = pin(rows.select(*pool).distinct().withColumn("no", F.monotonically_increasing_id()))
     rows = pin(null_safe_join(rows, lookup(pools, materialise=False), pool).select("no", "id", "vec"))
     first = top_k_per(rows, ["no", "vec"], ["id"], k + 1, "at")
-    return rows, pools, pin(first.select("no", "id", "vec", (F.col("at") == 1).alias("seek")))
+    alike = first.groupBy("no", "vec").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    return rows, pools, pin(alike.select("no", F.col("ids")[0].alias("id"), "vec", "ids"))
 
 
 def _whole_pools(rows: DataFrame, pool: list[str], k: int) -> DataFrame:
@@ -293,14 +408,15 @@ def _whole_pools(rows: DataFrame, pool: list[str], k: int) -> DataFrame:
 
 
 def comparison_load(df: DataFrame, pool: Sequence[str], key: str, vec: str, k: int, block_rows: int = BLOCK_ROWS) -> dict[str, int]:
-    """What ``top_comps`` compares: vectors, blocks, pairs of different blocks compared, and rows sent to those pairs."""
+    """What ``top_comps`` compares: ids that take part, blocks, pairs of different blocks compared, and rows sent to those pairs' tasks."""
     _, _, distinct = _numbered(pin(df), list(pool), key, vec, k)
-    done, pairs, _ = _compared_blocks(distinct, k + 1, block_rows)
+    done, passes, _ = _compared_blocks(distinct, k + 1, block_rows)
     sizes = done.groupBy("no", "block").agg(F.count(F.lit(1)).alias("n"))
-    out = {"vectors": distinct.count(), "blocks": sizes.count(), "pairs": 0, "rows_sent": 0}
-    if pairs is not None:
-        sent = pairs.select("no", F.explode(F.array("i", "j")).alias("block")).join(sizes, ["no", "block"])
-        out |= {"pairs": pairs.count(), "rows_sent": sent.agg(F.sum("n")).first()[0] or 0}
+    out = {"vectors": distinct.agg(F.sum(F.size("ids"))).first()[0] or 0, "blocks": sizes.count(), "pairs": 0, "rows_sent": 0}
+    if passes is not None:
+        moved = passes.select("no", "i", "slot", F.col("i").alias("block")).distinct().unionByName(passes.select("no", "i", "slot", F.col("j").alias("block")))
+        pairs = passes.select("no", F.least("i", "j"), F.greatest("i", "j")).distinct()
+        out |= {"pairs": pairs.count(), "rows_sent": moved.join(sizes, ["no", "block"]).agg(F.sum("n")).first()[0] or 0}
     return out
 
 
@@ -309,21 +425,22 @@ def top_comps(
 ) -> DataFrame:
     """(pool, key, comp, score, rank): the k most similar other rows of the same pool; ids are unique in a pool.
 
-    Exact; ties go to the lower id. Pools of one row give nothing. A task holds two blocks of a bounded number of vectors and returns
-    at most k + 1 rows per vector; pairs are never emitted, and a group of equal vectors, however large, takes part as k + 1 rows.
-    On clustered data the rows sent grow about as the pool does (``comparison_load``); where all directions are alike nothing can
-    be left out, and half the square of the blocks is compared.
+    Exact; ties go to the lower id. Pools of one row give nothing. A task holds one block of a bounded number of vectors with its best so far
+    while at most ``PASSING_BLOCKS`` others pass by, and returns at most k + 1 ids per vector; pairs are never emitted, and a group of
+    equal vectors, however large, takes part once. On clustered data the rows sent grow about as the pool does (``comparison_load``);
+    where all directions are alike nothing can be left out, and the square of the blocks is compared.
     """
     pool, block_rows = list(pool), block_rows or BLOCK_ROWS
     df = pin(df.select(*pool, key, vec))
-    if df.groupBy(*pool).count().where(F.col("count") > block_rows).isEmpty():
+    if df.groupBy(*pool).count().where(F.col("count") > min(block_rows, WHOLE_ROWS)).isEmpty():
         whole = _whole_pools(df.select(*pool, F.col(key).alias("id"), unit(vec).alias("vec")), pool, k)
         return whole.select(*pool, F.col("id").alias(key), "comp", "score", "rank")
     rows, pools, distinct = _numbered(df, pool, key, vec, k)
     best = _searched(distinct, k + 1, block_rows)
-    lists = distinct.where("seek").join(best, ["no", "id"]).select(F.struct("no", "vec").alias("same"), "best")
+    lists = distinct.join(best, ["no", "id"]).select(F.struct("no", "vec").alias("same"), "best")
     mine = join_by_key(rows.select(F.struct("no", "vec").alias("same"), "no", "id"), pin(lists), ["same"], "inner")
     others = F.slice(F.filter("best", lambda b: b["comp"] != F.col("id")), 1, k)
     out = mine.withColumn("others", others).select("no", "id", F.posexplode("others").alias("at", "b"))
     out = out.join(lookup(pools, materialise=False), "no")
-    return out.select(*pool, F.col("id").alias(key), F.col("b.comp").alias("comp"), F.col("b.score").alias("score"), (F.col("at") + 1).cast("long").alias("rank"))
+    score = (-F.col("b.minus")).alias("score")
+    return out.select(*pool, F.col("id").alias(key), F.col("b.comp").alias("comp"), score, (F.col("at") + 1).cast("long").alias("rank"))
