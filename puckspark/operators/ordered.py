@@ -13,7 +13,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from puckspark.operators.sizing import has_large_group, lookup, null_safe_join
+from puckspark.operators.sizing import dealt, has_large_group, lookup, null_safe_join, tasks_for
 from puckspark.operators.skew import join_by_key
 from puckspark.session import broadcast_rows, group_rows, pin
 
@@ -219,8 +219,9 @@ def _with_joined_shares(stored: DataFrame, below: DataFrame, part: Sequence[str]
     # a row's columns travel with its first metric only
     spread = pool.select("_row", F.struct(*names).alias("_doc"), *part, F.inline(F.array(*cells)))
     spread = spread.select("_row", F.when(F.col("_m") == far[0], F.col("_doc")).alias("_doc"), key)
-    found = join_by_key(spread, below.select("_key", "_p"), ["_key"], "inner", counts=below.select("_key", "_n"))
-    back = found.groupBy("_row").agg(
+    tasks = tasks_for(stored.sparkSession, pool.count() * len(far))
+    found = join_by_key(spread, below.select("_key", "_p"), ["_key"], "inner", counts=below.select("_key", "_n"), tasks=tasks)
+    back = dealt(found, tasks, ["_row"]).groupBy("_row").agg(
         F.any_value("_doc", F.lit(True)).alias("_doc"),
         *[F.max(F.when(F.col("_key._m") == i, F.col("_p"))).alias(f"_p{i}") for i in far],
     )

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from puckspark.operators.sizing import lookup
+from puckspark.operators.sizing import dealt, lookup, tasks_for
 
 
 def rename_select(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
@@ -25,9 +25,14 @@ def qualified(df: DataFrame, c: str, n) -> DataFrame:
     return df.filter(F.col(c) >= n)
 
 
-def left_chain(base: DataFrame, others: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
-    """Left joins on one key; the sides share one hash layout of that key."""
-    return reduce(lambda acc, o: acc.join(o, list(keys), "left"), others, base)
+def left_chain(base: DataFrame, others: Sequence[DataFrame], keys: Sequence[str], rows: int | None = None) -> DataFrame:
+    """Left joins on one key; the sides share one hash layout of that key.
+
+    A task holds its part of all sides at once, so they are dealt over tasks by the base's number of ``rows`` where that is known;
+    no key may then hold a large part of them.
+    """
+    tasks = None if rows is None else tasks_for(base.sparkSession, rows)
+    return reduce(lambda acc, o: acc.join(dealt(o, tasks, keys), list(keys), "left"), others, dealt(base, tasks, keys))
 
 
 def resolve_via(

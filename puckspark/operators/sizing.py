@@ -4,10 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from puckspark.session import broadcast_rows, group_rows, pin_counted
+from puckspark.session import broadcast_rows, group_rows, pin_counted, task_rows
+
+
+def tasks_for(spark: SparkSession, rows: int) -> int | None:
+    """Tasks over which so many rows are dealt before they are sorted; None where every core gets fewer than a task may hold anyway.
+
+    Adaptive execution merges partitions by their compressed size, of which a task's memory may be twenty times; it leaves a
+    number of tasks that was asked for alone.
+    """
+    n = -(-rows // task_rows(spark))
+    return max(n, int(spark.conf.get("spark.sql.shuffle.partitions"))) if n > spark.sparkContext.defaultParallelism else None
+
+
+def dealt(df: DataFrame, tasks: int | None, keys: Sequence[str]) -> DataFrame:
+    """Rows laid out by a hash of the keys over so many tasks; as they are when ``tasks`` is None."""
+    return df if tasks is None else df.repartition(tasks, *keys)
 
 
 def has_large_group(df: DataFrame, keys: Sequence[str]) -> bool:

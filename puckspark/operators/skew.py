@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from puckspark.operators.sizing import dealt
 from puckspark.session import pin
 
 HOT_SHARE = 200  # a key is hot when it holds more than one in so many rows: there are fewer hot keys than this
@@ -34,7 +35,8 @@ def hot_keys(df: DataFrame, keys: Sequence[str], share: int = HOT_SHARE, counts:
 
 
 def join_by_key(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left", share: int = HOT_SHARE, counts: DataFrame | None = None
+    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left", share: int = HOT_SHARE, counts: DataFrame | None = None,
+    tasks: int | None = None,
 ) -> DataFrame:
     """``left`` joined (left or inner) to ``right``, which holds every key once at most. Null keys match nothing.
 
@@ -42,7 +44,7 @@ def join_by_key(
     not. Here the rows of counted hot keys are dealt over parts and ``right``'s rows of those keys are copied to each;
     rows with a null key bypass the join. ``left`` is read up to three times, so it should be stored; the part of a
     row follows from its place in the stored files, so a retried task deals it alike. ``counts`` (keys, _n) are the rows of each
-    key where they are known already.
+    key where they are known already. ``tasks`` fixes the number of tasks that the join is dealt over.
     """
     keys = list(keys)
     hot = hot_keys(left, keys, share, counts)
@@ -51,13 +53,14 @@ def join_by_key(
         nulls = nulls | F.col(k).isNull()
     known = left.where(~nulls)
     if hot.isEmpty():
-        joined = known.join(right, keys, how)
+        joined = dealt(known, tasks, keys).join(dealt(right, tasks, keys), keys, how)
     else:
         few = F.broadcast(hot)  # fewer rows than ``share``
-        dealt = known.withColumn("_at", F.monotonically_increasing_id()).join(few, keys, "left")
-        dealt = dealt.withColumn("_part", F.coalesce(F.pmod(F.col("_at"), F.col("_parts")), F.lit(0)).cast("int")).drop("_at", "_parts")
+        spread = known.withColumn("_at", F.monotonically_increasing_id()).join(few, keys, "left")
+        spread = spread.withColumn("_part", F.coalesce(F.pmod(F.col("_at"), F.col("_parts")), F.lit(0)).cast("int")).drop("_at", "_parts")
         copies = right.join(few, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1))).drop("_parts")
-        joined = dealt.join(copies, [*keys, "_part"], how).drop("_part")
+        whole = [*keys, "_part"]
+        joined = dealt(spread, tasks, whole).join(dealt(copies, tasks, whole), whole, how).drop("_part")
     columns = [*left.columns, *[c for c in right.columns if c not in keys]]
     joined = joined.select(*columns)
     return joined if how == "inner" else joined.unionByName(left.where(nulls), allowMissingColumns=True)

@@ -16,7 +16,7 @@ from puckspark.operators.names import name_parts
 from puckspark.operators.ordered import latest_per, percentile_within, sequence_number, windowed
 from puckspark.operators.rates import career, for_against, ratio_of_sums, share, tracked_ratio
 from puckspark.operators.relate import left_chain, resolve_via, two_perspectives, with_name
-from puckspark.operators.sizing import has_large_group, lookup
+from puckspark.operators.sizing import dealt, has_large_group, lookup, tasks_for
 
 CURRENT_SEASON = 20252026
 MIN_GAMES_RANKED = 20
@@ -174,7 +174,8 @@ def _skater_lines(t: Tables, suffix: str) -> DataFrame:
     realtime = t[f"stg_skater_realtime{suffix}"].select(*_PLAYER_SEASON, "hits", "blocked_shots", "takeaways", "giveaways")
     toi = t[f"stg_skater_toi{suffix}"].drop("games_played", "shifts")
     bios = t["stg_skater_bios"].select(*_PLAYER_SEASON, "birth_date", "draft_year", "draft_round", "draft_overall")
-    return left_chain(t[f"stg_skater_summary{suffix}"], [realtime, toi, bios], _PLAYER_SEASON)
+    base = t[f"stg_skater_summary{suffix}"]
+    return left_chain(base, [realtime, toi, bios], _PLAYER_SEASON, base.count())
 
 
 def mart_player_season(t: Tables) -> DataFrame:
@@ -272,7 +273,8 @@ def mart_player_playoff_career(t: Tables) -> DataFrame:
 
 def _goalie_lines(t: Tables, suffix: str) -> DataFrame:
     bios = t["stg_goalie_bios"].select(*_PLAYER_SEASON, "birth_date", "draft_year", "draft_round", "draft_overall")
-    return left_chain(t[f"stg_goalie_summary{suffix}"], [bios], _PLAYER_SEASON).withColumns({
+    base = t[f"stg_goalie_summary{suffix}"]
+    return left_chain(base, [bios], _PLAYER_SEASON, base.count()).withColumns({
         "player_season_key": S.surrogate_key(*_PLAYER_SEASON),
         "position_code": F.lit("G"), "position_group": F.lit("G"), "toi_minutes": S.minutes("toi_seconds", 1),
     })

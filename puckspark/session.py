@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 DEFAULT_GROUP_ROWS = 1_000_000
 # Rows a lookup side may hold before it is joined by shuffle instead of broadcast.
 DEFAULT_BROADCAST_ROWS = 100_000
+# Rows of a wide table that a task should sort at a time.
+DEFAULT_TASK_ROWS = 250_000
 
 _local_dirs: dict[str, str] = {}
 _open_pins: list["Pins"] = []
@@ -41,6 +43,10 @@ def broadcast_rows(spark: SparkSession) -> int:
     return int(spark.conf.get("puckspark.maxBroadcastRows", str(DEFAULT_BROADCAST_ROWS)))
 
 
+def task_rows(spark: SparkSession) -> int:
+    return int(spark.conf.get("puckspark.maxTaskRows", str(DEFAULT_TASK_ROWS)))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; a temporary one only in local mode."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
