@@ -133,6 +133,8 @@ _PLAYER_GAME_STATS = [
 def _player_games(t: Tables, kind: int, extra: dict[str, Column]) -> DataFrame:
     games = t["stg_player_games"].filter(F.col("game_type") == kind)
     large = has_large_group(games, ["player_id"])  # before the name join, which adds no rows
+    if not large:
+        games = dealt(games, tasks_for(games.sparkSession, games.count()), ["player_id"])
     games = with_name(games, t["dim_players"], "player_id", "full_name")
     games = sequence_number(games, ["player_id"], ["game_date", "game_id"], "player_game_number", large)
     return games.select(
@@ -425,15 +427,19 @@ def mart_player_form(t: Tables) -> DataFrame:
     scored = t["fct_shots"].filter(F.col("xg").isNotNull() & (F.col("game_type") == REGULAR))
     per_game = scored.groupBy("game_id", F.col("shooting_player_id").alias("player_id")).agg(F.sum("xg").alias("game_xg"))
     skaters = t["fct_player_games"].filter(F.col("position_code") != "G")
-    games = skaters.join(per_game, ["game_id", "player_id"], "left")
+    tasks, large = tasks_for(skaters.sparkSession, skaters.count()), has_large_group(skaters, ["player_id"])
+    game = ["game_id", "player_id"]
+    games = dealt(skaters, tasks, game).join(dealt(per_game, tasks, game), game, "left")
     games = games.withColumn("game_xg", F.coalesce("game_xg", F.lit(0.0)))
+    if not large:
+        games = dealt(games, tasks, ["player_id"])
     form = rolling_form(
         games, "player_id", "player_game_number",
-        {"points_last_10": "points", "goals_last_10": "goals", "shots_last_10": "shots"}, "game_xg", large=has_large_group(skaters, ["player_id"]),
+        {"points_last_10": "points", "goals_last_10": "goals", "shots_last_10": "shots"}, "game_xg", large=large,
     )
     baseline = t["mart_player_season"].select(*_PLAYER_SEASON, F.col("points_per_gp").alias("season_points_per_gp"))
     derived = form_against("season_points_per_gp")
-    return form.join(baseline, _PLAYER_SEASON, "left").select(
+    return dealt(form, tasks, _PLAYER_SEASON).join(dealt(baseline, tasks, _PLAYER_SEASON), _PLAYER_SEASON, "left").select(
         "player_game_key", "game_id", "season_id", "game_date", "player_game_number", "player_id", "full_name",
         "position_group", "team_abbrev", "opponent_abbrev", "goals", "assists", "points", "shots",
         "games_in_window", "points_last_10", "goals_last_10", "shots_last_10", "xg_last_10",
