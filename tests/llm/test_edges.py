@@ -103,6 +103,16 @@ def test_range_coder_compresses_and_sees_damage():
         range_coder.decode(bytes(broken), ends, sums, len(ids))
 
 
+def test_range_coder_sees_changed_bits_up_to_the_end():
+    ids = (np.random.default_rng(3).zipf(1.3, 700) % 2**16).astype(np.uint32)
+    payload, ends, sums = range_coder.encode(ids, block=300)
+    for place in [*range(0, len(payload), 50), *range(int(ends[0]) - 8, int(ends[0])), *range(len(payload) - 8, len(payload))]:
+        broken = bytearray(payload)
+        broken[place] ^= 1 << place % 8
+        with pytest.raises(ValueError, match="checksum"):
+            range_coder.decode(bytes(broken), ends, sums, len(ids), block=300)
+
+
 def test_exact(odd, none):
     got = by_id(exact.exact_groups(odd, keep="largest"), "doc_id")
     assert (got[1][0].keep_id, got[1][0].group_size, got[2][0].kept) == (2, 2, True)
