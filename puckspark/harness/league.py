@@ -19,7 +19,7 @@ from puckspark.harness.registry import R, Tables, query
 from puckspark.harness.staging_sql import STAGING
 from puckspark.operators.flatten import explode_plays, flatten_boxscores, flatten_shots
 from puckspark.plans import comps, marts, serving, staging, xg
-from puckspark.session import pin
+from puckspark.session import TIGHT, Pins, pin
 
 CURRENT, PREVIOUS = 20002001, 19992000
 BASE_TABLES = ("orders", "lineitem", "nation", "supplier", "customer")
@@ -217,7 +217,11 @@ class League:
         text = FEEDS[name]
         for b in BASE_TABLES:
             text = re.sub(rf"\b(FROM|JOIN) {b}\b", rf"\1 {{{b}}}", text)
-        return self.t.spark.sql(text, **{b: self.t.spread(b) for b in BASE_TABLES if f"{{{b}}}" in text})
+        inputs = {b: self.t.spread(b) for b in BASE_TABLES if f"{{{b}}}" in text}
+        if name in _DEALT:  # the grouping and the join that follow find the rows where they need them
+            table, key = _DEALT[name]
+            inputs[table] = inputs[table].repartition(key)
+        return self.t.spark.sql(text, **inputs)
 
     def raw(self, name: str) -> DataFrame:
         """The feed as landed: JSON documents where it has them, plus an older load of every row."""
@@ -228,9 +232,12 @@ class League:
         return both.withColumns({**stale, "_loaded_at": loaded}).drop("_new")
 
     def __getitem__(self, name: str) -> DataFrame:
-        """A stored table for the plans that read it, as after a publish."""
-        if name not in self.frames:
-            self.frames[name] = pin(self.build(name))
+        """A stored table for the plans that read it, as after a publish. What its build stored on the way goes with that."""
+        if name in _VIEWS and name not in self.frames:
+            self.frames[name] = self.build(name)
+        elif name not in self.frames:
+            with Pins(self.t.spark):
+                self.frames[name] = pin(self.build(name), owned=False, codec=TIGHT)
         return self.frames[name]
 
     def build(self, name: str) -> DataFrame:
@@ -249,6 +256,10 @@ class League:
         return builders.get(name, getattr(marts, name, None))(self)
 
 
+# Feed -> (table, key): grouped by keys that hold this one, and joined on it; each would deal the rows by its own keys.
+_DEALT = {"shots": ("lineitem", "l_orderkey")}
+# Column arithmetic over one stored table, which would only be stored a second time.
+_VIEWS = {"fct_shots"}
 # Columns emptied in the older load, so that a wrong choice of load shows.
 _STALE = {"goals", "hits", "timeOnIce", "birthDate", "saves", "teamFullName", "fullName", "wins", "team_abbrev", "shot_type"}
 

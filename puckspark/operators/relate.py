@@ -35,6 +35,28 @@ def left_chain(base: DataFrame, others: Sequence[DataFrame], keys: Sequence[str]
     return reduce(lambda acc, o: acc.join(dealt(o, tasks, keys), list(keys), "left"), others, dealt(base, tasks, keys))
 
 
+def attach_within(df: DataFrame, others: Sequence[tuple[DataFrame, Sequence[str]]], by: str, tasks: int | None = None) -> DataFrame:
+    """Left joins to tables (frame, keys) with one row a key, where all keys hold the column ``by``; null keys match nothing.
+
+    Rows and tables are dealt by ``by`` together, once, and rows take their values within its groups, so that a window over
+    ``by`` moves nothing more; joins would deal the rows by all keys of each. No group of ``by`` may be too large for a task.
+    """
+    keys = list(dict.fromkeys([by, *[k for _, on in others for k in on]]))
+    held = [c for c in df.columns if c not in keys]
+    parts = [df.select(*keys, F.struct(*held).alias("_row"))]
+    for i, (other, on) in enumerate(others):
+        values = F.struct(*[c for c in other.columns if c not in on]).alias(f"_o{i}")
+        parts.append(other.dropna(subset=list(on)).select(*on, values))
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    rows = rows.repartition(by) if tasks is None else dealt(rows, tasks, [by])
+    found = {f"_o{i}": F.max(f"_o{i}").over(Window.partitionBy(*on)) for i, (_, on) in enumerate(others)}
+    rows = rows.withColumns(found).filter(F.col("_row").isNotNull())
+    return rows.select(
+        *[c if c in keys else F.col("_row")[c].alias(c) for c in df.columns],
+        *[F.col(f"_o{i}")[c].alias(c) for i, (other, on) in enumerate(others) for c in other.columns if c not in on],
+    )
+
+
 def resolve_via(
     df: DataFrame, bridge: DataFrame, on: str, code: str, attributes: DataFrame
 ) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from puckspark.session import broadcast_rows, group_rows, pin_counted, task_rows
+from puckspark.session import broadcast_rows, group_rows, pin_counted, shuffles_end, task_rows
 
 
 def tasks_for(spark: SparkSession, rows: int) -> int | None:
@@ -28,7 +28,8 @@ def dealt(df: DataFrame, tasks: int | None, keys: Sequence[str]) -> DataFrame:
 def has_large_group(df: DataFrame, keys: Sequence[str]) -> bool:
     """True when some key holds more rows than one window task should."""
     limit = group_rows(df.sparkSession)
-    return not df.groupBy(*keys).count().filter(F.col("count") > limit).isEmpty()
+    with shuffles_end(df.sparkSession):
+        return not df.groupBy(*keys).count().filter(F.col("count") > limit).isEmpty()
 
 
 def lookup(df: DataFrame, materialise: bool = True) -> DataFrame:

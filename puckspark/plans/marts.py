@@ -15,7 +15,7 @@ from puckspark.operators.flatten import PLAYOFF, REGULAR
 from puckspark.operators.names import name_parts
 from puckspark.operators.ordered import latest_per, percentile_within, sequence_number, windowed
 from puckspark.operators.rates import career, for_against, ratio_of_sums, share, tracked_ratio
-from puckspark.operators.relate import left_chain, resolve_via, two_perspectives, with_name
+from puckspark.operators.relate import attach_within, left_chain, resolve_via, two_perspectives, with_name
 from puckspark.operators.sizing import dealt, has_large_group, lookup, tasks_for
 
 CURRENT_SEASON = 20252026
@@ -423,25 +423,35 @@ def form_against(baseline: str, size: int = FORM_GAMES) -> dict[str, Column]:
     }
 
 
+_FORM_GAME = [
+    "game_id", "season_id", "game_date", "player_game_number", "player_id", "full_name", "position_group", "team_abbrev",
+    "opponent_abbrev", "goals", "assists", "points", "shots",
+]
+
+
 def mart_player_form(t: Tables) -> DataFrame:
-    scored = t["fct_shots"].filter(F.col("xg").isNotNull() & (F.col("game_type") == REGULAR))
-    per_game = scored.groupBy("game_id", F.col("shooting_player_id").alias("player_id")).agg(F.sum("xg").alias("game_xg"))
-    skaters = t["fct_player_games"].filter(F.col("position_code") != "G")
-    tasks, large = tasks_for(skaters.sparkSession, skaters.count()), has_large_group(skaters, ["player_id"])
+    """A game's row moves once: it meets its xG and the season's pace where the window needs it, beside its player's other games.
+    Where a player has too many games or shots for one task, they are joined, each join dealt by its own keys."""
+    skaters = t["fct_player_games"].filter(F.col("position_code") != "G").select(*_FORM_GAME)
+    scored = _regular_scored(t).withColumn("player_id", F.col("shooting_player_id"))
     game = ["game_id", "player_id"]
-    games = dealt(skaters, tasks, game).join(dealt(per_game, tasks, game), game, "left")
-    games = games.withColumn("game_xg", F.coalesce("game_xg", F.lit(0.0)))
-    if not large:
-        games = dealt(games, tasks, ["player_id"])
+    per_game = scored.groupBy(*game).agg(F.sum("xg").alias("game_xg"))
+    baseline = t["mart_player_season"].select(*_PLAYER_SEASON, F.col("points_per_gp").alias("season_points_per_gp"))
+    # a task sorts its rows more than once at a time
+    tasks = tasks_for(skaters.sparkSession, 2 * skaters.count())
+    large = has_large_group(skaters, ["player_id"]) or has_large_group(scored, ["player_id"])
+    if large:
+        games = dealt(skaters, tasks, game).join(dealt(per_game, tasks, game), game, "left")
+        games = dealt(games, tasks, _PLAYER_SEASON).join(dealt(baseline, tasks, _PLAYER_SEASON), _PLAYER_SEASON, "left")
+    else:
+        games = attach_within(skaters, [(per_game, game), (baseline, _PLAYER_SEASON)], "player_id", tasks)
     form = rolling_form(
-        games, "player_id", "player_game_number",
+        games.withColumn("game_xg", F.coalesce("game_xg", F.lit(0.0))), "player_id", "player_game_number",
         {"points_last_10": "points", "goals_last_10": "goals", "shots_last_10": "shots"}, "game_xg", large=large,
     )
-    baseline = t["mart_player_season"].select(*_PLAYER_SEASON, F.col("points_per_gp").alias("season_points_per_gp"))
     derived = form_against("season_points_per_gp")
-    return dealt(form, tasks, _PLAYER_SEASON).join(dealt(baseline, tasks, _PLAYER_SEASON), _PLAYER_SEASON, "left").select(
-        "player_game_key", "game_id", "season_id", "game_date", "player_game_number", "player_id", "full_name",
-        "position_group", "team_abbrev", "opponent_abbrev", "goals", "assists", "points", "shots",
+    return form.select(
+        S.surrogate_key(*game).alias("player_game_key"), *_FORM_GAME,
         "games_in_window", "points_last_10", "goals_last_10", "shots_last_10", "xg_last_10",
         derived["points_per_gp_last_10"].alias("points_per_gp_last_10"),
         derived["finishing_last_10"].alias("finishing_last_10"), "season_points_per_gp",

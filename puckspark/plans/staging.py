@@ -13,7 +13,7 @@ from puckspark.operators.ordered import latest_per
 from puckspark.operators.rates import era_guard
 from puckspark.operators.relate import rename_select
 from puckspark.operators.sizing import null_safe_join
-from puckspark.session import broadcast_rows, pin_counted
+from puckspark.session import TIGHT, broadcast_rows, pin_counted
 from puckspark.sources.schemas import LOADED_AT, SCHEDULE
 
 
@@ -24,7 +24,7 @@ def newest_load(df: DataFrame, keys: list[str]) -> DataFrame:
     Only rows of the keys left over meet in a window, all rows where those keys are too many to be broadcast.
     """
     spark, content = df.sparkSession, F.xxhash64(*[F.col(c) for c in df.columns if c != LOADED_AT])
-    stored, n = pin_counted(df)
+    stored, n = pin_counted(df, codec=TIGHT)
     pick = lambda rows: latest_per(rows, keys, [F.desc(LOADED_AT), content]).drop(LOADED_AT)
     if n <= broadcast_rows(spark):
         return pick(stored)
